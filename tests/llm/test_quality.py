@@ -1,0 +1,57 @@
+import zstandard
+from brute import ODD, docs, tokens, write
+
+from plexspark.llm import quality
+from plexspark.llm.queries import op3_quality_rules
+from plexspark.llm.shared import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def expected(text, bands=quality.Bands()):
+    text = text or ""
+    w = tokens(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if tokens(line):
+            dup += line in seen
+            seen.add(line)
+    windows = {}
+    for i in range(len(w) - 7):
+        windows.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(8)}
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    ok = quality.compression(text.encode(), bands, zstandard.ZstdCompressor(level=bands.level))[2]
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed, not failed and ok)
+
+
+def test_query_equals_brute_force(spark):
+    got = sorted((r.doc_id, *r[1:8]) for r in op3_quality_rules(spark, SF).collect())
+    assert got == sorted((r.doc_id, *expected(r.text)) for r in table(spark, SF, "documents").collect())
+
+
+def test_odd_texts(spark, tmp_path):
+    rows = op3_quality_rules(spark, write(spark, tmp_path, documents=docs(spark, ODD))).collect()
+    key = lambda r: (str(r[0]), r[1:])
+    assert sorted(((r.doc_id, *r[1:8]) for r in rows), key=key) == sorted(((i, *expected(t)) for i, t in ODD), key=key)
+
+
+def test_bands_reject_repetition_and_noise():
+    packer = zstandard.ZstdCompressor(level=3)
+    import random
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("etaoinshrdlu", k=n))
+    vocabulary = [word(rng.randint(2, 8)) for _ in range(4000)]
+    prose = " ".join(rng.choices(vocabulary, k=1500)).encode()
+    assert quality.compression(prose, quality.Bands(), packer)[2]
+    assert not quality.compression(b"again " * 1000, quality.Bands(), packer)[2]
+    assert not quality.compression(rng.randbytes(6000), quality.Bands(), packer)[2]
+    half = prose[:4096] + b"again " * 2048
+    assert not quality.compression(half, quality.Bands(limits=()), packer)[2]  # only its chunks show it
+
+
+def test_empty_table_and_clashing_column(spark):
+    df = docs(spark, []).selectExpr("*", "1 AS quality", "2 AS kept")
+    out = quality.quality(df)
+    assert out.count() == 0 and out.columns == [*[c for c in df.columns if c != "quality"], "quality"]
