@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexspark.llm import chat, pii, quality, sharding, urls
+from plexspark.llm import chat, lines, pii, quality, sharding, urls
 from plexspark.llm.shared import table
 
 
@@ -22,6 +22,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "zstd_ratio", "bad_chunk_share")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -44,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_quality_rules, op5_url_filters, op8_pii, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_quality_rules, op4_line_dedup, op5_url_filters, op8_pii, op10_sharding)}
 
 SQL = {}
 
@@ -71,6 +76,22 @@ SELECT conv_id AS pair_id, count(*) FILTER (WHERE shared) AS n_prompt, count(*)
 FROM line GROUP BY conv_id
 """
 
+SQL["op4_line_dedup"] = r"""
+WITH line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+roll AS (SELECT doc_id, line, i, substr(md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)), 1, 1) < '5' AS ends FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+part AS (SELECT doc_id, line, i, coalesce(count(*) FILTER (WHERE ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM roll),
+chunk AS (
+  SELECT doc_id, part, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS bytes,
+         count(*) FILTER (WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') > 1 AS worded
+  FROM part GROUP BY doc_id, part),
+judged AS (SELECT *, worded AND row_number() OVER (PARTITION BY worded, bytes ORDER BY doc_id, first) > 1 AS gone FROM chunk),
+kept AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
+         coalesce(string_agg(bytes, chr(10) ORDER BY first) FILTER (WHERE NOT gone), '') AS text
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, k.text FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
 SQL["op5_url_filters"] = r"""
 WITH part AS (
   SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
