@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexspark.llm import chat, lines, pieces, pii, quality, sharding, urls
+from plexspark.llm import chat, lines, minhash, pieces, pii, quality, sharding, urls
 from plexspark.llm.shared import table
 
 
@@ -37,6 +37,10 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("pieces.ids").cast("long").alias("n_pieces"), "pieces.ids", "pieces.round_trip")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs).select("doc_id", "pii.spans", F.length("pii.redacted").alias("redacted_chars"))
@@ -55,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op8_pii, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op10_sharding)}
 
 SQL = {}
 

@@ -82,7 +82,7 @@ def assign(docs: DataFrame, shards: int = 16, vnodes: int = 64, key: str = "doc_
 
     The position is the hash of ``key``, null included, which thus has a place
     of its own; rows that repeat a key, even a third of all rows, lie together
-    and overflow clockwise. What is kept is checkpointed once with a running
+    and overflow clockwise. What is kept is written once with a running
     number, so that a task that runs again deals its rows as before; ranks are
     counted for each arc within each input partition, so neither an arc nor a
     key meets in one task. An empty table gives an empty result. Columns
