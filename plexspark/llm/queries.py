@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexspark.llm import chat, lines, minhash, pieces, pii, quality, sharding, urls
+from plexspark.llm import chat, lines, minhash, pieces, pii, quality, sharding, substrings, urls
 from plexspark.llm.shared import table
 
 
@@ -52,6 +52,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), score.alias("top_score"), F.coalesce("redacted_chars", F.lit(0)).alias("redacted_chars"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeated_spans(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_spans"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keep = {"doc_id": F.col("doc_id"), "size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary"))}
@@ -59,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op9_substring_dedup, op10_sharding)}
 
 SQL = {}
 
