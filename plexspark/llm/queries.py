@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexspark.llm import chat, lines, minhash, pieces, pii, quality, sharding, substrings, urls
+from plexspark.llm import chat, decontam, lines, minhash, pieces, pii, quality, sharding, substrings, urls
 from plexspark.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "n_prompt", "n_chosen", "n_rejected", "prompt", "chosen", "rejected", learned(F.col("chosen_mask")).alias("chosen_learned"), learned(F.col("rejected_mask")).alias("rejected_learned"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), edits=0.2)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.quality(docs).select("doc_id", "quality.*")
@@ -64,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op9_substring_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op2_decontamination, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op9_substring_dedup, op10_sharding)}
 
 SQL = {}
 
