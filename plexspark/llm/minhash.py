@@ -12,18 +12,18 @@ Bands of ``ROWS`` coordinates select candidates: with 40 bands of 6 a pair of
 similarity 0.8 is missed once in 190,000 times. Copies of a set are one node
 before that. A band's bucket is not expanded into pairs: all its nodes are
 compared with one of them, exactly and on whole texts; then, after components
-are known, those of other components with another one, for some rounds; what
-is still apart is compared pair by pair, so no link between components is lost.
+are known, those of other components with another one, for some rounds. Among
+what is still apart an exact prefix filter selects pairs between components, so
+no link that joins two of them is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexspark.llm import shared, words
@@ -31,7 +31,7 @@ from plexspark.llm.components import components
 
 BANDS, ROWS = 40, 6
 #: Rounds in which a bucket is compared with one of its nodes.
-STARS = 3
+STARS = 2
 U = np.uint64
 EMPTY = U((1 << 64) - 1)
 LAST = (1 << 63) - 1
@@ -101,40 +101,68 @@ def shingles_of(text: str, size: int, lower: bool) -> frozenset:
     return frozenset(zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-@dataclass(frozen=True)
-class _Exact:
-    """Compares pairs of nodes on their whole texts."""
-
-    docs: DataFrame  #: id, hash, text
-    size: int
-    lower: bool
-    percent: int
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) for each of the pairs, checkpointed."""
-        size, lower, percent = self.size, self.lower, self.percent
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = self.docs.select(F.struct("id", "hash").alias("node"), "text").join(wanted, "node", "left_semi")
-        texts = shared.cut(texts.groupBy("node").agg(F.first("text").alias("text")))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last: tuple = (None, frozenset())
-            for batch in batches:
-                linked = []
-                for lo in range(0, batch.num_rows, 64):
-                    part = batch.slice(lo, 64)
-                    for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                        if x != last[0]:
-                            last = x, shingles_of(x, size, lower)
-                        s = last[1]
-                        t = shingles_of(y, size, lower)
-                        common = len(s & t)
-                        linked.append(100 * common >= percent * (len(s) + len(t) - common) and common > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-        node = "struct<id:long,hash:long>"
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        return shared.cut(both.select("a", "b", "x", "y").mapInArrow(run, f"a {node}, b {node}, linked boolean"))
+NODE = "struct<id:long,hash:long>"
+
+
+def _exact(pairs: DataFrame, texts: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
+    """(a, b, linked) for each of the pairs, compared on whole texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, frozenset())
+        for batch in batches:
+            linked = []
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if x != last[0]:
+                        last = x, shingles_of(x, size, lower)
+                    s = last[1]
+                    t = shingles_of(y, size, lower)
+                    common = len(s & t)
+                    linked.append(100 * common >= percent * (len(s) + len(t) - common) and common > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return shared.cut(both.select("a", "b", "x", "y").mapInArrow(run, f"a {NODE}, b {NODE}, linked boolean"))
+
+
+def _shingled(texts: DataFrame, size: int, lower: bool) -> DataFrame:
+    """(node, n, h) for each distinct shingle of (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, at in shared.passes(batch):
+                h, row = shingle_sets(buf, at, size, lower)
+                n = np.bincount(row, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(n[row], pa.int64()), pa.array(h.view(np.int64))], ["node", "n", "h"])
+
+    return texts.mapInArrow(run, f"node {NODE}, n long, h long")
+
+
+def _rest(known: DataFrame, texts: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
+    """(a, b) for all nodes of ``known`` (node, component) in different components that may be linked.
+
+    Prefix filter: of two sets with that similarity, each has one of the other's
+    rarest shingles among its own n - ceil(percent * n / 100) + 1 rarest ones. A
+    text whose own changes are over the limit thus has no partner at all. At
+    most one of a pair is in the component that holds most of a shingle's sets,
+    so only the others are joined with all.
+    """
+    sets = _shingled(texts.join(known.select("node"), "node", "left_semi"), size, lower)
+    sets = shared.cut(sets)
+    often = sets.groupBy("h").agg(F.count("*").alias("df"))
+    rare = sets.join(often, "h").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
+    rare = rare.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
+    rare = shared.cut(rare.join(known, "node").select("h", "node", "n", "component"))
+    most = rare.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "component"))["component"].alias("most"), F.count("*").alias("parts"))
+    most = shared.cut(most.where("parts > 1").select("h", "most"))
+    fewer = rare.join(most, "h").where("component <> most").select("h", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
+    fewer = shared.cut(fewer)
+    return rare.join(fewer, "h").where((F.col("component") != F.col("other")) & _alike(percent)).select("a", F.col("node").alias("b"))
+
+
+def _alike(percent: int):
+    """Whether sets of n and m shingles can have that similarity."""
+    n, m = F.col("n"), F.col("m")
+    return (F.lit(100) * n >= F.lit(percent) * m) & (F.lit(100) * m >= F.lit(percent) * n)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -155,12 +183,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
     heads = shared.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("head")).where("c > 1"))
     members = shared.cut(banded.join(heads, "key").select("key", "node", "n", "c", "head"))
-    alike = lambda x, y: (F.lit(100) * x >= F.lit(percent) * y) & (F.lit(100) * y >= F.lit(percent) * x)  # noqa: E731  sizes that the similarity allows
-    exact = _Exact(base, size, lower, percent)
+    texts = base.select(F.struct("id", "hash").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = shared.cut(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     sizes = nodes.select(F.col("node").alias("head"), F.col("n").alias("m"))
-    pairs = members.where("node <> head").select("head", "node", "n").distinct().join(sizes, "head").where(alike(F.col("n"), F.col("m")))
-    checked = exact(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")))
+    pairs = members.where("node <> head").select("head", "node", "n").distinct().join(sizes, "head").where(_alike(percent))
+    checked = _exact(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")), texts, size, lower, percent)
     whole = components(checked.where("linked"))
     members = members.where("c > 2").drop("c", "head")  # of two nodes nothing is left to compare
     for turn in range(STARS + 1):
@@ -171,12 +199,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         members = shared.cut(known.join(apart.select("key"), "key", "left_semi").select("key", "node", "n", "component"))
         if turn < STARS:
-            pairs = members.join(apart, "key").where((F.col("component") != F.col("other")) & alike(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b"))
+            pairs = members.join(apart, "key").where((F.col("component") != F.col("other")) & _alike(percent)).select("a", F.col("node").alias("b"))
         else:
-            x = members.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = members.join(x, "key").where((F.col("a") < F.col("node")) & (F.col("component") != F.col("other")) & alike(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b"))
+            pairs = _rest(members.select("node", "component").distinct(), texts, size, lower, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        checked = checked.union(exact(pairs))
+        checked = checked.union(_exact(pairs, texts, size, lower, percent))
         whole = components(checked.where("linked"))
         members = members.drop("component")
 
