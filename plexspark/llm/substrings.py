@@ -11,10 +11,10 @@ exchange hashes only:
    occurs twice is kept at its first place;
 3. first places that follow one another make up the reference passages.
 
-Passages are dealt to shards of bounded size. A document is streamed through
-the automata of those shards that have a least hash in common with it, which
-gives for every word the longest passage ending there (matching statistics);
-matches of a window's length or more are removed. A shard that many documents
+Passages are dealt to shards of bounded size. The regions of a document that
+have a least hash in common with a shard are streamed through its automaton,
+which gives for every word the longest passage ending there (matching
+statistics); matches of a window's length or more are removed. A shard that many documents
 need is copied to as many tasks as they take, so that none is overrun.
 """
 
@@ -95,52 +95,83 @@ def _survey(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, hash long, n_words long, w1 long, w2 long, sha string, grams array<struct<gram:long,times:int>>")
 
 
-def _asked_rows(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+def _asked_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The entries of a list column and the row of each."""
-    lists = part.column(column)
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, id, hash, at) for each window of (id, hash, text, asked) whose least hash is asked for."""
+    """(w1, w2, num) for each window of (num, text, asked) whose least hash is asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, at in shared.passes(batch):
                 w = words.words_of(buf, at)
                 begin, least, each, _ = least_hashes(buf, w, window)
-                asked, row = _asked_rows(part, 3)
-                hit = np.isin(least ^ words.mix(w.doc[begin], 9), asked.astype(np.int64).view(U) ^ words.mix(row, 9))
+                asked, row = _asked_rows(part.column(2))
+                hit = np.isin(least ^ words.mix(w.doc[begin], 9), asked.view(U) ^ words.mix(row, 9))
                 begin = begin[hit]
-                doc = w.doc[begin]
                 keys = [pa.array(words.span_hashes(each, begin, begin + window, k).view(np.int64)) for k in (0, 1)]
-                who = [pa.array(part.column(i).to_numpy()[doc]) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, *who, pa.array((begin - w.first[doc]).astype(np.int32))], ["w1", "w2", "id", "hash", "at"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(part.column(0).to_numpy()[w.doc[begin]])], ["w1", "w2", "num"])
 
-    return texts.mapInArrow(run, "w1 long, w2 long, id long, hash long, at int")
+    return texts.mapInArrow(run, "w1 long, w2 long, num long")
 
 
 def _passages(texts: DataFrame, window: int) -> DataFrame:
-    """(id, hash, passage, n, grams) of (id, hash, text, starts): runs of starts as texts with their words and least hashes."""
+    """(num, passage, n, grams) of (num, text, starts): runs of the windows that start here first, with their words and least hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, at in shared.passes(batch):
                 w = words.words_of(buf, at)
-                begin, least, _, _ = least_hashes(buf, w, window)
-                starts, row = _asked_rows(part, 3)
-                first = np.sort(starts + w.first[row])
-                head = np.ones(len(first), bool)
-                head[1:] = np.diff(first) > 1
-                lo, hi = first[head], first[np.r_[head[1:], True]] + window
-                at_window = np.searchsorted(begin, first)
-                run_of = np.cumsum(head) - 1
-                raw, doc = buf.tobytes(), w.doc[lo]
+                begin, least, each, _ = least_hashes(buf, w, window)
+                asked, row = _asked_rows(part.column(2))
+                doc = w.doc[begin]
+                mine = np.isin(words.span_hashes(each, begin, begin + window) ^ words.mix(doc, 9), asked.view(U) ^ words.mix(row, 9))
+                first, least, doc = begin[mine], least[mine], doc[mine]
+                head = np.ones(len(first), bool)  # a step of more than one would let in a window that is not repeated
+                head[1:] = (np.diff(first) > 1) | (doc[1:] != doc[:-1])
+                cuts = np.flatnonzero(head)
+                lo, hi = first[cuts], first[np.r_[cuts[1:] - 1, len(first) - 1][: len(cuts)]] + window
+                raw = buf.tobytes()
                 text = [_joined(raw, w.start[a:b], w.end[a:b]) for a, b in zip(lo, hi, strict=True)]
-                grams = np.split(least[at_window], np.flatnonzero(np.diff(run_of)) + 1) if len(lo) else []
-                lists = pa.array([np.unique(g).view(np.int64) for g in grams], pa.list_(pa.int64()))
-                who = [pa.array(part.column(i).to_numpy()[doc]) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*who, pa.array(text, pa.binary()).cast(pa.string()), pa.array(hi - lo, pa.int64()), lists], ["id", "hash", "passage", "n", "grams"])
+                grams = [np.unique(g).view(np.int64) for g in np.split(least, cuts[1:])] if len(cuts) else []
+                who = pa.array(part.column(0).to_numpy()[doc[cuts]])
+                yield pa.RecordBatch.from_arrays([who, pa.array(text, pa.binary()).cast(pa.string()), pa.array(hi - lo, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["num", "passage", "n", "grams"])
+
+    return texts.mapInArrow(run, "num long, passage string, n long, grams array<long>")
+
+
+def _regions(texts: DataFrame, window: int) -> DataFrame:
+    """(id, hash, shard, at, n, text) of (id, hash, text, grams, shards): for each shard the runs of words whose windows have one of its grams."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, at in shared.passes(batch):
+                w = words.words_of(buf, at)
+                begin, least, _, _ = least_hashes(buf, w, window)
+                asked, row = _asked_rows(part.column(3))
+                shard, _ = _asked_rows(part.column(4))
+                wanted = asked.view(U) ^ words.mix(row, 9)
+                order = np.argsort(wanted, kind="stable")
+                wanted, shard = wanted[order], shard[order]
+                key = least ^ words.mix(w.doc[begin], 9)
+                lo, hi = np.searchsorted(wanted, key), np.searchsorted(wanted, key, side="right")
+                which = np.repeat(np.arange(len(begin)), hi - lo)  # a gram may be wanted by several shards
+                to = shard[np.repeat(lo, hi - lo) + np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+                order = np.lexsort((which, to))
+                first, to = begin[which[order]], to[order]
+                doc = w.doc[first]
+                step = np.ones(len(first), bool)
+                step[1:] = (np.diff(first) > window) | (to[1:] != to[:-1]) | (doc[1:] != doc[:-1])
+                cuts = np.flatnonzero(step)
+                a, b = first[cuts], first[np.r_[cuts[1:] - 1, len(first) - 1][: len(cuts)]] + window
+                raw = buf.tobytes()
+                text = [_joined(raw, w.start[x:y], w.end[x:y]) for x, y in zip(a, b, strict=True)]
+                who = [pa.array(part.column(i).to_numpy()[doc[cuts]]) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*who, pa.array(to[cuts], pa.int32()), pa.array((a - w.first[doc[cuts]]).astype(np.int32)), pa.array(b - a, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())],
+                    ["id", "hash", "shard", "at", "n", "text"],
+                )
 
-    return texts.mapInArrow(run, "id long, hash long, passage string, n long, grams array<long>")
+    return texts.mapInArrow(run, "id long, hash long, shard int, at int, n long, text string")
 
 
 class Automaton:
@@ -207,20 +238,20 @@ class Automaton:
 
 
 def _stream(rows: DataFrame, window: int) -> DataFrame:
-    """(id, hash, start, end) of matches; rows (shard, copy, kind, id, hash, text) of a copy come passages (kind 0) first."""
+    """(id, hash, start, end) of matches; of the rows (shard, copy, kind, id, hash, at, text) of a copy the passages (kind 0) come first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, machine = None, Automaton()
         for batch in batches:
             found: list[tuple[int, int, int, int]] = []
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for shard, copy, kind, i, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for shard, copy, kind, i, h, at, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if (shard, copy) != here:
                         here, machine = (shard, copy), Automaton()
                     if kind == 0:
                         machine.add(text.encode().split())
                     else:
-                        found += [(i, h, a, b) for a, b in machine.matches(text.encode().split(), window)]
+                        found += [(i, h, at + a, at + b) for a, b in machine.matches(text.encode().split(), window)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "hash", "start", "end"])
 
     return rows.mapInArrow(run, "id long, hash long, start int, end int")
@@ -272,26 +303,29 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     long = rows.where(F.col("n_words") >= window)
     nodes = long.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("id", "hash")).alias("node"), F.first("n_words").alias("n_words"), F.first("grams").alias("grams"))
     nodes = shared.cut(nodes.select("w1", "w2", "c", "node.id", "node.hash", "n_words", "grams"))
-    grams = nodes.select("id", "hash", "n_words", F.explode("grams").alias("g")).select("id", "hash", "n_words", "g.gram", "g.times")
+    # num stands for a node where a clash of two would only cost time.
+    num = F.xxhash64("id", "hash").alias("num")
+    grams = nodes.select(num, F.explode("grams").alias("g")).select("num", "g.gram", "g.times")
     twice = shared.cut(grams.groupBy("gram").agg(F.sum("times").alias("t")).where("t > 1").select("gram"))
-    asked = shared.cut(grams.join(twice, "gram", "left_semi").select("id", "hash", "n_words", "gram"))
-    texts = asked.groupBy("id", "hash").agg(F.collect_list("gram").alias("asked")).join(base, ["id", "hash"]).dropDuplicates(["id", "hash"])
-    texts = shared.cut(texts.select("id", "hash", "text", "asked"))
+    asked = shared.cut(grams.join(twice, "gram", "left_semi").select("num", "gram"))
+    texts = asked.groupBy("num").agg(F.collect_list("gram").alias("asked")).join(base.select(num, "id", "hash", "text"), "num").dropDuplicates(["id", "hash"])
+    texts = shared.cut(texts.select("num", "id", "hash", "text", "asked"))
 
-    found = _windows(texts, window).groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("id", "hash", "at")).alias("p")).where("c > 1")
-    starts = found.select("p.*").groupBy("id", "hash").agg(F.collect_list("at").alias("starts"))
-    passages = shared.cut(_passages(texts.join(starts, ["id", "hash"]).select("id", "hash", "text", "starts"), window))
+    found = _windows(texts.select("num", "text", "asked"), window).groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min("num").alias("num")).where("c > 1")
+    starts = found.groupBy("num").agg(F.collect_list("w1").alias("starts"))
+    passages = shared.cut(_passages(texts.join(starts, "num").select("num", "text", "starts"), window))
 
     total = passages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
-    passages = passages.withColumn("shard", F.pmod(F.hash("id", "hash"), F.lit(shards)))
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("num"), F.lit(shards)).cast("int"))
     where = passages.select("shard", F.explode("grams").alias("gram")).distinct()
-    routes = shared.cut(asked.join(where, "gram").select("id", "hash", "n_words", "shard").distinct())
-    load = routes.groupBy("shard").agg(F.ceil(F.sum("n_words") / COPY_WORDS).cast("int").alias("copies"))
-    load = shared.cut(load)
-    ask = routes.join(load, "shard").select("id", "hash", "shard", F.pmod(F.xxhash64("hash", "id"), F.col("copies")).cast("int").alias("copy"))
-    ask = ask.join(texts.select("id", "hash", "text"), ["id", "hash"]).select("shard", "copy", F.lit(1).alias("kind"), "id", "hash", "text")
-    tell = passages.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "id", "hash", F.col("passage").alias("text"))
+    routes = asked.join(where, "gram").groupBy("num").agg(F.collect_list(F.struct("gram", "shard")).alias("to"))
+    routes = texts.join(routes, "num").select("id", "hash", "text", F.col("to.gram").alias("grams"), F.col("to.shard").alias("shards"))
+    regions = shared.cut(_regions(routes, window))
+    load = shared.cut(regions.groupBy("shard").agg(F.ceil(F.sum("n") / COPY_WORDS).cast("int").alias("copies")))
+    ask = regions.join(load, "shard").select("shard", F.pmod(F.xxhash64("hash", "id"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "id", "hash", "at", "text")
+    none = F.lit(0)
+    tell = passages.join(load, "shard").select("shard", F.explode(F.sequence(none, F.col("copies") - 1)).alias("copy"), none.alias("kind"), F.col("num").alias("id"), F.col("num").alias("hash"), none.alias("at"), F.col("passage").alias("text"))
     tasks = max(1, load.agg(F.sum("copies")).first()[0] or 1)
     streamed = tell.union(ask).repartition(tasks, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     spans = shared.cut(_stream(streamed, window))
