@@ -12,7 +12,7 @@ class of item sizes are tried at every word of every document.
 All tables of a walk are followed at once: a window keeps one bit per table,
 which goes out at the first sampled step whose word no item has there, and a
 window without bits stops walking. Candidates are confirmed by edit distance in
-words over the whole document (bit-parallel dynamic programming).
+words (bit-parallel dynamic programming), then measured in the whole document.
 
 A copy with edits on a fifth of its words, the limit, is found with probability
 over 0.9; fewer edits raise that, and an exact copy is always found.
@@ -117,14 +117,15 @@ class Index:
                 filters[s] = f
             self.walks.append((tables, keys, filters, sum(1 << k for k in used)))
 
-    def candidates(self, hashes: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(row, number of an item) for windows, from any word on, that agree with the item in a table."""
-        out: set[tuple[int, int]] = set()
+    def candidates(self, hashes: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], set[int]]:
+        """By (row, number of an item): the words from which on a window agrees with the item in a table."""
+        out: dict[tuple[int, int], set[int]] = {}
         n = len(hashes)
         if self.single and n:
             alone = words.mix(hashes, 39)
             for b in np.flatnonzero(np.isin(alone, np.array(list(self.single), U))).tolist():
-                out.update((int(doc[b]), item) for item in self.single[int(alone[b])])
+                for item in self.single[int(alone[b])]:
+                    out.setdefault((int(doc[b]), item), set()).add(b)
         pair = pairs(hashes) if n else hashes
         for walk, (tables, keys, filters, used) in enumerate(self.walks):
             if not used or not n:
@@ -151,7 +152,8 @@ class Index:
                 if len(on):
                     sampled = np.stack([symbol[path[s][on]] for s in tables[k][1]], axis=1)
                     for b, key in zip(start[on].tolist(), map(tuple, sampled.tolist()), strict=True):
-                        out.update((int(doc[b]), item) for item in keys[k].get(key, ()))
+                        for item in keys[k].get(key, ()):
+                            out.setdefault((int(doc[b]), item), set()).add(b)
         return out
 
 
@@ -176,6 +178,17 @@ def edit_distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
     return best, end
 
 
+def near(item: list[bytes], text: list[bytes], starts: list[int], edits: float) -> bool:
+    """Whether the item leaks within its length of one of the starts."""
+    done = 0
+    for b in sorted(starts):
+        if b + len(item) >= done:
+            lo, done = max(0, b - len(item)), b + 3 * len(item)
+            if edit_distance(item, text[lo:done])[0] <= edits * len(item):
+                return True
+    return False
+
+
 def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, distance, end_word) for each document and item it leaks.
 
@@ -212,12 +225,12 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], edits: float) -> Data
                 found = []
                 raw = low.tobytes()
                 texts: dict[int, list[bytes]] = {}
-                for row, k in sorted(own.candidates(words.span_hashes(low, w.start, w.end), w.doc)):
+                for (row, k), starts in sorted(own.candidates(words.span_hashes(low, w.start, w.end), w.doc).items()):
                     item, asked = own.items[k]
                     if row not in texts:
                         texts = {row: raw[at[row] : at[row + 1]].split()}
-                    distance, end = edit_distance(asked, texts[row])
-                    if distance <= edits * len(asked):
+                    if near(asked, texts[row], [b - int(w.first[row]) for b in starts], edits):
+                        distance, end = edit_distance(asked, texts[row])
                         found.append((part.column(0)[row].as_py(), item, len(asked), distance, end))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["doc_id", "item_id", "item_words", "distance", "end_word"])
