@@ -113,10 +113,9 @@ def _exact(pairs: DataFrame, texts: DataFrame, size: int, lower: bool, percent:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if x != last[0]:
-                        last = x, shingles_of(x, size, lower)
-                    s = last[1]
-                    t = shingles_of(y, size, lower)
+                    if y != last[0]:  # rows come by b
+                        last = y, shingles_of(y, size, lower)
+                    s, t = shingles_of(x, size, lower), last[1]
                     common = len(s & t)
                     linked.append(100 * common >= percent * (len(s) + len(t) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
@@ -140,23 +139,27 @@ def _shingled(texts: DataFrame, size: int, lower: bool) -> DataFrame:
 def _rest(known: DataFrame, texts: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
     """(a, b) for all nodes of ``known`` (node, component) in different components that may be linked.
 
-    Prefix filter: of two sets with that similarity, each has one of the other's
-    rarest shingles among its own n - ceil(percent * n / 100) + 1 rarest ones. A
-    text whose own changes are over the limit thus has no partner at all. At
-    most one of a pair is in the component that holds most of a shingle's sets,
-    so only the others are joined with all.
+    Prefix filter: sets of n and m shingles with that similarity have an overlap
+    of t = ceil(percent * (n + m) / (100 + percent)) at least, so the rarest
+    shingle that they share is among the n - t + 1 rarest of one and the
+    m - t + 1 rarest of the other, and leaves room for the rest of the overlap
+    behind it in both. A text whose own changes are over the limit thus has
+    hardly any partner. At most one of a pair is in the component that holds
+    most of a shingle's sets, so only the others are joined with all.
     """
     sets = _shingled(texts.join(known.select("node"), "node", "left_semi"), size, lower)
     sets = shared.cut(sets)
     often = sets.groupBy("h").agg(F.count("*").alias("df"))
     rare = sets.join(often, "h").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
     rare = rare.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
-    rare = shared.cut(rare.join(known, "node").select("h", "node", "n", "component"))
+    rare = shared.cut(rare.join(known, "node").select("h", "node", "n", "rank", "component"))
     most = rare.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "component"))["component"].alias("most"), F.count("*").alias("parts"))
     most = shared.cut(most.where("parts > 1").select("h", "most"))
-    fewer = rare.join(most, "h").where("component <> most").select("h", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
+    fewer = rare.join(most, "h").where("component <> most").select("h", F.col("node").alias("a"), F.col("n").alias("m"), F.col("rank").alias("place"), F.col("component").alias("other"))
     fewer = shared.cut(fewer)
-    return rare.join(fewer, "h").where((F.col("component") != F.col("other")) & _alike(percent)).select("a", F.col("node").alias("b"))
+    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
+    left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("place")) + 1
+    return rare.join(fewer, "h").where((F.col("component") != F.col("other")) & (left >= overlap)).select("a", F.col("node").alias("b"))
 
 
 def _alike(percent: int):
@@ -181,7 +184,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = shared.cut(nodes)
 
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    heads = shared.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("head")).where("c > 1"))
+    heads = shared.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("n", "node"))["node"].alias("head")).where("c > 1"))
     members = shared.cut(banded.join(heads, "key").select("key", "node", "n", "c", "head"))
     texts = base.select(F.struct("id", "hash").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
     texts = shared.cut(texts.groupBy("node").agg(F.first("text").alias("text")))
@@ -193,7 +196,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = members.where("c > 2").drop("c", "head")  # of two nodes nothing is left to compare
     for turn in range(STARS + 1):
         known = members.join(whole.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.struct("node", "n", "component"))).alias("pick"))
+        # A family of texts that grew from a common core has its smallest as hub; others have it anywhere.
+        order = F.xxhash64("node", F.lit(turn)) if turn % 2 else F.col("n")
+        apart = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(order, F.struct("node", "n", "component"))).alias("pick"))
         apart = shared.cut(apart.where("lo <> hi").select("key", F.col("pick.col2.node").alias("a"), F.col("pick.col2.n").alias("m"), F.col("pick.col2.component").alias("other")))
         if apart.isEmpty():
             break

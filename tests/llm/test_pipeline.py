@@ -1,0 +1,70 @@
+"""The stages against plain versions of what each promises, stage by stage."""
+
+import random
+
+import corpus_pipeline as p
+import numpy as np
+import pytest
+from brute import docs as table_of
+from brute import write
+from test_decontam import expected as leaked
+from test_lines import expected as cut_lines
+from test_minhash import expected as grouped
+from test_quality import expected as judged
+
+from plexspark.llm import pieces
+from plexspark.llm.shared import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def near(docs):
+    kept = {r[0] for r in grouped(docs, 5) if r[3]}
+    return [d for d in docs if d[0] in kept]
+
+
+@pytest.fixture(scope="module")
+def start(spark):
+    return [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+
+
+def test_stages(spark, start):
+    docs, have = table(spark, SF, "documents"), start
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    assert [n for n, _ in p.STAGES] == ["quality rules", "line dedup", "MinHash near-dedup", "benchmark decontamination", "SentencePiece encoding"]
+    for n, (name, stage) in enumerate(p.STAGES):
+        out = p.cut(stage(spark, docs, SF))
+        if n == 0:
+            have = [(i, t) for i, t in have if judged(t)[-1]]
+        elif n == 1:
+            have = [(i, t) for i, t, _, gone in cut_lines(have) if t is not None and (not gone or t.strip(" \t\n\r\x0b\x0c"))]
+        elif n == 2:
+            have = near(have)
+        elif n == 3:
+            bad = {r[0] for r in leaked(have, items)}
+            have = [d for d in have if d[0] not in bad]
+        if n < 4:
+            assert out.columns == p.COLUMNS, name
+            assert rows(out) == sorted(have, key=str), name
+            docs = out
+    v = pieces.vocabulary(pieces.MODEL)
+    assert {r.doc_id: pieces.decode(v, r.ids) for r in out.collect()} == dict(have)
+    assert {r.doc_id for r in p.run(spark, SF).collect()} == {d for d, _ in have}
+
+
+def test_odd_rows(spark, tmp_path):
+    odd = [(1, None), (2, ""), (None, None), (None, "x"), (3, "some words " * 3), (3, "some words " * 3)]
+    rng = random.Random(1)
+    good = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(80))
+    sf = write(spark, tmp_path, documents=table_of(spark, [*odd, (7, good), (8, good), (None, good + " more of it")]), benchmark=spark.createDataFrame([(1, None)], "item_id long, text string"))
+    assert [r.doc_id for r in p.run(spark, sf).collect()] == [7]
+    sf = write(spark, tmp_path / "none", documents=table_of(spark, []), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    assert p.run(spark, sf).count() == 0
+
+
+def test_clean_prose_is_kept_by_the_bands(start):
+    assert np.mean([judged(t)[-1] for _, t in start]) > 0.7
