@@ -50,7 +50,7 @@ def significant(x: Column, digits: int = 6) -> Column:
     fixed = F.lit("0")
     for e in range(-4, digits):
         fixed = F.when(size == e, bare(F.format_string(f"%.{digits - 1 - e}f", x))).otherwise(fixed)
-    power = F.concat(F.when(size < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(size).cast("string"), 2, "0"))
+    power = F.concat(F.when(size < 0, F.lit("e-")).otherwise(F.lit("e+")), F.format_string("%02d", F.abs(size)))
     scientific = F.concat(bare(F.format_string(f"%.{digits - 1}f", mantissa(size))), power)
     out = F.when((size < -4) | (size >= digits), scientific).otherwise(fixed)
     return F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf")).otherwise(out)
