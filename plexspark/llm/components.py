@@ -1,45 +1,5 @@
-"""Connected components of a link table, by stars that grow until they are whole.
+"""Connected components of a link table; see ``plexspark.plans.connected``."""
 
-Each round hangs the larger ends of every node's links under its smallest
-neighbour (large star), then does the same with its smaller ends (small star).
-The rounds needed grow with the logarithm of the number of nodes, also for long
-chains. Minima are aggregated before they are shuffled, and joining them back
-is an ordinary join whose hot keys Spark can split, as both sides are read from
-checkpoints; no node's links ever meet in one task or in the driver.
-"""
+from plexspark.plans.connected import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from plexspark.llm import shared
-
-
-def _mark(links: DataFrame) -> tuple:
-    """Number of links and a sum over them that tells one set of links from another."""
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node that has a link to another; component is the smallest node reachable.
-
-    Links with a null end and links of a node to itself count for nothing;
-    repeated links count once; without links the result is empty.
-    """
-    x, y = F.col(a), F.col(b)
-    links = shared.cut(links.where(x != y).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct())
-    mark = _mark(links)
-    while mark[0]:
-        both = links.select(F.col("lo").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = shared.cut(both.groupBy("u").agg(F.min("v").alias("m")))
-        large = links.join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct()
-        links = shared.cut(large)
-        least = shared.cut(links.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
-        small = links.join(least, F.col("hi") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-        links = shared.cut(small.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-        last, mark = mark, _mark(links)
-        if mark == last:
-            break
-    inside = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    return inside.union(links.select("lo", "lo").distinct())
+__all__ = ["components"]

@@ -10,9 +10,10 @@ estimate the similarity with the concentration of independent samples.
 
 Bands of ``ROWS`` coordinates select candidates: with 40 bands of 6 a pair of
 similarity 0.8 is missed once in 190,000 times. Copies of a set are one node
-before that. A band's bucket is not expanded into pairs: all its nodes are
-compared with one of them, exactly and on whole texts; then, after components
-are known, those of other components with another one, for some rounds. Among
+before that. A band's bucket is not expanded into pairs: it has a centre, and a
+node is compared with the centres that most of its buckets have, exactly and on
+whole texts; then, after components are known, with centres in other
+components, for some rounds. Among
 what is still apart an exact prefix filter selects pairs between components, so
 no link that joins two of them is lost.
 """
@@ -30,8 +31,10 @@ from plexspark.llm import shared, words
 from plexspark.llm.components import components
 
 BANDS, ROWS = 40, 6
-#: Rounds in which a bucket is compared with one of its nodes.
-STARS = 2
+#: Rounds in which a node is compared with centres of its buckets, and with how many: those that most of them have.
+STARS, PICKS = 2, 16
+#: Rare shingles that two texts must share to be compared after that.
+COMMON = 2
 U = np.uint64
 EMPTY = U((1 << 64) - 1)
 LAST = (1 << 63) - 1
@@ -140,10 +143,9 @@ def _rest(known: DataFrame, texts: DataFrame, size: int, lower: bool, percent: i
     """(a, b) for all nodes of ``known`` (node, component) in different components that may be linked.
 
     Prefix filter: sets of n and m shingles with that similarity have an overlap
-    of t = ceil(percent * (n + m) / (100 + percent)) at least, so the rarest
-    shingle that they share is among the n - t + 1 rarest of one and the
-    m - t + 1 rarest of the other, and leaves room for the rest of the overlap
-    behind it in both. A text whose own changes are over the limit thus has
+    of t = ceil(percent * (n + m) / (100 + percent)) at least, so the n - t + k
+    rarest of one and the m - t + k rarest of the other have k in common (or t,
+    if that is less). A text whose own changes are over the limit thus has
     hardly any partner. At most one of a pair is in the component that holds
     most of a shingle's sets, so only the others are joined with all.
     """
@@ -151,15 +153,24 @@ def _rest(known: DataFrame, texts: DataFrame, size: int, lower: bool, percent: i
     sets = shared.cut(sets)
     often = sets.groupBy("h").agg(F.count("*").alias("df"))
     rare = sets.join(often, "h").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
-    rare = rare.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1))
+    rare = rare.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + COMMON) & (F.col("df") > 1))
     rare = shared.cut(rare.join(known, "node").select("h", "node", "n", "rank", "component"))
     most = rare.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "component"))["component"].alias("most"), F.count("*").alias("parts"))
     most = shared.cut(most.where("parts > 1").select("h", "most"))
     fewer = rare.join(most, "h").where("component <> most").select("h", F.col("node").alias("a"), F.col("n").alias("m"), F.col("rank").alias("place"), F.col("component").alias("other"))
     fewer = shared.cut(fewer)
     overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
-    left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("place")) + 1
-    return rare.join(fewer, "h").where((F.col("component") != F.col("other")) & (left >= overlap)).select("a", F.col("node").alias("b"))
+    left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("place")) + COMMON
+    met = rare.join(fewer, "h").where((F.col("component") != F.col("other")) & (left >= overlap))
+    met = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "h", overlap.alias("t")).groupBy("a", "b", "t").agg(F.countDistinct("h").alias("k"))
+    return met.where(F.col("k") >= F.least(F.lit(COMMON), F.col("t"))).select("a", "b")
+
+
+def _centres(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each node of (a, node) the PICKS that it has most often."""
+    often = pairs.groupBy("node", "a").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "a"))
+    return often.withColumn("place", place).where(F.col("place") <= PICKS).select("a", F.col("node").alias("b"))
 
 
 def _alike(percent: int):
@@ -184,27 +195,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = shared.cut(nodes)
 
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    heads = shared.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("n", "node"))["node"].alias("head")).where("c > 1"))
+    heads = shared.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("head")).where("c > 1"))
     members = shared.cut(banded.join(heads, "key").select("key", "node", "n", "c", "head"))
     texts = base.select(F.struct("id", "hash").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
     texts = shared.cut(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     sizes = nodes.select(F.col("node").alias("head"), F.col("n").alias("m"))
-    pairs = members.where("node <> head").select("head", "node", "n").distinct().join(sizes, "head").where(_alike(percent))
-    checked = _exact(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")), texts, size, lower, percent)
+    near = members.where("node <> head").join(sizes, "head").where(_alike(percent)).select(F.col("head").alias("a"), "node", "c")
+    pairs = near.where("c = 2").select("a", F.col("node").alias("b")).union(_centres(near.where("c > 2"))).distinct()
+    checked = _exact(pairs, texts, size, lower, percent)
     whole = components(checked.where("linked"))
     members = members.where("c > 2").drop("c", "head")  # of two nodes nothing is left to compare
     for turn in range(STARS + 1):
         known = members.join(whole.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # A family of texts that grew from a common core has its smallest as hub; others have it anywhere.
-        order = F.xxhash64("node", F.lit(turn)) if turn % 2 else F.col("n")
+        order = F.xxhash64("node", F.lit(turn))
         apart = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(order, F.struct("node", "n", "component"))).alias("pick"))
         apart = shared.cut(apart.where("lo <> hi").select("key", F.col("pick.col2.node").alias("a"), F.col("pick.col2.n").alias("m"), F.col("pick.col2.component").alias("other")))
         if apart.isEmpty():
             break
         members = shared.cut(known.join(apart.select("key"), "key", "left_semi").select("key", "node", "n", "component"))
         if turn < STARS:
-            pairs = members.join(apart, "key").where((F.col("component") != F.col("other")) & _alike(percent)).select("a", F.col("node").alias("b"))
+            pairs = members.join(apart, "key").where((F.col("component") != F.col("other")) & _alike(percent)).select("a", "node")
+            pairs = _centres(pairs)
         else:
             pairs = _rest(members.select("node", "component").distinct(), texts, size, lower, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from plexspark.plans import lineage
+
 #: Text bytes that one numpy pass holds; a longer single text is a pass of its own.
 PASS_BYTES = 1 << 20
 
@@ -19,40 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where none is named, a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
+#: Rows of an Arrow batch while ``cut`` runs, so that batches of texts stay small.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
-
-    Later jobs start from files that every executor sees, so neither lineage
-    nor estimates of sizes grow with the steps before, and a lost executor
-    costs the tasks it ran. The tables go when the program ends (``sweep``).
-    """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def sweep() -> None:
-    """Delete the tables of ``cut``; frames that rest on them can't be computed any more."""
-    while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is not None:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """``df`` as a table in the shared folder (see ``plexspark.plans.lineage.cut``), made with small Arrow batches."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        return lineage.cut(df)
+    finally:
+        conf.set(_BATCH, before)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
