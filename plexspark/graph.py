@@ -61,6 +61,12 @@ class Graph:
     def unweighted(self) -> Graph:
         return Graph(self.vertices, self.edges.select("src", "dst"), self.directed)
 
+    def settled(self) -> Graph:
+        """The same graph with its edges written as a table, for analytics that read them more than once."""
+        from plexspark.plans.lineage import cut
+
+        return Graph(self.vertices, cut(self.edges), self.directed)
+
     def symmetrized(self) -> Graph:
         return Graph(self.vertices, rules.symmetrize(self.edges), False)
 

@@ -106,7 +106,7 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 @query(_rank_sql(PAIR, "pair", "dst", PARTS))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(x.parts(spark, sf_dir).pagerank(10))
+    return _ranked(x.parts(spark, sf_dir).settled().pagerank(10))
 
 
 @query(_rank_sql(STEP, "dir", "dst", CUSTOMERS))
@@ -147,7 +147,7 @@ TRIANGLES = "SELECT count(*) AS triangles FROM {e} a JOIN {e} b ON b.src = a.dst
 
 @query(f"WITH {PAIR} " + TRIANGLES.format(e="pair"))
 def tc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir).triangle_count()
+    return x.parts(spark, sf_dir).settled().triangle_count()
 
 
 @query(f"WITH {BIP} " + TRIANGLES.format(e="bip"))
@@ -209,7 +209,7 @@ def gee_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_gee_sql("SELECT e.dst AS id, e.src AS other, e.weight / sqrt(CAST(a.d AS DOUBLE) * b.d) AS w FROM pair e JOIN deg a ON a.id = e.src JOIN deg b ON b.id = e.dst", PAIR + ", deg AS (SELECT src AS id, sum(weight) AS d FROM pair GROUP BY 1)"))
 def gee_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(x.parts(spark, sf_dir, weighted=True).gee_weighted(x.part_labels(spark, sf_dir), 5, laplacian=True))
+    return _cells(x.parts(spark, sf_dir, weighted=True).settled().gee_weighted(x.part_labels(spark, sf_dir), 5, laplacian=True))
 
 
 @query(f"WITH {PAIR} SELECT i.id, count(e.src) AS degree FROM ({PARTS}) i LEFT JOIN pair e ON e.dst = i.id GROUP BY 1")
@@ -235,7 +235,7 @@ def edge_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PAIR} SELECT p.src AS a, p.dst AS b, count(q.dst) AS common
 FROM pair p LEFT JOIN (pair e JOIN pair q ON q.dst = e.dst) ON e.src = p.src AND q.src = p.dst AND e.dst < least(p.src, p.dst) WHERE p.src < p.dst GROUP BY 1, 2""")
 def common_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = x.parts(spark, sf_dir)
+    g = x.parts(spark, sf_dir).settled()
     return g.common_neighbors(g.edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
