@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from plexspark.sources import adj
+from plexspark.sources import adj, generators
 
 PLAIN = {"bfs": "bfs.out", "bc": "bc.out", "pr": "pr.out", "cc": "cc.out", "tc": None, "gee": "gee.out"}
 WEIGHTED = {"bf": "bf.out", "gee": "gee_weighted.out"}
@@ -30,10 +30,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--src", type=int, default=0)
     p.add_argument("--iters", type=int, default=10)
     p.add_argument("--pr_rounds", type=int, default=10)
-    p.add_argument("-g", "--graph", required=True)
+    p.add_argument("-g", "--graph", required=True, help="an adjacency file, or skew for a generated graph with 100 hubs")
     p.add_argument("--algorithm", required=True)
     p.add_argument("-w", "--weights", action="store_true")
-    p.add_argument("-s", "--symmetric", default=True, type=lambda x: str(x).lower() not in ("false", "0", "no"))
+    p.add_argument("-s", "--symmetric", "--symetric", default=True, type=lambda x: str(x).lower() not in ("false", "0", "no"))
     p.add_argument("--nClusters", type=int, default=0)
     p.add_argument("--y_location", default="")
     p.add_argument("--laplacian", action="store_true")
@@ -41,7 +41,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--output", default=".", help="folder of the result")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("plexspark").getOrCreate()
-    g = adj.read_adj(spark, a.graph, weighted=a.weights, symmetric=a.symmetric)
+    if a.graph == "skew":
+        g = generators.skewed(spark).settled()
+    else:
+        g = adj.read_adj(spark, a.graph, weighted=a.weights, symmetric=a.symmetric).settled()
     labels = adj.read_labels(spark, a.y_location) if a.y_location else None
     took = []
     for i in range(a.iters):
