@@ -98,14 +98,15 @@ class Vocabulary:
         """The id that each pair merges into, or -1; ids below 0 never merge."""
         keys = a.astype(np.int64) * self.size + b
         out = np.full(len(keys), -1, np.int32)
-        left = np.flatnonzero((a >= 0) & (b >= 0))
-        slot = self._slot(keys[left])
+        left = np.flatnonzero((a | b) >= 0)
+        want = keys[left]
+        slot = self._slot(want)
         while len(left):
             there = self.keys[slot]
-            hit = there == keys[left]
+            hit = np.flatnonzero(there == want)
             out[left[hit]] = self.made[slot[hit]]
-            go = ~hit & (there >= 0)
-            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+            go = np.flatnonzero((there != want) & (there >= 0))
+            left, want, slot = left[go], want[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
 
@@ -169,15 +170,16 @@ def merge_all(v: Vocabulary, ids: np.ndarray, segment: np.ndarray, at: np.ndarra
     def offers(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order and result of merging symbol i with the next; NONE where there is nothing to merge."""
         order, made = np.full(len(i), NONE), np.full(len(i), -1, np.int32)
-        ok = np.flatnonzero(i < len(ids) - 1)
-        ok = ok[seg[i[ok]] == seg[i[ok] + 1]]
+        if len(i) and i[-1] == len(ids) - 1:
+            i = i[:-1]
+        ok = np.flatnonzero(seg[i] == seg[i + 1])
         j = i[ok]
         m = v.merged(ids[j], ids[j + 1])
-        hit = m >= 0
+        hit = np.flatnonzero(m >= 0)
         ok, j, m = ok[hit], j[hit], m[hit]
         if rate and len(j):
             a, b = where[j], where[j + 1]
-            stay = ~skipped(key[a], place[a], place[b], end[j + 1], rate)
+            stay = np.flatnonzero(~skipped(key[a], place[a], place[b], end[j + 1], rate))
             ok, m = ok[stay], m[stay]
         order[ok], made[ok] = v.order[m], m
         return order, made
@@ -190,18 +192,21 @@ def merge_all(v: Vocabulary, ids: np.ndarray, segment: np.ndarray, at: np.ndarra
         first = np.flatnonzero(edge)
         best = np.minimum.reduceat(order, first)
         width = np.diff(first, append=len(ids))
-        open_ = np.repeat(best < NONE, width)
-        done_ids.append(ids[~open_])  # segments without a candidate leave
-        done_where.append(where[~open_])
-        hits = np.flatnonzero((order == np.repeat(best, width)) & open_)
+        most = np.repeat(best, width)
+        open_ = most < NONE
+        gone = np.flatnonzero(~open_)
+        done_ids.append(ids[gone])  # segments without a candidate leave
+        done_where.append(where[gone])
+        hits = np.flatnonzero((order == most) & open_)
         lead = np.ones(len(hits), bool)
         np.not_equal(seg[hits[1:]], seg[hits[:-1]], out=lead[1:])
         left = hits[lead]  # the leftmost of the best
         ids[left], end[left] = made[left], end[left + 1]
         stay = open_
         stay[left + 1] = False
-        new = np.cumsum(stay, dtype=np.int32)[left] - 1
-        ids, seg, end, where, order, made = (x[stay] for x in (ids, seg, end, where, order, made))
+        stay = np.flatnonzero(stay)
+        new = np.searchsorted(stay, left)
+        ids, seg, end, where, order, made = (x.take(stay) for x in (ids, seg, end, where, order, made))
         near = np.zeros(len(ids) + 1, bool)
         near[new] = True
         near[new - 1] = True  # of the first symbol: the spare entry at the end
