@@ -195,17 +195,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = shared.cut(nodes)
 
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    heads = shared.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("head")).where("c > 1"))
-    members = shared.cut(banded.join(heads, "key").select("key", "node", "n", "c", "head"))
+    heads = shared.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("head")).where("c > 1"))
+    members = shared.cut(banded.join(heads, "key").select("key", "node", "n", "c", F.col("head.node").alias("head"), F.col("head.n").alias("m")))
     texts = base.select(F.struct("id", "hash").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
     texts = shared.cut(texts.groupBy("node").agg(F.first("text").alias("text")))
 
-    sizes = nodes.select(F.col("node").alias("head"), F.col("n").alias("m"))
-    near = members.where("node <> head").join(sizes, "head").where(_alike(percent)).select(F.col("head").alias("a"), "node", "c")
+    near = members.where("node <> head").where(_alike(percent)).select(F.col("head").alias("a"), "node", "c")
     pairs = near.where("c = 2").select("a", F.col("node").alias("b")).union(_centres(near.where("c > 2"))).distinct()
     checked = _exact(pairs, texts, size, lower, percent)
     whole = components(checked.where("linked"))
-    members = members.where("c > 2").drop("c", "head")  # of two nodes nothing is left to compare
+    members = members.where("c > 2").drop("c", "head", "m")  # of two nodes nothing is left to compare
     for turn in range(STARS + 1):
         known = members.join(whole.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         order = F.xxhash64("node", F.lit(turn))
