@@ -84,20 +84,23 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     asked = likely.select("_id", "_hash", "_chunk").distinct()
 
     # Bytes against bytes: of equal chunks the least place is kept.
-    whole = base.join(asked.groupBy("_id", "_hash").agg(F.collect_list("_chunk").alias("_asked")), ["_id", "_hash"])
+    # Neither side of the joins with documents has a bound, so they are merged at every size.
+    whole = base.join(asked.groupBy("_id", "_hash").agg(F.collect_list("_chunk").alias("_asked")).hint("merge"), ["_id", "_hash"])
     whole = whole.select("_id", "_hash", F.split(F.col(text), "\n", -1).alias("_lines"), "_asked")
     each = F.explode(F.transform("_asked", lambda c: F.struct(c.alias("c"), _text(F.col("_lines"), c).alias("bytes"))))
     each = whole.select("_id", "_hash", each.alias("_chunk")).select("_id", "_hash", F.col("_chunk.c").alias("_chunk"), F.col("_chunk.bytes").alias("_bytes"))
     kept = each.groupBy("_bytes").agg(F.min(F.struct("_id", "_hash", "_chunk")).alias("k")).select("k.*")
     gone = asked.join(kept, ["_id", "_hash", "_chunk"], "left_anti").groupBy("_id", "_hash").agg(F.collect_list("_chunk").alias("_gone"))
 
-    out = base.join(gone, ["_id", "_hash"], "left")
+    out = base.join(gone.hint("merge"), ["_id", "_hash"], "left")
     out = _cut_up(out, text).withColumn("_stay", F.array_except("_chunks", "_gone"))
     stay = F.array_join(F.transform("_stay", lambda c: _text(F.col("_lines"), c)), "\n")
     removed = F.aggregate("_gone", F.lit(0), lambda n, c: n + _last(c) - _first(c) + 1)
-    new = {text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(stay)}
-    return out.select(
-        *(new.get(c, F.col(c)).alias(c) for c in own),
+    new = F.struct(
+        F.when(F.col("_gone").isNull(), F.col(text)).otherwise(stay).alias("text"),
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
+    # As the only row of an array, so that it is computed once, whatever a caller does with its fields.
+    out = out.select(*(c for c in own if c != text), F.explode(F.array(new)).alias("_new"))
+    return out.select(*((F.col("_new.text") if c == text else F.col(c)).alias(c) for c in own), "_new.n_lines", "_new.n_removed")
