@@ -6,8 +6,9 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,6 @@ def sweep() -> None:
     """Delete the tables of ``cut``; frames that rest on them can't be computed any more."""
     while _written:
         spark, path = _written.pop()
-        if spark.sparkContext._jsc is not None:
+        with suppress(Py4JError, OSError, AttributeError):  # a session that has ended can't delete any more
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
