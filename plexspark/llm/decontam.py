@@ -1,26 +1,25 @@
-"""Benchmark decontamination (operator 2): CGK embedding, bit sampling, exact edit distance.
+"""Benchmark decontamination (operator 2): CGK embedding, sampled walks, exact edit distance.
 
 Words are A-Z lower-cased, and a symbol is a pair of words that follow each
 other, so that frequent words don't crowd the tables. The CGK embedding walks
 through a text: at each step it puts out the symbol it stands on and, by a
-random bit of that symbol and step, stays or goes on. Walks of texts at a small edit distance fall into
-step again after an edit, so their outputs are close in Hamming distance. A
-table of the index samples two steps of a walk; an item and a window whose
-samples agree are candidates. ``WALKS`` walks with ``TABLES`` tables for each
-class of item sizes are tried at every word of every document.
-
-All tables of a walk are followed at once: a window keeps one bit per table,
-which goes out at the first sampled step whose word no item has there, and a
-window without bits stops walking. Candidates are confirmed by edit distance in
-words (bit-parallel dynamic programming), then measured in the whole document.
-
-A copy with edits on a fifth of its words, the limit, is found with probability
-over 0.9; fewer edits raise that, and an exact copy is always found.
+random bit of that symbol and step, stays or goes on.
+
+``k`` edits spoil at most ``k`` of ``k + 1`` parts of an item, so each item is
+cut into one part more than it may have edits, over its whole length, and a walk
+starts at each of them. Its first steps can't leave the part, so it puts out the
+same at an unspoilt part in a document: every leak has a window that agrees with
+a part, wherever the edits are. Of ``WALKS`` walks the one that gets furthest in
+a part stands for it.
+
+Walks are tried at every word of every document that starts the first pair of a
+part. Candidates need enough of the item's words nearby, are confirmed by edit
+distance in words (bit-parallel dynamic programming), then measured in the whole
+document. None of these steps loses a leak.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,29 +29,14 @@ from pyspark.sql import functions as F
 
 from plexspark.llm import shared, words
 
-WALKS, TABLES = 3, 12
-#: (fewest words, sampled steps, steps among which they lie) of each class of items.
-CLASSES = ((1, 1, 1), (5, 1, 6), (8, 2, 12), (16, 2, 25), (32, 2, 50))
-#: The first sampled step lies among so many.
-EARLY = 8
-FILTER_BITS = 13
+#: Walks of each part, and steps of them that are compared at most.
+WALKS, STEPS = 4, 8
+FILTER_BITS = 18
 #: Items and characters of them that one pass over the documents looks for; more items take more passes.
 BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4_000_000
 U = np.uint64
 
 
-def _steps(walk: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(class, sampled steps) of each table of a walk."""
-    out: dict[tuple[int, tuple[int, ...]], None] = {}
-    rng = random.Random(walk)
-    for c, (_, m, among) in enumerate(CLASSES):
-        out[c, tuple(range(m))] = None  # steps that no walk leaves even the smallest item before
-        for _ in range(TABLES):
-            first = rng.randrange(min(EARLY, among - m + 1))
-            out[c, (first, *sorted(rng.sample(range(first + 1, among), m - 1)))] = None
-    return list(out)
-
-
 def pairs(hashes: np.ndarray) -> np.ndarray:
     """Each word with its successor, hashed; the last one is alone."""
     out = words.mix(hashes, 39)
@@ -60,101 +44,114 @@ def pairs(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _symbols(pair: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
-    """A symbol in a walk, and its 64 step bits."""
-    return words.mix(pair, 40 + walk), words.mix(pair, 80 + walk)
+def trails(pair: np.ndarray, walk: int, at: np.ndarray, steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each number of steps from 1 on, a hash of what a walk from each of ``at`` on puts out; and where they stand at the last step."""
+    out, key = [], np.zeros(len(at), U)
+    for s in range(steps):
+        if s:
+            at = np.minimum(at + ((words.mix(pair[at], 80 + walk) >> U(s)).astype(np.int64) & 1), len(pair) - 1)
+        key = words.mix(key ^ words.mix(pair[at], 40 + walk), 36)
+        out.append(key)
+    return out, at
 
 
-def trail(bits: np.ndarray, steps: int) -> np.ndarray:
-    """Positions of a walk from the first word on; past the end they stay there."""
-    at, out = 0, []
-    for s in range(steps):
-        out.append(min(at, len(bits)))
-        if at < len(bits):
-            at += int(bits[at] >> U(s)) & 1
-    return np.array(out)
+def parts(n: int, edits: float) -> list[tuple[int, int]]:
+    """(first word, end) of the parts of an item of ``n`` words, of which as many edits as it may have leave one whole."""
+    k = int(edits * n) + 1
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
+class Table:
+    """Numbers of parts by their keys."""
+
+    def __init__(self, keys: np.ndarray, part: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.part = part[order]
+        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the keys are here, and the first and number of the parts of each."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        on = np.flatnonzero(self.keys[at] == keys)
+        return on, self.first[at[on]], self.count[at[on]]
 
 
 class Index:
     """Tables over a bounded block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], edits: float):
         texts = [t.encode() for _, t in items]
         at = np.cumsum([0, *map(len, texts)])
         buf = words.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         w = words.words_of(buf, at)
         self.items = [(i, t.lower().split()) for (i, _), t in zip(items, texts, strict=True)]
+        self.distinct = [frozenset(t) for _, t in self.items]
         hashes = words.span_hashes(buf, w.start, w.end)
-        alone = words.mix(hashes, 39)
-        self.single: dict[int, list[int]] = {}
-        self.walks = []
-        for n, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-            if b - a == 1:
-                self.single.setdefault(int(alone[a]), []).append(n)
+        cut = [(n, a, b) for n, (_, t) in enumerate(self.items) if t for a, b in parts(len(t), edits)]
+        self.item, self.offset, end = np.array(cut, np.int64).reshape(-1, 3).T
+        size, start = end - self.offset, w.first[self.item] + self.offset
+        single = np.flatnonzero(size == 1)
+        self.single = Table(words.mix(hashes[start[single]], 39), single) if len(single) else None
+        paired = np.flatnonzero(size > 1)
+        self.walks: list[dict[int, Table]] = []
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        if not len(paired):
+            return
+        pair = pairs(hashes)
+        self.filter[(pair[start[paired]] >> U(64 - FILTER_BITS)).astype(np.int64)] = True
+        steps = np.minimum(size[paired] - 1, STEPS)  # no walk leaves the part before
+        keys, far = np.zeros((WALKS, len(paired)), U), np.zeros((WALKS, len(paired)), np.int64)
+        for walk in range(WALKS):
+            for m in np.unique(steps).tolist():
+                on = np.flatnonzero(steps == m)
+                out, stands = trails(pair, walk, start[paired[on]], m)
+                keys[walk, on], far[walk, on] = out[-1], stands - start[paired[on]]
+        best = far.argmax(axis=0)
         for walk in range(WALKS):
-            tables = _steps(walk)
-            keys: list[dict[tuple, list[int]]] = [{} for _ in tables]
-            last = max(s[-1] for _, s in tables) + 1
-            for n, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-                if b - a < 2:
-                    continue
-                symbol, bits = _symbols(pairs(hashes[a:b])[:-1], walk)
-                size = max(c for c, x in enumerate(CLASSES) if b - a >= x[0])
-                path = trail(bits, last)
-                for k, (c, steps) in enumerate(tables):
-                    on = path[list(steps)]
-                    if c == size and on[-1] < len(symbol):  # else the walk has left the item by then
-                        keys[k].setdefault(tuple(symbol[on].tolist()), []).append(n)
-            filters = {}
-            used = [k for k in range(len(tables)) if keys[k]]
-            for s in sorted({s for k in used for s in tables[k][1]}):
-                every = sum(1 << k for k in used if s not in tables[k][1])
-                f = np.full(1 << FILTER_BITS, every, U)
-                for k in used:
-                    if s in tables[k][1]:
-                        seen = np.array([x[tables[k][1].index(s)] for x in keys[k]], U) >> U(64 - FILTER_BITS)
-                        np.bitwise_or.at(f, seen.astype(np.int64), U(1 << k))
-                filters[s] = f
-            self.walks.append((tables, keys, filters, sum(1 << k for k in used)))
-
-    def candidates(self, hashes: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], set[int]]:
-        """By (row, number of an item): the words from which on a window agrees with the item in a table."""
-        out: dict[tuple[int, int], set[int]] = {}
-        n = len(hashes)
-        if self.single and n:
-            alone = words.mix(hashes, 39)
-            for b in np.flatnonzero(np.isin(alone, np.array(list(self.single), U))).tolist():
-                for item in self.single[int(alone[b])]:
-                    out.setdefault((int(doc[b]), item), set()).add(b)
-        pair = pairs(hashes) if n else hashes
-        for walk, (tables, keys, filters, used) in enumerate(self.walks):
-            if not used or not n:
-                continue
-            symbol, bits = _symbols(pair, walk)
-            coarse = (symbol >> U(64 - FILTER_BITS)).astype(np.int32)
-            start = np.arange(n, dtype=np.int32)
-            at, alive = start.copy(), np.full(n, used, U)
-            last = max(filters)
-            for s in range(last + 1):
-                if s in filters:
-                    alive &= filters[s][coarse[at]]
-                    go = alive != 0
-                    if s < 2 or np.count_nonzero(go) < 0.8 * len(go):
-                        start, at, alive = start[go], at[go], alive[go]
-                at += (bits[at] >> U(s)).astype(np.int32) & 1
-                np.minimum(at, n - 1, out=at)
-            at, path = start.astype(np.int64), []
-            for s in range(last + 1):  # once more for the few that are left, now with exact symbols
-                path.append(at)
-                at = np.minimum(at + ((bits[at] >> U(s)).astype(np.int64) & 1), n - 1)
-            for k in np.flatnonzero([bool(x) for x in keys]).tolist():
-                on = np.flatnonzero((alive >> U(k)) & U(1) == 1)
-                if len(on):
-                    sampled = np.stack([symbol[path[s][on]] for s in tables[k][1]], axis=1)
-                    for b, key in zip(start[on].tolist(), map(tuple, sampled.tolist()), strict=True):
-                        for item in keys[k].get(key, ()):
-                            out.setdefault((int(doc[b]), item), set()).add(b)
-        return out
+            self.walks.append({m: Table(keys[walk, on], paired[on]) for m in range(1, STEPS + 1) if len(on := np.flatnonzero((best == walk) & (steps == m)))})
+
+    def candidates(self, hashes: np.ndarray, first: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(row, number of an item, words of the row at which the item would start, in order), row by row."""
+        n, hits = len(hashes), []
+        if not n:
+            return
+        if self.single:
+            on, a, count = self.single.find(words.mix(hashes, 39))
+            hits.append((on, self.single.part, a, count))
+        if self.walks:
+            pair = pairs(hashes)
+            start = np.flatnonzero(self.filter[(pair >> U(64 - FILTER_BITS)).astype(np.int32)])
+            for walk, tables in enumerate(self.walks):
+                if tables and len(start):
+                    out, _ = trails(pair, walk, start, max(tables))
+                    for m, t in tables.items():
+                        on, a, count = t.find(out[m - 1])
+                        hits.append((start[on], t.part, a, count))
+        if not sum(len(h[0]) for h in hits):
+            return
+        where = np.concatenate([h[0] for h in hits])
+        which = np.concatenate([np.full(len(h[0]), i) for i, h in enumerate(hits)])
+        a, count = np.concatenate([h[2] for h in hits]), np.concatenate([h[3] for h in hits])
+        order = np.argsort(doc[where], kind="stable")
+        where, which, a, count = where[order], which[order], a[order], count[order]
+        edges = np.flatnonzero(np.diff(doc[where], prepend=-1, append=-1))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # parts are listed for one row at a time
+            row = int(doc[where[lo]])
+            part = np.concatenate([hits[t][1][x : x + c] for t, x, c in zip(which[lo:hi].tolist(), a[lo:hi].tolist(), count[lo:hi].tolist(), strict=True)])
+            begins = np.repeat(where[lo:hi] - first[row], count[lo:hi]) - self.offset[part]
+            item = self.item[part]
+            order = np.lexsort((begins, item))
+            item, begins = item[order], begins[order]
+            keep = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(begins, prepend=0) != 0))
+            item, begins = item[keep], begins[keep]
+            groups = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
+            for x, y in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
+                yield row, int(item[x]), begins[x:y].tolist()
+
+    def likely(self, k: int, text: list[bytes], start: int, edits: int) -> bool:
+        """Whether enough of an item's words are where a leak from about ``start`` on would have them; an edit takes at most one."""
+        near = text[max(0, start - edits) : max(0, start + len(self.items[k][1]) + edits)]
+        return len(self.distinct[k].intersection(near)) >= len(self.distinct[k]) - edits
 
 
 def edit_distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
@@ -199,8 +196,11 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "
     on either side repeat their results; other columns are dropped.
 
     Items are looked for in blocks of bounded size, each in one pass over the
-    documents without a shuffle, so any number of them can be given.
+    documents without a shuffle, so any number of them can be given. ``edits``
+    is less than 1, else no word of an item need be in a document.
     """
+    if not 0 <= edits < 1:
+        raise ValueError(f"edits must be in [0, 1), not {edits}")
     items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, -(-2 * count // BLOCK_ITEMS), -(-2 * chars // BLOCK_CHARS))
@@ -214,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str]], edits: float) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index(items))  # of a block of BLOCK_ITEMS items, about
+    index = docs.sparkSession.sparkContext.broadcast(Index(items, edits))  # of a block of BLOCK_ITEMS items, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -224,13 +224,14 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], edits: float) -> Data
                 w = words.words_of(low, at)
                 found = []
                 raw = low.tobytes()
-                texts: dict[int, list[bytes]] = {}
-                for (row, k), starts in sorted(own.candidates(words.span_hashes(low, w.start, w.end), w.doc).items()):
+                last, text = -1, []
+                for row, k, starts in own.candidates(words.span_hashes(low, w.start, w.end), w.first, w.doc):
                     item, asked = own.items[k]
-                    if row not in texts:
-                        texts = {row: raw[at[row] : at[row + 1]].split()}
-                    if near(asked, texts[row], [b - int(w.first[row]) for b in starts], edits):
-                        distance, end = edit_distance(asked, texts[row])
+                    if row != last:
+                        last, text = row, raw[at[row] : at[row + 1]].split()
+                    starts = [b for b in starts if own.likely(k, text, b, int(edits * len(asked)))]
+                    if near(asked, text, starts, edits):
+                        distance, end = edit_distance(asked, text)
                         found.append((part.column(0)[row].as_py(), item, len(asked), distance, end))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["doc_id", "item_id", "item_words", "distance", "end_word"])

@@ -93,3 +93,22 @@ def test_removal(spark):
     items = spark.createDataFrame([(1, "this is the question that nobody should see")], "item_id long, text string")
     rows = [(1, "clean"), (2, "x THIS is the question that nobody should see y"), (None, "fine"), (3, None)]
     assert sorted((r.doc_id for r in decontam.remove_leaks(docs(spark, rows), items).collect()), key=str) == [1, 3, None]
+
+
+def test_edits_in_one_place(spark):
+    """As many edits as an item may have, all at its start, middle or end, or evenly spread, for items of 5 to 200 words."""
+    rng = random.Random(8)
+    items, rows = [], []
+    for n in [*range(5, 61), 80, 120, 200]:
+        words = [f"v{n}_{i}" for i in range(n)]
+        k = n // 5
+        items.append((n, " ".join(words)))
+        for places in (range(k), range((n - k) // 2, (n - k) // 2 + k), range(n - k, n), range(2, n, 5)):
+            for kind in ("change", "drop", "insert"):
+                w = list(words)
+                for i in sorted(list(places)[:k], reverse=True):
+                    w[i : i + (kind != "insert")] = [] if kind == "drop" else [f"x{rng.random()}"]
+                rows.append((len(rows), " ".join(["before"] * rng.randint(0, 9) + w + ["after"] * rng.randint(0, 9))))
+    want = sorted((d, i, i, *distance(low(x), low(t))) for d, t in rows for i, x in [items[d // 12]])
+    assert all(k <= 0.2 * n for _, _, n, k, _ in want)
+    assert sorted(tuple(r) for r in decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()) == want
