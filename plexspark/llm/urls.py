@@ -5,7 +5,9 @@ page is linked to its own address without scheme, query, fragment, ``.html``
 and trailing slash, to the target of its canonical link and to the target of an
 immediate refresh. What is connected is one resource under several aliases: a
 block rule on one of them blocks those that no rule names, unless an alias is
-explicitly allowed. A page's own rule always decides for the page itself.
+explicitly allowed. Rules are held against every alias as it is written,
+whether or not it is a page of the table. A page's own rule always decides for
+the page itself.
 
 DataFrame functions only; the component search exchanges one row per link and
 round, aggregates before it shuffles, and ends after a number of rounds that
@@ -51,21 +53,42 @@ def own_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def _target(found: Column, host: Column) -> Column:
-    """Address of a link's target; one that begins with a slash is on the page's own host."""
-    h, p = host_path(found)
-    here = F.startswith(found, F.lit("/")) & ~F.startswith(found, F.lit("//"))
-    return F.when(here, address(host, F.regexp_extract(found, "^[^?#]*", 0))).otherwise(address(h, p))
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` segments resolved."""
+    kept = F.aggregate(
+        F.split(F.substr(path, F.lit(2)), "/"),
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x)),
+    )
+    folder = F.when(F.rlike(path, F.lit(r"/\.\.?$")) & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"), folder)).otherwise(path)
 
 
-def aliases(html: Column, host: Column) -> Column:
-    """Addresses that a page says are its own: of its canonical link and its refresh; an array with nulls."""
+def _target(found: Column, host: Column, path: Column) -> tuple[Column, Column]:
+    """Host and path of a link's target, resolved against its page; both null for none and for schemes without a host."""
+    own = F.regexp_extract(found, "^[^?#]*", 0)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "^.*/", 0), F.lit("")), F.lit("/"))
+    there_host, there_path = host_path(F.when(F.startswith(found, F.lit("//")), F.concat(F.lit("x:"), found)).otherwise(found))
+    there = F.startswith(found, F.lit("//")) | F.rlike(found, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://"))
+    void = (found == "") | (~there & F.rlike(found, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")))
+    here = F.when(own == "", path).when(F.startswith(own, F.lit("/")), _without_dots(own)).otherwise(_without_dots(F.concat(folder, own)))
+    return F.when(~void, F.when(there, there_host).otherwise(host)), F.when(~void, F.when(there, there_path).otherwise(here))
+
+
+def _end(host: Column, path: Column, rules: tuple) -> Column:
+    """The address of a link's end, and the verdict of the rule that names it before it is normalised."""
+    return F.struct(address(host, path).alias("address"), own_rule(host, path, rules)["verdict"].alias("verdict"))
+
+
+def aliases(html: Column, host: Column, path: Column, rules: tuple = RULES) -> Column:
+    """Addresses that a page says are its own, with their verdicts: of its canonical link and its refresh; null without html."""
     canonical = F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
     canonical = F.regexp_extract(canonical, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     refresh = F.regexp_extract(refresh, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    one = lambda word, c: F.when(F.ilike(html, F.lit(f"%{word}%")), _target(c, host))
-    return F.array(one("canonical", canonical), one("refresh", refresh))
+    one = lambda word, c: F.when(F.ilike(html, F.lit(f"%{word}%")), c)
+    found = F.filter(F.array(one("canonical", canonical), one("refresh", refresh)), lambda c: c != "")
+    return F.transform(found, lambda c: _end(*_target(c, host, path), rules))
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
@@ -74,24 +97,31 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple = R
     ``redirects`` may add links (from_url, to_url) known from elsewhere. The
     verdict is that of the page's own rule. Without one, it is ``allow`` if any
     alias has an allow rule, else ``block`` if any has a block rule, else
-    ``allow``. A null url, or one without ``://``, has an empty host and path,
+    ``allow``; the ends of all links count as aliases, also those that no row of
+    ``pages`` has. Relative links are resolved against the page's url (or from_url). A null url, or one without ``://``, has an empty host and path,
     no alias and no rule, and is allowed; null html has no links; repeated rows
     get equal results; other columns are dropped; no pages give no rows.
     """
     host, path = host_path(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html"))
     host, path = F.col("host"), F.col("path")
-    seen = seen.select("page_id", "host", "path", own_rule(host, path, rules).alias("own"), address(host, path).alias("address"), aliases(F.col("html"), host).alias("aliases"))
+    seen = seen.select("page_id", "host", "path", own_rule(host, path, rules).alias("own"), address(host, path).alias("address"), aliases(F.col("html"), host, path, rules).alias("aliases"))
     seen = shared.cut(seen)  # the pages are read and searched once
-    links = seen.where("address IS NOT NULL").select(F.col("address").alias("a"), F.explode("aliases").alias("b")).where("b IS NOT NULL")
+    pairs = seen.where("address IS NOT NULL").select(F.col("address").alias("a"), F.explode("aliases").alias("end")).where("end.address IS NOT NULL")
+    links, ends = pairs.select("a", F.col("end.address").alias("b")), pairs.select("end.*")
     if redirects is not None:
-        ends = [address(*host_path(F.col(c))).alias(n) for c, n in (("from_url", "a"), ("to_url", "b"))]
-        links = links.union(redirects.select(*ends))
+        source = host_path(F.col("from_url"))
+        moves = redirects.select(_end(*source, rules).alias("a"), _end(*_target(F.col("to_url"), *source), rules).alias("b"))
+        links = links.union(moves.select("a.address", "b.address"))
+        ends = ends.union(moves.select(F.explode(F.array("a", "b")).alias("end")).select("end.*"))
     ruled = seen.select("page_id", "host", "path", "own.rule", "own.verdict", "address")
     whole = components(links)
     alone = F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id"), F.lit(65536)).cast("string"))  # spreads pages without an address
     named = ruled.join(whole, F.col("address") == F.col("node"), "left").select("page_id", "host", "path", "rule", "verdict", "address", F.coalesce("component", "address", alone).alias("component"))
-    flags = named.where("verdict IS NOT NULL").groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"))
+    ends = ends.where("address IS NOT NULL AND verdict IS NOT NULL").distinct()
+    ends = ends.join(whole, F.col("address") == F.col("node"), "left").select(F.coalesce("component", "address").alias("component"), "verdict")
+    verdicts = named.where("verdict IS NOT NULL").select("component", "verdict").union(ends)
+    flags = verdicts.groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"))
     out = named.join(flags, "component", "left")
     verdict = F.coalesce("verdict", F.when(~F.col("allowed"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "address", "component")

@@ -57,3 +57,35 @@ def test_components_equal_union_find(spark):
             parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_rules_reach_addresses_that_are_no_pages(spark):
+    link = lambda u: f'<html><LINK href="{u}" rel="canonical"></html>'
+    refresh = lambda u: f"<meta http-equiv='refresh' content='0; url={u}'>"
+    got = judged(spark, [
+        page(1, "http://b.info/1", link("http://a.org/es/9")), page(2, "http://b.info/2", refresh("http://a.org/es/")), page(3, "http://b.info/3", link("http://x.net/de/1") + refresh("http://a.org/es/8")),
+        page(4, "http://b.info/4", link("http://a.org/es")), page(5, "http://x.com/en/1", link("http://x.net/de/1"))])
+    assert {i: r.verdict for i, r in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block"}  # 4 is an alias of 2
+    pages = spark.createDataFrame([(1, "http://a.info/1", None), (2, "http://a.info/2", None), (3, "http://a.info/3", None)], "page_id long, url string, html string")
+    moves = [("http://a.info/1", "http://m.info/1"), ("http://m.info/1", "http://a.org/es/1"), ("http://a.info/2", "http://a.org/es/2"), ("http://a.org/es/2", "http://b.net/de/2"), (None, "http://a.org/es/3"), ("http://a.info/3", "//a.org/es/4")]
+    assert {r.page_id: r.verdict for r in urls.judge(pages, spark.createDataFrame(moves, "from_url string, to_url string")).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_relative_links(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    bases = ["http://H.info/a/b/c.html", "http://h.info", "http://h.info/a/b/?q=/x/y#z/w", "https://h.info/a"]
+    links = ["x.html", "x/y", "./x", "../x", "../../../x/./y/..", "..", ".", "/x", "/x/../y/.", "//K.info/x", "//k.info", "?q=1", "#top", "x?u=http://k.info/z", "http://k.info/x", "http://k.info/x#y", "mailto:a@k.info", "/x/.y/..z"]
+    rows = [(n, b, f'<link rel="canonical" href="{u}">', None) for n, (b, u) in enumerate((b, u) for b in bases for u in links)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string").selectExpr("page_id", "url", "html")
+    host, path = urls.host_path(df.url)
+    got = {r.page_id: r.b for r in df.select("page_id", urls.aliases(df.html, host, path)[0]["address"].alias("b")).collect()}
+
+    def want(base, u):
+        to = urlsplit(urljoin(base, u))
+        return to.netloc.lower() + to.path.removesuffix("/").removesuffix(".html") if to.netloc else None
+
+    assert got == {n: want(b, u) for n, (b, u) in enumerate((b, u) for b in bases for u in links)}
+    pages = [page(1, "http://h.info/en/1", link := '<link rel="canonical" href="2.html">'), page(2, "http://h.info/en/3", link), page(3, "http://h.info/n", '<link rel="canonical" href="//a.com/en/1">')]
+    out = judged(spark, pages)
+    assert out[1].component == out[2].component == "h.info/en/1" and out[3].verdict == "block"
