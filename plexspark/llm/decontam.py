@@ -176,13 +176,17 @@ def edit_distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
 
 
 def near(item: list[bytes], text: list[bytes], starts: list[int], edits: float) -> bool:
-    """Whether the item leaks within its length of one of the starts."""
-    done = 0
-    for b in sorted(starts):
-        if b + len(item) >= done:
-            lo, done = max(0, b - len(item)), b + 3 * len(item)
-            if edit_distance(item, text[lo:done])[0] <= edits * len(item):
+    """Whether the item leaks from about one of the starts on; windows that overlap are looked at once, as a whole."""
+    k = int(edits * len(item))
+    lo = hi = 0
+    for b in [*sorted(starts), None]:
+        if b is None or b - k > hi:
+            if lo < hi and edit_distance(item, text[max(0, lo) : hi])[0] <= k:
                 return True
+            if b is None:
+                break
+            lo = b - k
+        hi = b + len(item) + k  # a leak is longer than its item by its edits at most
     return False
 
 

@@ -112,3 +112,16 @@ def test_edits_in_one_place(spark):
     want = sorted((d, i, i, *distance(low(x), low(t))) for d, t in rows for i, x in [items[d // 12]])
     assert all(k <= 0.2 * n for _, _, n, k, _ in want)
     assert sorted(tuple(r) for r in decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()) == want
+
+
+def test_a_leak_close_after_a_false_candidate():
+    item = [b"q%d" % i for i in range(20)]
+    leak = [item[0], *[b"x"] * 4, *item[1:]]  # 4 insertions, words 39 to 62
+    text = [b"a%d" % i for i in range(39)] + leak + [b"z"] * 30
+    assert decontam.near(item, text, [0, 39], 0.2) and not decontam.near(item, text, [0, 12], 0.2)
+    assert not decontam.near(item, text[:39], [0, 5], 0.2) and not decontam.near(item, text, [], 0.2)
+    rng = random.Random(2)
+    for _ in range(300):
+        item = rng.choices([b"a", b"b", b"c"], k=rng.randint(1, 12))
+        text = rng.choices([b"a", b"b", b"c", b"d"], k=rng.randint(0, 40))
+        assert decontam.near(item, text, list(range(-2, len(text))), 0.2) == (distance(item, text)[0] <= 0.2 * len(item))
