@@ -311,3 +311,43 @@ def adj_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIR30} SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors FROM pair GROUP BY 1")
 def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.parts(spark, sf_dir, returned=True).adjacency().select("id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+# The same over the whole parts graph, beside those over returned lines (which has more components and levels).
+
+
+@query(SQL["bfs_depth"].replace(PAIR30, PAIR))
+def bfs_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.parts(spark, sf_dir).bfs(0)
+
+
+@query(SQL["bfs_parent"].replace(PAIR30, PAIR))
+def bfs_parent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.parts(spark, sf_dir).bfs_parents(0)
+
+
+@query(SQL["bc"].replace(PAIR30, PAIR))
+def bc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = x.parts(spark, sf_dir).betweenness(0)
+    known = ~F.isnan("dependency")
+    return out.select("id", F.when(known, F.round("dependency", 6)).alias("dependency"), known.alias("reached"))
+
+
+@query(SQL["cc_min_label"].replace(PAIR30, PAIR))
+def cc_min_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.parts(spark, sf_dir).connected_components()
+
+
+@query(SQL["bellman_ford"].replace(PAIR30, PAIR))
+def bellman_ford_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.parts(spark, sf_dir, weighted=True).shortest_paths(0)
+
+
+@query(SQL["adj_offsets"].replace(PAIR30, PAIR))
+def adj_offsets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adj.adj_offsets(x.parts(spark, sf_dir))
+
+
+@query(SQL["adjacency_lists"].replace(PAIR30, PAIR))
+def adjacency_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.parts(spark, sf_dir).adjacency().select("id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
