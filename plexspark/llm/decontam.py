@@ -79,7 +79,7 @@ class Table:
 class Index:
     """Tables over a bounded block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float):
+    def __init__(self, items: list[tuple[str, str]], edits: float):
         texts = [t.encode() for _, t in items]
         at = np.cumsum([0, *map(len, texts)])
         buf = words.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
@@ -199,25 +199,29 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "
     null or empty texts, match nothing; null ids are passed on; repeated rows
     on either side repeat their results; other columns are dropped.
 
-    Items are looked for in blocks of bounded size, each in one pass over the
-    documents without a shuffle, so any number of them can be given. ``edits``
+    Distinct texts of items are looked for in blocks of bounded size, each in one
+    pass over the documents without a shuffle, so any number of them can be
+    given; the items of each text are joined to what is found. ``edits``
     is less than 1, else no word of an item need be in a document.
     """
     if not 0 <= edits < 1:
         raise ValueError(f"edits must be in [0, 1), not {edits}")
-    items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t"), F.sha2(F.col(item_text).cast("binary"), 256).alias("key"))
+    texts = items.select("key", "t").distinct()
+    count, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, -(-2 * count // BLOCK_ITEMS), -(-2 * chars // BLOCK_CHARS))
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        found = _search(own, [(r.i, r.t) for r in part.collect()], edits)
+        part = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
+        found = _search(own, [(r.key, r.t) for r in part.collect()], edits)
         out = found if out is None else out.union(found)
-    return out.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})
+    copies = items.groupBy("key", "item_id").agg(F.count("*").cast("int").alias("copies"))
+    out = out.join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "item_words", "distance", "end_word")
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], edits: float) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[str, str]], edits: float) -> DataFrame:
     index = docs.sparkSession.sparkContext.broadcast(Index(items, edits))  # of a block of BLOCK_ITEMS items, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +241,10 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], edits: float) -> Data
                     if near(asked, text, starts, edits):
                         distance, end = edit_distance(asked, text)
                         found.append((part.column(0)[row].as_py(), item, len(asked), distance, end))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["doc_id", "item_id", "item_words", "distance", "end_word"])
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["doc_id", "key", "item_words", "distance", "end_word"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, item_words long, distance long, end_word long")
+    return docs.mapInArrow(run, "doc_id long, key string, item_words long, distance long, end_word long")
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -125,3 +125,14 @@ def test_a_leak_close_after_a_false_candidate():
         item = rng.choices([b"a", b"b", b"c"], k=rng.randint(1, 12))
         text = rng.choices([b"a", b"b", b"c", b"d"], k=rng.randint(0, 40))
         assert decontam.near(item, text, list(range(-2, len(text))), 0.2) == (distance(item, text)[0] <= 0.2 * len(item))
+
+
+def test_repeated_items_are_indexed_once(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 8)
+    sizes, search = [], decontam._search
+    monkeypatch.setattr(decontam, "_search", lambda docs, items, edits: sizes.append(len(items)) or search(docs, items, edits))
+    items = [(i, " ".join(f"q{i}_{k}" for k in range(10))) for i in range(10)]
+    items += [(i, items[3][1]) for i in (3, 3, 20, None, None) for _ in range(8)]
+    rows = [(i, f"before {x} after") for i, x in items[:10]]
+    assert got(decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))) == expected(rows, items)
+    assert sum(sizes) == 10
