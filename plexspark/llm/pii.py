@@ -3,7 +3,7 @@
 Five kinds, in this order: ``email``, ``ip``, ``card``, ``phone``, ``iban``.
 The first four are fixed proposals with fixed checks (``base``); a proposal
 whose check fails is dropped and not retried. ``iban`` is what the method adds:
-a proposal that passes the mod-97 check. Cards of 13 to 15 digits are added to
+the longest part of a proposal, up to a space, that passes the mod-97 check. Cards of 13 to 15 digits are added to
 ``card`` only if Luhn passes and a context word stands nearby. Every span has a
 score: a start value of its kind, raised by a checksum and by context words
 within ``CONTEXT`` characters before it, lowered by words that speak against it.
@@ -86,6 +86,17 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", after)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``_IBAN`` that pass, or the longest part of each that passes from its start to a space; the search goes on behind that."""
+    m = _IBAN.search(text)
+    while m:
+        groups = [g.end() for g in re.finditer("[^ ]+", m[0])]
+        end = next((n for n in reversed(groups) if 15 <= len(i := m[0][:n].replace(" ", "")) <= 34 and mod97(i)), 0)
+        if end:
+            yield m.start(), m.start() + end
+        m = _IBAN.search(text, m.start() + (end or groups[0]))  # a match that fails may hide one that starts later
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """Confirmed spans without scores: kind, start, end, base."""
     if "@" in text:
@@ -104,9 +115,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
         for m in _PHONE.finditer(text):
             if 8 <= sum(map(str.isdecimal, m[0])) <= 15:
                 yield "phone", *m.span(), True
-    for m in _IBAN.finditer(text):
-        if 15 <= len(i := m[0].replace(" ", "")) <= 34 and mod97(i):
-            yield "iban", *m.span(), False
+    for a, b in ibans(text):
+        yield "iban", a, b, False
 
 
 def spans(text: str) -> list[Span]:

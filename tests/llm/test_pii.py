@@ -62,3 +62,12 @@ def test_empty_table_and_clashing_column(spark):
     df = docs(spark, []).selectExpr("*", "1 AS pii", "2 AS spans")
     out = pii.find_pii(df)
     assert out.count() == 0 and "spans" in out.columns and out.columns[-1] == "pii"
+
+
+def test_ibans_before_other_words():
+    iban, whole = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for text in (f"{iban} AB 12", f"{iban} IS MINE", f"{iban} 2024", f"AB12 {iban} AB 12", f"TO {iban} {whole} END", f"{whole} {iban} 7", f"XX00 1111 2222 {iban}, {whole}", f"{iban} {'ABC ' * 20}"):
+        found = [text[s.start : s.end] for s in pii.spans(text) if s.kind == "iban"]
+        assert found == sorted((x for x in (iban, whole) if x in text), key=text.index), text
+    assert not [s for s in pii.spans("DE89 3704 0044 0532 0130 01 AB 12 " + whole + "X") if s.kind == "iban"]
+    pii.spans("AB12 " * 40_000), pii.spans("AB12" * 40_000)
