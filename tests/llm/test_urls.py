@@ -89,3 +89,35 @@ def test_relative_links(spark):
     pages = [page(1, "http://h.info/en/1", link := '<link rel="canonical" href="2.html">'), page(2, "http://h.info/en/3", link), page(3, "http://h.info/n", '<link rel="canonical" href="//a.com/en/1">')]
     out = judged(spark, pages)
     assert out[1].component == out[2].component == "h.info/en/1" and out[3].verdict == "block"
+
+
+def test_links_equal_brute_force(spark):
+    """Components and verdicts over random canonical links, refreshes and redirects, which the SQL's tables don't have."""
+    import random
+
+    rng = random.Random(11)
+    some = lambda: f"http://{rng.choice(['a.com', 'b.net', 'c.org', 'd.info', 'example.com'])}/{rng.choice(['en', 'de', 'es', 'x'])}/{rng.randrange(60)}"
+    rows = [(i, some(), f'<link rel="canonical" href="{some()}">' * (rng.random() < 0.3) + f'<meta http-equiv="refresh" content="0; url={some()}">' * (rng.random() < 0.2)) for i in range(250)]
+    moves = [(some(), some()) for _ in range(40)]
+    bare = lambda u: u.split("://")[1]
+
+    def rule(u):
+        host, path = bare(u).split("/", 1)
+        fit = [(len(p), len(h), v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2] if fit else None
+
+    links = moves + [(u, x.split('"')[0]) for _, u, html in rows for x in html.replace("url=", 'href="').split('href="')[1:]]
+    every = {u for ends in links for u in ends} | {u for _, u, _ in rows}
+    component = {bare(u): bare(u) for u in every}
+    for _ in every:
+        before = dict(component)
+        for a, b in links:
+            component[bare(a)] = component[bare(b)] = min(component[bare(a)], component[bare(b)])
+        if before == component:
+            break
+    said = {}
+    for u in every:
+        said.setdefault(component[bare(u)], set()).add(rule(u))
+    want = {i: (rule(u) or ("allow" if "allow" in said[component[bare(u)]] or "block" not in said[component[bare(u)]] else "block"), component[bare(u)]) for i, u, _ in rows}
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(moves, "from_url string, to_url string")).collect()
+    assert {r.page_id: (r.verdict, r.component) for r in got} == want and len({c for _, c in want.values()}) < len({u for _, u, _ in rows})
