@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--laplacian", action="store_true")
     p.add_argument("--dump_output", default=True, type=lambda x: str(x).lower() not in ("false", "0", "no"))
     p.add_argument("--output", default=".", help="folder of the result")
+    p.add_argument("--one_file", action="store_true", help="write the result as one file, in one task, instead of part files in order")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("plexspark").getOrCreate()
     if a.graph == "skew":
@@ -57,9 +58,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             if name is None:
                 print(out.first()[0])
             elif a.algorithm == "gee":
-                adj.write_embedding(out, f"{a.output}/{name}", one_file=True)
+                adj.write_embedding(out, f"{a.output}/{name}", one_file=a.one_file)
             else:
-                adj.write_values(out, f"{a.output}/{name}", one_file=True)
+                adj.write_values(out, f"{a.output}/{name}", one_file=a.one_file)
     print(f"median {sorted(took)[len(took) // 2]:.6f} s, mean {statistics.fmean(took):.6f} s")
 
 

@@ -103,3 +103,25 @@ def test_stream_of_edges(spark, tmp_path):
     q = ingest.degree_counts(stream).writeStream.outputMode("complete").format("memory").queryName("deg").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.id: r.edges for r in spark.table("deg").collect()} == {0: 2, 1: 2, 2: 1}
+
+
+def test_command_line_writes_ordered_parts(spark, tmp_path):
+    n = 300
+    g = str(tmp_path / "path.adj")
+    starts = [max(0, 2 * i - 1) for i in range(n)]
+    ends = [j for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n]
+    with open(g, "w") as f:
+        f.write("\n".join(["AdjacencyGraph", *map(str, [n, len(ends), *starts, *ends])]) + "\n")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    text = {}
+    try:
+        for one in (False, True):
+            out = tmp_path / f"out{one}"
+            cli.main(["-g", g, "--algorithm", "pr", "--pr_rounds", "1", "--iters", "1", "--output", str(out), *["--one_file"] * one], spark)
+            files = sorted((out / "pr.out").glob("part-*"))
+            assert (len(files) == 1) == one
+            text[one] = "".join(f.read_text() for f in files).split()
+        assert len(text[True]) == n and text[True] == text[False]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
