@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
@@ -12,14 +13,17 @@ from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_path: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where none is named, a temporary one."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where none is named, a temporary one, on one machine only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
@@ -29,13 +33,41 @@ def cut(df: DataFrame) -> DataFrame:
 
     Later jobs start from files that every executor sees, so neither lineage
     nor estimates of sizes grow with the steps before, and a lost executor
-    costs the tasks it ran. The tables go when the program ends (``sweep``).
+    costs the tasks it ran. The tables go when they are dropped (``drop``), at
+    the latest when the program ends (``sweep``).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        _delete(_path.pop(df, None))
+
+
+def made() -> set[str]:
+    """The tables of ``cut`` that there are."""
+    return set(_written)
+
+
+def drop_since(before: set[str], *but: DataFrame) -> None:
+    """Delete the tables made since ``before`` was taken (``made``), but for some that stay."""
+    for path in made() - before - {_path.get(df) for df in but}:
+        _delete(path)
+
+
+def _delete(path: str | None) -> None:
+    if path in _written:
+        spark = _written.pop(path)
+        with suppress(Py4JError, OSError, AttributeError):  # a session that has ended can't delete any more
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
@@ -51,8 +83,5 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
 @atexit.register
 def sweep() -> None:
     """Delete the tables of ``cut``; frames that rest on them can't be computed any more."""
-    while _written:
-        spark, path = _written.pop()
-        with suppress(Py4JError, OSError, AttributeError):  # a session that has ended can't delete any more
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for path in list(_written):
+        _delete(path)
