@@ -47,7 +47,7 @@ def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int, lower: bool) -> tup
     each = words.span_hashes(buf, w.start, w.end)
     begin = words.window_starts(w, size)
     few = np.flatnonzero((w.counts > 0) & (w.counts < size))
-    h = np.r_[words.span_hashes(each, begin, begin + size), words.span_hashes(each, w.first[few], w.first[few + 1])]
+    h = np.r_[words.run_hashes(each, size)[begin] if len(begin) else begin.astype(U), words.span_hashes(each, w.first[few], w.first[few + 1])]
     row = np.r_[w.doc[begin], few]
     keep = np.unique(h ^ words.mix(row, 9), return_index=True)[1]
     keep = keep[np.argsort(row[keep], kind="stable")]

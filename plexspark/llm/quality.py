@@ -74,7 +74,7 @@ def repeated_words(buf: np.ndarray, w: words.Words, size: int = WINDOW) -> np.nd
     if not len(begin):
         return np.zeros(len(w.counts), np.int64)
     each = words.span_hashes(buf, w.start, w.end)
-    keys = words.mix(words.span_hashes(each, begin, begin + size) ^ words.mix(w.doc[begin], 7))
+    keys = words.mix(words.run_hashes(each, size)[begin] ^ words.mix(w.doc[begin], 7))
     inside = words.covered(begin[words.repeated(keys)], size, len(w.doc))
     return words.row_sums(inside, w.first)
 

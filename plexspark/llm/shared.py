@@ -34,6 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(_BATCH, before)
 
 
+drop, drop_since, made = lineage.drop, lineage.drop_since, lineage.made
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets (one more than rows); null is empty."""
     if column.null_count:

@@ -8,14 +8,18 @@ exchange hashes only:
 1. every text gives the least hash of the 8-word grams in each of its windows;
    a window that occurs twice has a least hash that occurs twice;
 2. the windows of those hashes are counted by 128-bit hashes, and each that
-   occurs twice is kept at its first place;
-3. first places that follow one another make up the reference passages.
-
-Passages are dealt to shards of bounded size. The regions of a document that
-have a least hash in common with a shard are streamed through its automaton,
-which gives for every word the longest passage ending there (matching
-statistics); matches of a window's length or more are removed. A shard that many documents
-need is copied to as many tasks as they take, so that none is overrun.
+   occurs twice is kept at one place;
+3. places that follow one another and have one least hash make up a reference
+   passage of bounded length.
+
+A least hash owns a shard: its passages and, of every document, the runs of
+windows that have it (regions) are sent there, so what is sent grows with the
+text that repeats and not with the number of shards. A hash with more passages
+than a shard may hold is split by a hash of the window. A shard's automaton
+gives for every word of a region the longest passage ending there (matching
+statistics); matches of a window's length or more are removed. A shard that many
+documents need is copied to as many tasks as they take, so that none is overrun.
+Texts with the same words (SHA-256 of them) are looked at once, for all copies.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ GRAM = 8
 SHARD_WORDS = 150_000
 #: Words of documents that one copy of a shard's automaton is asked for, about.
 COPY_WORDS = 2_000_000
+#: Windows of a passage or region at most; longer runs are cut, with a window's overlap.
+RUN = 1024
 LAST = (1 << 63) - 1
 U = np.uint64
 
@@ -49,15 +55,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - span :]) if width > span else out
 
 
-def least_hashes(buf: np.ndarray, w: words.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of windows, their least gram hash, hashes of all words, hashes of all grams)."""
-    each = words.span_hashes(buf, w.start, w.end)
+def least_hashes(each: np.ndarray, w: words.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of windows, their least gram hash, hashes of all grams) from the words' hashes."""
     begin = words.window_starts(w, window)
     if not len(begin):
-        return begin, np.empty(0, U), each, np.empty(0, U)
-    all_grams = np.arange(len(each) - GRAM + 1)
-    grams = words.span_hashes(each, all_grams, all_grams + GRAM)
-    return begin, _sliding_min(grams, window - GRAM + 1)[begin], each, grams
+        return begin, np.empty(0, U), np.empty(0, U)
+    grams = words.run_hashes(each, GRAM)
+    return begin, _sliding_min(grams, window - GRAM + 1)[begin], grams
 
 
 def _joined(buf: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
@@ -65,12 +69,12 @@ def _joined(buf: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 
 
 def _survey(docs: DataFrame, window: int) -> DataFrame:
-    """For each (id, hash, text): n_words, a 128-bit hash of the words, kept_sha256 of all words, and its least hashes with how often they occur (1, or 2 for more)."""
+    """For each (id, hash, text): n_words, the SHA-256 of its words joined by one space, and its least hashes with how often they occur (1, or 2 for more)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, at in shared.passes(batch):
                 w = words.words_of(buf, at)
-                begin, least, each, grams = least_hashes(buf, w, window)
+                begin, least, grams = least_hashes(words.span_hashes(buf, w.start, w.end), w, window)
                 doc = w.doc[begin]
                 change = np.ones(len(begin), bool)
                 change[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
@@ -85,14 +89,13 @@ def _survey(docs: DataFrame, window: int) -> DataFrame:
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 entry = pa.StructArray.from_arrays([pa.array(least.view(np.int64)), pa.array(np.where(again, 2, 1).astype(np.int32))], ["gram", "times"])
                 raw = buf.tobytes()
-                sha = [hashlib.sha256(_joined(raw, w.start[a:b], w.end[a:b])).hexdigest() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                whole = [words.span_hashes(each, w.first[:-1], w.first[1:], k).view(np.int64) for k in (0, 1)]
+                sha = [hashlib.sha256(_joined(raw, w.start[a:b], w.end[a:b])).digest() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(w.counts, pa.int64()), *map(pa.array, whole), pa.array(sha), pa.ListArray.from_arrays(pa.array(ends), entry)],
-                    ["id", "hash", "n_words", "w1", "w2", "sha", "grams"],
+                    [part.column(0), part.column(1), pa.array(w.counts, pa.int64()), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), entry)],
+                    ["id", "hash", "n_words", "sha", "grams"],
                 )
 
-    return docs.mapInArrow(run, "id long, hash long, n_words long, w1 long, w2 long, sha string, grams array<struct<gram:long,times:int>>")
+    return docs.mapInArrow(run, "id long, hash long, n_words long, sha binary, grams array<struct<gram:long,times:int>>")
 
 
 def _asked_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,73 +104,83 @@ def _asked_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, num) for each window of (num, text, asked) whose least hash is asked for."""
+    """(w1, w2, num, at, c) for each window of (num, c, text, asked) whose least hash is asked for; at: its first word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, at in shared.passes(batch):
                 w = words.words_of(buf, at)
-                begin, least, each, _ = least_hashes(buf, w, window)
-                asked, row = _asked_rows(part.column(2))
-                hit = np.isin(least ^ words.mix(w.doc[begin], 9), asked.view(U) ^ words.mix(row, 9))
-                begin = begin[hit]
-                keys = [pa.array(words.span_hashes(each, begin, begin + window, k).view(np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(part.column(0).to_numpy()[w.doc[begin]])], ["w1", "w2", "num"])
+                each = words.span_hashes(buf, w.start, w.end)
+                begin, least, _ = least_hashes(each, w, window)
+                asked, row = _asked_rows(part.column(3))
+                begin = begin[np.isin(least ^ words.mix(w.doc[begin], 9), asked.view(U) ^ words.mix(row, 9))]
+                doc = w.doc[begin]
+                both = (each, words.span_hashes(buf, w.start, w.end, 1))
+                keys = [pa.array(words.run_hashes(e, window, k)[begin].view(np.int64) if len(begin) else np.empty(0, np.int64)) for k, e in enumerate(both)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(part.column(0).to_numpy()[doc]), pa.array((begin - w.first[doc]).astype(np.int32)), pa.array(part.column(1).to_numpy()[doc])], ["w1", "w2", "num", "at", "c"])
 
-    return texts.mapInArrow(run, "w1 long, w2 long, num long")
+    return texts.mapInArrow(run, "w1 long, w2 long, num long, at int, c long")
+
+
+def _cuts(head: np.ndarray) -> np.ndarray:
+    """Where runs begin that ``head`` marks the heads of, none longer than RUN."""
+    n = np.arange(len(head))
+    return np.flatnonzero(head | ((n - np.maximum.accumulate(np.where(head, n, 0))) % RUN == 0))
 
 
 def _passages(texts: DataFrame, window: int) -> DataFrame:
-    """(num, passage, n, grams) of (num, text, starts): runs of the windows that start here first, with their words and least hashes."""
+    """(num, gram, n, passage) of (num, text, starts): runs of the windows that start there and have one least hash, n words long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, at in shared.passes(batch):
                 w = words.words_of(buf, at)
-                begin, least, each, _ = least_hashes(buf, w, window)
+                begin, least, _ = least_hashes(words.span_hashes(buf, w.start, w.end), w, window)
                 asked, row = _asked_rows(part.column(2))
-                doc = w.doc[begin]
-                mine = np.isin(words.span_hashes(each, begin, begin + window) ^ words.mix(doc, 9), asked.view(U) ^ words.mix(row, 9))
-                first, least, doc = begin[mine], least[mine], doc[mine]
+                mine = np.searchsorted(begin, np.sort(asked + w.first[row]))
+                first, least, doc = begin[mine], least[mine], w.doc[begin[mine]]
                 head = np.ones(len(first), bool)  # a step of more than one would let in a window that is not repeated
-                head[1:] = (np.diff(first) > 1) | (doc[1:] != doc[:-1])
-                cuts = np.flatnonzero(head)
+                head[1:] = (np.diff(first) > 1) | (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
+                cuts = _cuts(head)
                 lo, hi = first[cuts], first[np.r_[cuts[1:] - 1, len(first) - 1][: len(cuts)]] + window
                 raw = buf.tobytes()
                 text = [_joined(raw, w.start[a:b], w.end[a:b]) for a, b in zip(lo, hi, strict=True)]
-                grams = [np.unique(g).view(np.int64) for g in np.split(least, cuts[1:])] if len(cuts) else []
                 who = pa.array(part.column(0).to_numpy()[doc[cuts]])
-                yield pa.RecordBatch.from_arrays([who, pa.array(text, pa.binary()).cast(pa.string()), pa.array(hi - lo, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["num", "passage", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([who, pa.array(least[cuts].view(np.int64)), pa.array(hi - lo, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], ["num", "gram", "n", "passage"])
 
-    return texts.mapInArrow(run, "num long, passage string, n long, grams array<long>")
+    return texts.mapInArrow(run, "num long, gram long, n long, passage string")
 
 
-def _regions(texts: DataFrame, window: int) -> DataFrame:
-    """(id, hash, shard, at, n, text) of (id, hash, text, grams, shards): for each shard the runs of words whose windows have one of its grams."""
+def _regions(texts: DataFrame, window: int, shards: int) -> DataFrame:
+    """(id, hash, shard, at, n, text) of (id, hash, text, grams, parts): for each of the grams the runs of words whose windows have it, by the shard that owns it (or that part of it)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, at in shared.passes(batch):
                 w = words.words_of(buf, at)
-                begin, least, _, _ = least_hashes(buf, w, window)
+                each = words.span_hashes(buf, w.start, w.end)
+                begin, least, _ = least_hashes(each, w, window)
                 asked, row = _asked_rows(part.column(3))
-                shard, _ = _asked_rows(part.column(4))
+                parts, _ = _asked_rows(part.column(4))
                 wanted = asked.view(U) ^ words.mix(row, 9)
-                order = np.argsort(wanted, kind="stable")
-                wanted, shard = wanted[order], shard[order]
+                order = np.argsort(wanted)
                 key = least ^ words.mix(w.doc[begin], 9)
-                lo, hi = np.searchsorted(wanted, key), np.searchsorted(wanted, key, side="right")
-                which = np.repeat(np.arange(len(begin)), hi - lo)  # a gram may be wanted by several shards
-                to = shard[np.repeat(lo, hi - lo) + np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
-                order = np.lexsort((which, to))
-                first, to = begin[which[order]], to[order]
+                place = np.searchsorted(wanted[order], key)
+                hit = np.flatnonzero(wanted[order][np.minimum(place, len(order) - 1)] == key) if len(order) else np.empty(0, np.int64)
+                first, split = begin[hit], parts[order][place[hit]].astype(U) if len(hit) else np.empty(0, U)
+                owner = words.mix(least[hit], 61)
+                if (split > 1).any():
+                    many = split > 1
+                    owner[many] = words.mix(owner[many] + words.run_hashes(each, window)[first[many]] % split[many], 62)
+                order = np.lexsort((first, owner))
+                first, owner = first[order], owner[order]
                 doc = w.doc[first]
-                step = np.ones(len(first), bool)
-                step[1:] = (np.diff(first) > window) | (to[1:] != to[:-1]) | (doc[1:] != doc[:-1])
-                cuts = np.flatnonzero(step)
+                head = np.ones(len(first), bool)
+                head[1:] = (np.diff(first) > window) | (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
+                cuts = _cuts(head)
                 a, b = first[cuts], first[np.r_[cuts[1:] - 1, len(first) - 1][: len(cuts)]] + window
                 raw = buf.tobytes()
                 text = [_joined(raw, w.start[x:y], w.end[x:y]) for x, y in zip(a, b, strict=True)]
                 who = [pa.array(part.column(i).to_numpy()[doc[cuts]]) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*who, pa.array(to[cuts], pa.int32()), pa.array((a - w.first[doc[cuts]]).astype(np.int32)), pa.array(b - a, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())],
+                    [*who, pa.array((owner[cuts] % U(shards)).astype(np.int32)), pa.array((a - w.first[doc[cuts]]).astype(np.int32)), pa.array(b - a, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())],
                     ["id", "hash", "shard", "at", "n", "text"],
                 )
 
@@ -258,7 +271,7 @@ def _stream(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _settle(texts: DataFrame) -> DataFrame:
-    """(id, hash, spans, n_removed, sha) of (id, hash, text, found): spans joined, and a hash of the words that stay."""
+    """(id, hash, spans, n_removed, left) of (id, hash, text, found): spans joined, and a hash of the words that stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, gone, sha = [], [], []
@@ -277,11 +290,11 @@ def _settle(texts: DataFrame) -> DataFrame:
                     left += w[at:]
                     spans.append([{"start": a, "end": b} for a, b in own])
                     gone.append(len(w) - len(left))
-                    sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
+                    sha.append(hashlib.sha256(b" ".join(left)).digest())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "hash", "spans", "n_removed", "sha"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(gone, pa.int64()), pa.array(sha, pa.binary())], ["id", "hash", "spans", "n_removed", "left"])
 
-    return texts.mapInArrow(run, "id long, hash long, spans array<struct<start:int,end:int>>, n_removed long, sha string")
+    return texts.mapInArrow(run, "id long, hash long, spans array<struct<start:int,end:int>>, n_removed long, left binary")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
@@ -299,49 +312,46 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     rows = shared.cut(_survey(base, window))
 
-    # Equal texts are one node; whatever has a copy goes as a whole.
+    # Texts of the same words are one node, looked at once; each of its windows counts as often as it has copies.
     long = rows.where(F.col("n_words") >= window)
-    nodes = long.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("id", "hash")).alias("node"), F.first("n_words").alias("n_words"), F.first("grams").alias("grams"))
-    nodes = shared.cut(nodes.select("w1", "w2", "c", "node.id", "node.hash", "n_words", "grams"))
+    nodes = long.groupBy("sha").agg(F.count("*").alias("c"), F.min(F.struct("id", "hash")).alias("node"), F.first("grams").alias("grams"))
+    nodes = shared.cut(nodes.select("sha", "c", "node.id", "node.hash", "grams"))
     # num stands for a node where a clash of two would only cost time.
     num = F.xxhash64("id", "hash").alias("num")
-    grams = nodes.select(num, F.explode("grams").alias("g")).select("num", "g.gram", "g.times")
-    twice = shared.cut(grams.groupBy("gram").agg(F.sum("times").alias("t")).where("t > 1").select("gram"))
-    asked = shared.cut(grams.join(twice, "gram", "left_semi").select("num", "gram"))
-    texts = asked.groupBy("num").agg(F.collect_list("gram").alias("asked")).join(base.select(num, "id", "hash", "text"), "num").dropDuplicates(["id", "hash"])
-    texts = shared.cut(texts.select("num", "id", "hash", "text", "asked"))
-
-    found = _windows(texts.select("num", "text", "asked"), window).groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min("num").alias("num")).where("c > 1")
-    starts = found.groupBy("num").agg(F.collect_list("w1").alias("starts"))
+    grams = nodes.select(num, "c", F.explode("grams").alias("g")).select("num", "c", "g.gram", "g.times")
+    twice = shared.cut(grams.groupBy("gram").agg(F.sum(F.greatest("times", "c")).alias("t")).where("t > 1").select("gram"))
+    asked = shared.cut(grams.join(twice, "gram", "left_semi").select("num", "gram", "c"))
+    lists = asked.groupBy("num").agg(F.max("c").alias("c"), F.collect_list("gram").alias("asked"))
+    texts = lists.join(base.select(num, "id", "hash", "text"), "num").dropDuplicates(["num", "id", "hash"])
+    texts = shared.cut(texts.select("num", "c", "id", "hash", "text", "asked"))
+
+    found = _windows(texts.select("num", "c", "text", "asked"), window).groupBy("w1", "w2").agg(F.sum("c").alias("c"), F.min("num").alias("num"), F.min_by("at", "num").alias("at")).where("c > 1")
+    starts = found.groupBy("num").agg(F.collect_list("at").alias("starts"))
     passages = shared.cut(_passages(texts.join(starts, "num").select("num", "text", "starts"), window))
 
     total = passages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("num"), F.lit(shards)).cast("int"))
-    where = passages.select("shard", F.explode("grams").alias("gram")).distinct()
-    routes = asked.join(where, "gram").groupBy("num").agg(F.collect_list(F.struct("gram", "shard")).alias("to"))
-    routes = texts.join(routes, "num").select("id", "hash", "text", F.col("to.gram").alias("grams"), F.col("to.shard").alias("shards"))
-    regions = shared.cut(_regions(routes, window))
+    owned = shared.cut(passages.groupBy("gram").agg(F.ceil(F.sum("n") / SHARD_WORDS).cast("int").alias("parts")))
+    routes = asked.join(owned, "gram").groupBy("num").agg(F.collect_list(F.struct("gram", "parts")).alias("to"))
+    routes = texts.join(routes, "num").select("id", "hash", "text", F.col("to.gram").alias("grams"), F.col("to.parts").alias("parts"))
+    regions = shared.cut(_regions(routes, window, shards))
+    split = passages.join(owned, "gram").select(F.col("num").alias("id"), F.col("num").alias("hash"), F.col("passage").alias("text"), F.array("gram").alias("grams"), F.array("parts").alias("parts"))
     load = shared.cut(regions.groupBy("shard").agg(F.ceil(F.sum("n") / COPY_WORDS).cast("int").alias("copies")))
     ask = regions.join(load, "shard").select("shard", F.pmod(F.xxhash64("hash", "id"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "id", "hash", "at", "text")
-    none = F.lit(0)
-    tell = passages.join(load, "shard").select("shard", F.explode(F.sequence(none, F.col("copies") - 1)).alias("copy"), none.alias("kind"), F.col("num").alias("id"), F.col("num").alias("hash"), none.alias("at"), F.col("passage").alias("text"))
+    tell = _regions(split, window, shards).join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "id", "hash", "at", "text")
     tasks = max(1, load.agg(F.sum("copies")).first()[0] or 1)
     streamed = tell.union(ask).repartition(tasks, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     spans = shared.cut(_stream(streamed, window))
+    shared.drop(twice, asked, passages, owned, regions, load)
 
     gathered = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     settled = _settle(texts.join(gathered, ["id", "hash"]).select("id", "hash", "text", "found"))
-    nodes = nodes.select("w1", "w2", "c", "id", "hash").join(settled, ["id", "hash"], "left").select("w1", "w2", "c", "spans", "n_removed", F.col("sha").alias("left"))
+    settled = shared.cut(nodes.select("sha", "id", "hash").join(settled, ["id", "hash"]).select("sha", "spans", "n_removed", "left"))
+    shared.drop(nodes, texts, spans)
 
-    none = F.lit(hashlib.sha256(b"").hexdigest())
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    copied = F.coalesce(F.col("c") > 1, F.lit(False))
-    out = rows.where(F.col("n_words") >= window).drop("grams").join(nodes, ["w1", "w2"]).select(
-        "id", "n_words",
-        F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copied, none).otherwise(F.coalesce("left", "sha")).alias("kept_sha256"),
-        F.when(copied, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))).otherwise(F.coalesce("spans", empty)).alias("spans"),
+    out = rows.select("id", "n_words", "sha").join(settled, "sha", "left")
+    return out.select(
+        F.when(F.col("id") != LAST, F.col("id")).alias(doc_id), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.lower(F.hex(F.coalesce("left", "sha"))).alias("kept_sha256"), F.coalesce("spans", empty).alias("spans"),
     )
-    short = rows.where(F.col("n_words") < window).select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), empty.alias("spans"))
-    return out.union(short).select(F.when(F.col("id") != LAST, F.col("id")).alias(doc_id), "n_words", "n_removed", "kept_sha256", "spans")

@@ -16,42 +16,56 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Odd multipliers of the polynomial hashes; two of them give 128 bits.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+ODD = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (the public splitmix64 one) over an array."""
     x = np.asarray(x, U) + U(salt * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i up to n."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        size, inverse = max(n + 1, 1 << 16), pow(base, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            up, down = np.full(size, base, U), np.full(size, inverse, U)
-            up[0] = down[0] = 1
-            have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 1 << 23:
-            _POWERS[base] = have
-    return have
-
-
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair, from one running sum."""
-    if not len(start):
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each of these spans, which are in order and don't overlap.
+
+    Every value is mixed with its place in the span before the sum is taken and
+    mixed again, so there is no algebra by which long spans of a pattern could
+    agree, as in a polynomial; two seeds give 128 independent bits.
+    """
+    size, wide = end - start, 8 if values.dtype == np.uint8 else 1  # bytes go by eights
+    count = -(-size // wide)
+    behind = np.cumsum(count)
+    before = behind - count
+    place = np.arange(behind[-1] if len(size) else 0)
+    at = wide * (place - np.repeat(before, count)) + np.repeat(start, count)
+    if wide > 1:
+        padded = np.concatenate([values, np.zeros(wide, np.uint8)])
+        x = np.lib.stride_tricks.as_strided(padded, (len(values) + 1, wide), (1, 1))[at].view("<u8")[:, 0]
+        x &= _LOW[np.minimum(np.repeat(end, count) - at, wide)]
+    else:
+        x = values[at].astype(U)
+    x += (place - np.repeat(before, count)).view(U) * ODD
+    total = np.zeros(len(x) + 1, U)
+    np.cumsum(mix(x, 2 * seed + 1), out=total[1:])
+    return mix((total[behind] - total[before]) + size.astype(U) * ODD, 2 * seed + 2)
+
+
+def run_hashes(values: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` values: two runs of a power of two that overlap, each from two halves."""
+    if len(values) < size:
         return np.empty(0, U)
-    up, down = _powers(BASES[which], len(values))
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum((values.astype(U) + U(1)) * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start], which + 1)
+    out, span = mix(values, 2 * seed + 51), 1
+    while 2 * span <= size:
+        out = mix(out[:-span] * ODD + out[span:], 2 * seed + 52)
+        span *= 2
+    return mix(out[: len(values) - size + 1] * ODD + out[size - span :], 2 * seed + 53) if span < size else out
 
 
 @dataclass
