@@ -12,23 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str, returned: bool) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    if returned:
-        rows = rows.where("l_returnflag = 'R' AND l_quantity >= 30")
-    return rows.select("l_orderkey", "l_partkey", "l_quantity")
-
-
-def parts_edges(spark: SparkSession, sf_dir: str, returned: bool = False) -> DataFrame:
+def parts_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight): parts that share an order; the weight tells how far their quantities are apart."""
-    a = _lines(spark, sf_dir, returned)
+    a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     b = a.select("l_orderkey", F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q"))
     rows = a.join(b, "l_orderkey").where("l_partkey <> dst")
     return rows.select(F.col("l_partkey").alias("src"), "dst", (F.abs(F.col("l_quantity") - F.col("q")).cast("int") + 1).alias("weight"))
 
 
-def parts(spark: SparkSession, sf_dir: str, returned: bool = False, weighted: bool = False) -> Graph:
-    edges = parts_edges(spark, sf_dir, returned)
+def parts(spark: SparkSession, sf_dir: str, weighted: bool = False) -> Graph:
+    edges = parts_edges(spark, sf_dir)
     ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     return Graph.from_edges(edges if weighted else edges.select("src", "dst"), ids)
 

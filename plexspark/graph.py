@@ -93,6 +93,12 @@ class Graph:
         a, b = ("dst", "src") if inward else ("src", "dst")
         return self.edges.where(F.col(a) == vertex).select(F.col(b).alias("id"), *(["weight"] if self.weighted else []))
 
+    def neighbors_of(self, vertices: DataFrame, inward: bool = False) -> DataFrame:
+        """(id, neighbor[, weight]) for every vertex of a set (id)."""
+        a, b = ("dst", "src") if inward else ("src", "dst")
+        asked = vertices.select(F.col("id").alias(a)).distinct()
+        return self.edges.join(asked, a, "left_semi").select(F.col(a).alias("id"), F.col(b).alias("neighbor"), *(["weight"] if self.weighted else []))
+
     def adjacency(self) -> DataFrame:
         """(id, neighbors): sorted arrays; a vertex's array is one value, so hubs make large rows."""
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))

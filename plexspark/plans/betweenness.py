@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import edge_map
-from plexspark.plans.lineage import cut, held
+from plexspark.plans.lineage import cut, cut_counted, held
 
 
 def dependencies(g, source: int, transpose_backward: bool = False) -> DataFrame:
@@ -24,8 +24,8 @@ def dependencies(g, source: int, transpose_backward: bool = False) -> DataFrame:
     with held(g.edges.select("src", "dst").repartition("src")) as edges:
         seen = levels[0].select("id")
         while True:
-            new = cut(edge_map(edges, levels[-1], F.col("paths"), F.sum, cond=seen).withColumnRenamed("value", "paths"))
-            if new.isEmpty():
+            new, found = cut_counted(edge_map(edges, levels[-1], F.col("paths"), F.sum, cond=seen).withColumnRenamed("value", "paths"))
+            if not found:
                 break
             levels.append(new)
             if g.directed:

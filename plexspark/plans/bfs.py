@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import edge_map
-from plexspark.plans.lineage import cut, held
+from plexspark.plans.lineage import cut, cut_counted, held
 
 #: Levels that are read apart before they are written as one table.
 LEVELS_APART = 8
@@ -27,8 +27,8 @@ def search(g, source: int) -> DataFrame:
             seen = done if g.directed or before is None else level.select("id").union(before.select("id"))
             depth += 1
             new = edge_map(edges, level.select("id"), F.col("src"), F.min, cond=seen)
-            new = cut(new.select("id", F.lit(depth).alias("depth"), F.col("value").alias("parent")))
-            if new.isEmpty():
+            new, found = cut_counted(new.select("id", F.lit(depth).alias("depth"), F.col("value").alias("parent")))
+            if not found:
                 return done
             done, before, level, recent = done.union(new), level, new, recent + 1
             if recent >= LEVELS_APART:

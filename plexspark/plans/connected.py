@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import edge_map
-from plexspark.plans.lineage import cut, held
+from plexspark.plans.lineage import cut, cut_counted, held
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -59,10 +59,10 @@ def labels(g, weak: bool = False) -> DataFrame:
 def _downstream(g) -> DataFrame:
     """Rounds in which only vertices whose label fell send it on; the labels are written down each round."""
     with held(g.edges.select("src", "dst").repartition("src")) as edges:
-        label = cut(g.vertices.select("id", F.col("id").alias("component")))
+        label, fell = cut_counted(g.vertices.select("id", F.col("id").alias("component")))
         changed = label
-        while not changed.isEmpty():
+        while fell:
             sent = edge_map(edges, changed, F.col("component"), F.min)
-            changed = cut(label.join(sent, "id").where(F.col("value") < F.col("component")).select("id", F.col("value").alias("component")))
+            changed, fell = cut_counted(label.join(sent, "id").where(F.col("value") < F.col("component")).select("id", F.col("value").alias("component")))
             label = cut(label.union(changed).groupBy("id").agg(F.min("component").alias("component")))
         return label

@@ -49,9 +49,8 @@ def weighted(g, labels: DataFrame, k: int, laplacian: bool = False) -> DataFrame
     if laplacian:
         degree = g.weighted_degrees()
         ends = edges.join(degree.select(F.col("id").alias("src"), F.col("degree").alias("a")), "src").join(degree.select(F.col("id").alias("dst"), F.col("degree").alias("b")), "dst")
-        if not ends.where("a <= 0 OR b <= 0").isEmpty():
-            raise ValueError("the Laplacian needs positive weighted degrees")
-        edges = ends.select("src", "dst", (F.col("w") / F.sqrt(F.col("a").cast("double") * F.col("b"))).alias("w"))
+        wrong = F.raise_error("the Laplacian needs positive weighted degrees").cast("double")
+        edges = ends.select("src", "dst", (F.col("w") / F.when((F.col("a") <= 0) | (F.col("b") <= 0), wrong).otherwise(F.sqrt(F.col("a").cast("double") * F.col("b")))).alias("w"))
     rows = edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "w").union(edges.where("src <> dst").select("src", "dst", "w"))
     return _grid(g, k, _summed(rows, labels, k))
 

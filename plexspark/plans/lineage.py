@@ -6,15 +6,18 @@ import atexit
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JError
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 _path: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_inside: ContextVar[set[str] | None] = ContextVar("inside", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,29 +40,53 @@ def cut(df: DataFrame) -> DataFrame:
     the latest when the program ends (``sweep``).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    _written[path] = spark
+    path = place(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _path[out] = path
     return out
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder, for files that go as tables of ``cut`` do."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    _written[path] = spark
+    if (inside := _inside.get()) is not None:
+        inside.add(path)
+    return path
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, counted as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of ``cut`` that nothing reads any more; other frames are left alone."""
     for df in tables:
         _delete(_path.pop(df, None))
 
 
-def made() -> set[str]:
-    """The tables of ``cut`` that there are."""
-    return set(_written)
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``cut`` makes inside, in this thread, go at the end, but for those given to the function it yields."""
+    outer, made, kept = _inside.get(), set(), set()
+    token = _inside.set(made)
 
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_path[df])
+        return df
 
-def drop_since(before: set[str], *but: DataFrame) -> None:
-    """Delete the tables made since ``before`` was taken (``made``), but for some that stay."""
-    for path in made() - before - {_path.get(df) for df in but}:
-        _delete(path)
+    try:
+        yield keep
+    finally:
+        _inside.reset(token)
+        for path in made - kept:
+            _delete(path)
+        if outer is not None:
+            outer |= kept
 
 
 def _delete(path: str | None) -> None:

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import edge_map
-from plexspark.plans.lineage import cut, held
+from plexspark.plans.lineage import cut, cut_counted, held
 
 #: Distance of what is not reached; its negative stands everywhere if a negative cycle is.
 UNREACHED = 1073741823
 
 
-def _circular(state: DataFrame, source: int) -> bool:
-    """Whether parents lead round in a circle: doubling the steps, all must come to the source."""
-    step, n, far = cut(state.select("id", "parent")), state.count(), 1
+def _circular(state: DataFrame, n: int, source: int) -> bool:
+    """Whether parents of n vertices lead round in a circle: doubling the steps, all must come to the source."""
+    step, far = state.select("id", "parent"), 1
     while far < n:
         over = step.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
         step, far = cut(step.join(over, "parent").select("id", F.col("next").alias("parent"))), 2 * far
@@ -35,21 +35,23 @@ def distances(g, source: int) -> DataFrame:
     weighted = g.edges if g.weighted else g.edges.withColumn("weight", F.lit(1))
     at = F.lit(source).cast("long")
     state = cut(g.spark.range(1).select(at.alias("id"), F.lit(0).cast("long").alias("dist"), at.alias("parent")))
-    shorter, rounds = state, 0
+    shorter, fell, reached, rounds = state, 1, 1, 0
     with held(weighted.repartition("src")) as edges:
         below = edges.where("weight < 0")
         signed = not below.isEmpty()
-        while not shorter.isEmpty():
+        while fell:
             rounds += 1
             if signed:
                 cycle = not g.directed and not below.join(shorter.select(F.col("id").alias("src")), "src", "left_semi").isEmpty()
-                cycle = cycle or (rounds >= 4 and rounds & (rounds - 1) == 0 and _circular(state, source)) or rounds > state.count()
+                cycle = cycle or (rounds >= 4 and rounds & (rounds - 1) == 0 and _circular(state, reached, source)) or rounds > reached
                 if cycle:
                     return g.vertices.select("id", F.lit(-UNREACHED).alias("dist"))
             sent = edge_map(edges, shorter.select("id", "dist"), F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent")), F.min)
             known = state.select("id", F.col("dist").alias("old"))
             shorter = sent.join(known, "id", "left").where(F.col("old").isNull() | (F.col("value.dist") < F.col("old")))
-            shorter = cut(shorter.select("id", "value.dist", "value.parent"))
+            shorter, fell = cut_counted(shorter.select("id", "value.dist", "value.parent"))
+            if not fell:
+                break
             least = F.min(F.struct("dist", "parent")).alias("s")
-            state = cut(state.union(shorter).groupBy("id").agg(least).select("id", "s.dist", "s.parent"))
+            state, reached = cut_counted(state.union(shorter).groupBy("id").agg(least).select("id", "s.dist", "s.parent"))
     return g.vertices.join(state, "id", "left").select("id", F.coalesce("dist", F.lit(UNREACHED)).cast("int").alias("dist"))

@@ -27,10 +27,14 @@ def count(g) -> DataFrame:
 
 
 def common_neighbors(g, pairs: DataFrame) -> DataFrame:
-    """(a, b, common) for ``pairs`` (a, b): neighbours of both that are less than both."""
+    """(a, b, common) for ``pairs`` (a, b): neighbours of both that are less than both; the end of lower degree is expanded."""
     asked = pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct()
     edges = g.edges.select("src", "dst")
-    of_a = asked.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("x")), "a").where(F.col("x") < F.least("a", "b"))
-    of_both = of_a.join(edges.select(F.col("src").alias("b"), F.col("dst").alias("x")), ["b", "x"], "left_semi")
-    counted = of_both.groupBy("a", "b").agg(F.count("*").alias("common"))
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    both = asked.join(degree.select(F.col("id").alias("a"), F.col("d").alias("of_a")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("of_b")), "b")
+    turned = F.col("of_b") < F.col("of_a")
+    both = both.select("a", "b", F.when(turned, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("then"))
+    seen = both.join(edges.withColumnRenamed("dst", "x"), "src").where(F.col("x") < F.least("a", "b")).select("a", "b", "then", "x")
+    seen = seen.join(edges.select(F.col("src").alias("then"), F.col("dst").alias("x")), ["then", "x"], "left_semi")
+    counted = seen.groupBy("a", "b").agg(F.count("*").alias("common"))
     return asked.join(counted, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0)).alias("common"))

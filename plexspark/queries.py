@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from contextlib import redirect_stdout
+from io import StringIO
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexspark import cli
 from plexspark import fixtures as x
 from plexspark.functions import edges as rules
 from plexspark.graph import Graph
 from plexspark.operators import edge_map as ops
 from plexspark.operators import frontier
-from plexspark.sources import adj
+from plexspark.plans.lineage import place
+from plexspark.sources import adj, generators
+from plexspark.streaming import ingest
 
 SQL: dict[str, str] = {}
 QUERIES = {}
@@ -30,10 +37,6 @@ def query(sql: str | None):
 PAIR = """pair AS (
   SELECT a.l_partkey AS src, b.l_partkey AS dst, min(CAST(trunc(abs(a.l_quantity - b.l_quantity)) AS INT) + 1) AS weight
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
-PAIR30 = """pair AS (
-  SELECT a.l_partkey AS src, b.l_partkey AS dst, min(CAST(trunc(abs(a.l_quantity - b.l_quantity)) AS INT) + 1) AS weight
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
-  WHERE a.l_returnflag = 'R' AND a.l_quantity >= 30 AND b.l_returnflag = 'R' AND b.l_quantity >= 30 GROUP BY 1, 2)"""
 STEP = """step AS (
   SELECT a.o_custkey AS src, b.o_custkey AS dst, CAST(floor(a.o_totalprice / 1000) AS INT) AS weight
   FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1),
@@ -55,18 +58,18 @@ SELECT i.id, coalesce(w.d, -1) AS depth FROM ({ids}) i LEFT JOIN walk w ON w.v =
 PARTS, CUSTOMERS = "SELECT p_partkey AS id FROM part", "SELECT c_custkey AS id FROM customer"
 
 
-@query(_depth_sql(PAIR30, "pair", PARTS))
+@query(_depth_sql(PAIR, "pair", PARTS))
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir, returned=True).bfs(0)
+    return x.parts(spark, sf_dir).bfs(0)
 
 
-@query(f"""WITH RECURSIVE {PAIR30}, walk(v, d) USING KEY (v) AS (
+@query(f"""WITH RECURSIVE {PAIR}, walk(v, d) USING KEY (v) AS (
   SELECT CAST(0 AS BIGINT), 0 UNION
   SELECT e.dst, min(w.d + 1) FROM walk w JOIN pair e ON e.src = w.v LEFT JOIN recurring.walk r ON r.v = e.dst WHERE r.v IS NULL GROUP BY e.dst),
 up AS (SELECT b.v, min(a.v) AS p FROM walk b JOIN pair e ON e.dst = b.v JOIN walk a ON a.v = e.src AND a.d = b.d - 1 GROUP BY b.v)
 SELECT i.id, CASE WHEN i.id = 0 THEN 0 ELSE coalesce(u.p, -1) END AS parent FROM ({PARTS}) i LEFT JOIN up u ON u.v = i.id""")
 def bfs_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir, returned=True).bfs_parents(0)
+    return x.parts(spark, sf_dir).bfs_parents(0)
 
 
 @query(_depth_sql(STEP, "dir", CUSTOMERS))
@@ -74,7 +77,7 @@ def bfs_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.customers(spark, sf_dir).bfs(0)
 
 
-@query(f"""WITH RECURSIVE {PAIR30}, walk(v, d, s) USING KEY (v) AS (
+@query(f"""WITH RECURSIVE {PAIR}, walk(v, d, s) USING KEY (v) AS (
   SELECT CAST(0 AS BIGINT), 0, CAST(1 AS DOUBLE) UNION
   SELECT e.dst, min(w.d + 1), sum(w.s) FROM walk w JOIN pair e ON e.src = w.v LEFT JOIN recurring.walk r ON r.v = e.dst WHERE r.v IS NULL GROUP BY e.dst),
 deepest AS (SELECT max(d) AS d FROM walk),
@@ -85,7 +88,7 @@ back(v, d, s, delta) AS (
   FROM (SELECT DISTINCT d FROM back) t JOIN walk w ON w.d = t.d - 1 LEFT JOIN (pair e JOIN back b ON b.v = e.dst) ON e.src = w.v GROUP BY w.v)
 SELECT i.id, round(b.delta, 6) AS dependency, b.v IS NOT NULL AS reached FROM ({PARTS}) i LEFT JOIN back b ON b.v = i.id""")
 def bc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = x.parts(spark, sf_dir, returned=True).betweenness(0)
+    out = x.parts(spark, sf_dir).betweenness(0)
     known = ~F.isnan("dependency")
     return out.select("id", F.when(known, F.round("dependency", 6)).alias("dependency"), known.alias("reached"))
 
@@ -126,9 +129,9 @@ def _label_sql(edges: str, name: str, ids: str) -> str:
 SELECT v AS id, c AS component FROM cc"""
 
 
-@query(_label_sql(PAIR30, "pair", PARTS))
+@query(_label_sql(PAIR, "pair", PARTS))
 def cc_min_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir, returned=True).connected_components()
+    return x.parts(spark, sf_dir).connected_components()
 
 
 @query("""SELECT id, min(id) OVER (PARTITION BY c) AS component FROM (
@@ -155,12 +158,12 @@ def tc_bipartite_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.suppliers(spark, sf_dir).triangle_count()
 
 
-@query(f"""WITH RECURSIVE {PAIR30}, bf(v, d) USING KEY (v) AS (
+@query(f"""WITH RECURSIVE {PAIR}, bf(v, d) USING KEY (v) AS (
   SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION
   SELECT e.dst, min(bf.d + e.weight) FROM bf JOIN pair e ON e.src = bf.v LEFT JOIN recurring.bf r ON r.v = e.dst WHERE r.v IS NULL OR bf.d + e.weight < r.d GROUP BY e.dst)
 SELECT i.id, CAST(coalesce(bf.d, 1073741823) AS INT) AS dist FROM ({PARTS}) i LEFT JOIN bf ON bf.v = i.id""")
 def bellman_ford(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir, returned=True, weighted=True).shortest_paths(0)
+    return x.parts(spark, sf_dir, weighted=True).shortest_paths(0)
 
 
 @query(f"""WITH RECURSIVE {STEP}, bf(v, d) USING KEY (v) AS (
@@ -303,51 +306,186 @@ def batch_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.with_edges(more).edges
 
 
-@query(f"WITH {PAIR30} SELECT i.id, CAST(coalesce(sum(count(e.src)) OVER (ORDER BY i.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({PARTS}) i LEFT JOIN pair e ON e.src = i.id GROUP BY i.id")
+@query(f"WITH {PAIR} SELECT i.id, CAST(coalesce(sum(count(e.src)) OVER (ORDER BY i.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({PARTS}) i LEFT JOIN pair e ON e.src = i.id GROUP BY i.id")
 def adj_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adj.adj_offsets(x.parts(spark, sf_dir, returned=True))
+    return adj.adj_offsets(x.parts(spark, sf_dir))
 
 
-@query(f"WITH {PAIR30} SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors FROM pair GROUP BY 1")
+@query(f"WITH {PAIR} SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors FROM pair GROUP BY 1")
 def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir, returned=True).adjacency().select("id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+    return x.parts(spark, sf_dir).adjacency().select("id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
 
 
-# The same over the whole parts graph, beside those over returned lines (which has more components and levels).
+# Files: what is written is read again.
 
 
-@query(SQL["bfs_depth"].replace(PAIR30, PAIR))
-def bfs_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir).bfs(0)
+def _round_trip(g: Graph, **how) -> Graph:
+    path = place(g.spark)
+    adj.write_adj(g.settled(), path)
+    return adj.read_adj(g.spark, path, **how)
 
 
-@query(SQL["bfs_parent"].replace(PAIR30, PAIR))
-def bfs_parent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir).bfs_parents(0)
+@query(f"WITH {PAIR} SELECT src, dst FROM pair")
+def adj_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(x.parts(spark, sf_dir)).edges
 
 
-@query(SQL["bc"].replace(PAIR30, PAIR))
-def bc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = x.parts(spark, sf_dir).betweenness(0)
+@query(f"WITH {STEP} SELECT src, dst, weight FROM dir")
+def adj_weighted_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(x.customers(spark, sf_dir, weighted=True), symmetric=False).edges
+
+
+@query(f"WITH {STEP} SELECT src, dst FROM dir UNION SELECT dst, src FROM dir")
+def adj_symmetrized_without_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(x.customers(spark, sf_dir, weighted=True), weighted=False, symmetric=True).edges
+
+
+@query(f"WITH {STEP} SELECT src, dst, 1 AS weight FROM dir")
+def adj_given_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(x.customers(spark, sf_dir), weighted=True, symmetric=False).edges
+
+
+BAD = {"header": "Graph 1 1 0 0", "vertices": "AdjacencyGraph 0 1 0", "edges": "AdjacencyGraph 1 0 0", "short": "AdjacencyGraph 2 2 0 1 1", "long": "AdjacencyGraph 2 2 0 1 1 0 7", "weights": "WeightedAdjacencyGraph 2 2 0 1 1 0", "number": "AdjacencyGraph 2 2 0 1 x 0", "end": "AdjacencyGraph 2 2 0 1 2 0", "offsets": "AdjacencyGraph 2 2 1 0 1 0", "empty": " "}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', TRUE)" for c in BAD) + ", ('missing', TRUE)) v(kind, rejected)")
+def adj_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rejected(kind: str) -> bool:
+        path = place(spark)
+        if kind in BAD:
+            spark.createDataFrame([(BAD[kind],)], "value string").coalesce(1).write.text(path)
+        try:
+            adj.read_adj(spark, path)
+        except (ValueError, AnalysisException):
+            return True
+        return False
+
+    return spark.createDataFrame([(c, rejected(c)) for c in [*BAD, "missing"]], "kind string, rejected boolean")
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS label FROM customer")
+def labels_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark)
+    adj.write_values(x.customer_labels(spark, sf_dir), path)
+    return adj.read_labels(spark, path)
+
+
+@query("SELECT c_custkey AS id, format('{:g}', c_acctbal) AS line FROM customer")
+def value_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark)
+    adj.write_values(x.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), path)
+    return adj.lines(spark, path)
+
+
+@query(_gee_sql("SELECT dst AS id, src AS other, CAST(1 AS DOUBLE) AS w FROM dir UNION ALL SELECT src, dst, 1 FROM dir", STEP, NATION, CUSTOMERS, 25).replace("SELECT i.id, CAST(k.k AS INT) AS cluster, round(coalesce(c.value, 0), 9) AS value", "SELECT i.id, string_agg(printf('%.6f', coalesce(c.value, 0)), ' ' ORDER BY k.k) AS line") + " GROUP BY i.id")
+def embedding_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark)
+    adj.write_embedding(x.customers(spark, sf_dir).gee(x.customer_labels(spark, sf_dir), 25), path)
+    return adj.lines(spark, path)
+
+
+@query(_depth_sql(STEP, "dir", CUSTOMERS).replace("coalesce(w.d, -1) AS depth", "CAST(coalesce(w.d, -1) AS VARCHAR) AS line"))
+def command_line_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, out = place(spark), place(spark)
+    adj.write_adj(x.customers(spark, sf_dir).settled(), path)
+    with redirect_stdout(StringIO()):
+        cli.main(["-g", path, "--algorithm", "bfs", "--src", "0", "--iters", "1", "--symmetric", "false", "--output", out], spark)
+    return adj.lines(spark, f"{out}/bfs.out")
+
+
+# Lookups and vertex sets.
+
+
+def _rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))
+
+
+@query(f"WITH {STEP} SELECT src AS id, dst AS neighbor, weight FROM dir WHERE src IN ({RICH})")
+def neighbors_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.customers(spark, sf_dir, weighted=True).neighbors_of(_rich(spark, sf_dir))
+
+
+@query(f"WITH {STEP} SELECT dst AS id, src AS neighbor, weight FROM dir WHERE dst IN ({RICH})")
+def neighbors_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.customers(spark, sf_dir, weighted=True).neighbors_of(_rich(spark, sf_dir), inward=True)
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 5000 OR c_nationkey = 7 OR c_custkey IN (0, 3)")
+def frontier_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = x.table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("id"))
+    return frontier.insert(frontier.insert(frontier.insert(_rich(spark, sf_dir), more), frontier.single(spark, 0)), frontier.of(spark, [0, 3]))
+
+
+@query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def frontier_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.members(_rich(spark, sf_dir), x.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct())
+
+
+@query("SELECT count(*) FILTER (WHERE c_acctbal > 5000) AS size, count(*) FILTER (WHERE c_acctbal > 5000) > 0 AS non_empty, count(*) FILTER (WHERE c_acctbal > 1e12) > 0 AS none_left FROM customer")
+def frontier_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = _rich(spark, sf_dir)
+    none = x.table(spark, sf_dir, "customer").where("c_acctbal > 1e12").select(F.col("c_custkey").alias("id"))
+    return spark.createDataFrame([(frontier.size(rich), frontier.non_empty(rich), frontier.non_empty(none))], "size long, non_empty boolean, none_left boolean")
+
+
+# Generators: partners are drawn by a hash that the SQL has too.
+
+
+def _drawn_sql(first: str, each: int, seed: int) -> str:
+    return f"""WITH n AS (SELECT count(*) AS n FROM part),
+one AS (SELECT s.s AS src, CAST('0x' || substr(md5(s.s || '/' || i.i || '/{seed}'), 1, 15) AS BIGINT) % n AS dst FROM n, range({first}) s(s), range(1, {each + 1}) i(i))
+SELECT src, dst FROM one WHERE src <> dst UNION SELECT dst, src FROM one WHERE src <> dst"""
+
+
+@query(_drawn_sql("(SELECT n FROM n)", 4, 1))
+def generator_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.uniform(spark, x.table(spark, sf_dir, "part").count(), per_node=8, seed=1).edges
+
+
+@query(_drawn_sql("10", 500, 2))
+def generator_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.skewed(spark, x.table(spark, sf_dir, "part").count(), hubs=10, degree=500, seed=2).edges
+
+
+# Directed and weak forms.
+
+
+@query(SQL["bc"].replace(PAIR, STEP).replace("JOIN pair e", "JOIN dir e").replace("(pair e", "(dir e").replace(PARTS, CUSTOMERS))
+def bc_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = x.customers(spark, sf_dir).betweenness(0, transpose_backward=True)
     known = ~F.isnan("dependency")
     return out.select("id", F.when(known, F.round("dependency", 6)).alias("dependency"), known.alias("reached"))
 
 
-@query(SQL["cc_min_label"].replace(PAIR30, PAIR))
-def cc_min_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir).connected_components()
+@query(_label_sql(STEP + ", link AS (SELECT src, dst FROM dir UNION SELECT dst, src FROM dir)", "link", CUSTOMERS))
+def cc_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.customers(spark, sf_dir).connected_components(weak=True)
 
 
-@query(SQL["bellman_ford"].replace(PAIR30, PAIR))
-def bellman_ford_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir, weighted=True).shortest_paths(0)
+@query(_gee_sql("SELECT dst AS id, src AS other, CAST(weight AS DOUBLE) AS w FROM dir UNION ALL SELECT src, dst, weight FROM dir", STEP, NATION, CUSTOMERS, 25))
+def gee_weighted_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(x.customers(spark, sf_dir, weighted=True).gee_weighted(x.customer_labels(spark, sf_dir), 25))
 
 
-@query(SQL["adj_offsets"].replace(PAIR30, PAIR))
-def adj_offsets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adj.adj_offsets(x.parts(spark, sf_dir))
+# Edges that arrive as a stream, in batches of a file.
 
 
-@query(SQL["adjacency_lists"].replace(PAIR30, PAIR))
-def adjacency_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir).adjacency().select("id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, steps = place(spark), x.customer_steps(spark, sf_dir).select("src", "dst")
+    steps.repartition(3).write.parquet(path)
+    return spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"WITH {STEP} SELECT src, dst FROM dir UNION SELECT dst, src FROM dir")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark)
+    ingest.ingest(_stream(spark, sf_dir), path, place(spark)).awaitTermination()
+    return ingest.load(spark, path).edges
+
+
+@query(f"WITH {STEP} SELECT src AS id, count(*) AS edges FROM step GROUP BY 1")
+def stream_degree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark)
+    counts = ingest.degree_counts(_stream(spark, sf_dir)).writeStream.outputMode("complete").option("checkpointLocation", place(spark))
+    counts.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)

@@ -2,7 +2,8 @@
 
 Words are told apart by blanks, wherever lines break, so the place of a word in
 the whole file gives its meaning. Places are counted per block of the file and
-summed over blocks; no file passes through one task.
+summed over blocks; no file passes through one task, whether its words stand on
+lines of their own or all on one, as rows end where the file has most blanks.
 """
 
 from __future__ import annotations
@@ -11,15 +12,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexspark.functions import edges as rules
+from plexspark.functions.order import numbered
 from plexspark.graph import Graph
 from plexspark.plans.lineage import cut
 
 PLAIN, WEIGHTED = "AdjacencyGraph", "WeightedAdjacencyGraph"
 
 
+#: Bytes at the start of a file that tell how long its lines are, and a length beyond which rows end at spaces instead.
+HEAD, LINE = 1 << 16, 1 << 12
+
+
+def separator(spark: SparkSession, path: str) -> str:
+    """What ends a row, so that rows are short: a line feed, or a space where lines are long. Looks at the first bytes of the first file."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for f in store.globStatus(where) or []]
+    files = [g for f in found for g in (store.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    files = sorted((f for f in files if f.getLen() and not f.getPath().getName().startswith(("_", "."))), key=lambda f: f.getPath().toString())
+    if not files:
+        return "\n"
+    stream = store.open(files[0].getPath())
+    try:
+        head = bytes(jvm.org.apache.commons.io.IOUtils.readFully(stream, min(files[0].getLen(), HEAD)))
+    finally:
+        stream.close()
+    return "\n" if max(map(len, head.split(b"\n"))) < LINE else " "
+
+
 def words(spark: SparkSession, path: str) -> DataFrame:
     """(place, word) of a text file or a folder of part files, places counted from 0."""
-    lines = spark.read.text(path).select(F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.split("value", r"[ \t\r\n\x00]+").alias("w"))
+    lines = spark.read.text(path, lineSep=separator(spark, path)).select(F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.split("value", r"[ \t\r\n\x00]+").alias("w"))
     lines = cut(lines.select("block", "line", F.filter("w", lambda x: x != "").alias("w")).where(F.size("w") > 0))
     sizes = lines.groupBy("block").agg(F.sum(F.size("w")).alias("size"))
     before = sizes.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a block
@@ -71,19 +95,10 @@ def read_adj(spark: SparkSession, path: str, weighted: bool | None = None, symme
     return Graph.from_edges(edges, n, directed=not symmetric, drop_self_loops=drop_self_loops)
 
 
-def _numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with its rank (j) in that order: sorted by ranges, counted per range, summed over ranges."""
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_part", F.shiftright("_n", 33)).withColumn("_row", F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("size"))
-    before = sizes.select("_part", F.coalesce(F.sum("size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a range
-    return ranged.join(before, "_part").withColumn("j", F.col("before") + F.col("_row")).drop("_part", "_row", "_n", "before")
-
-
 def adj_offsets(g: Graph) -> DataFrame:
     """(id, start): where each vertex's edges begin when edges are sorted by src and dst."""
-    own = _numbered(g.edges.select("src", "dst"), "src", "dst").groupBy(F.col("src").alias("id")).agg(F.min("j").alias("start"), F.count("*").alias("d"))
-    every = _numbered(g.vertices.join(own, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"), "start"), "id")
+    own = numbered(g.edges.select("src", "dst"), "src", "dst").groupBy(F.col("src").alias("id")).agg(F.min("j").alias("start"), F.count("*").alias("d"))
+    every = numbered(g.vertices.join(own, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"), "start"), "id")
     # A vertex without edges begins where the next one with edges does: totals of blocks of ids, then within a block.
     block = every.withColumn("block", F.expr("j div 65536"))
     sums = block.groupBy("block").agg(F.sum("d").alias("s"))
@@ -101,7 +116,7 @@ def write_adj(g: Graph, path: str, one_file: bool = False) -> None:
     kind = WEIGHTED if g.weighted else PLAIN
     head = g.spark.createDataFrame([(0, kind), (1, str(n)), (2, str(m))], "place long, word string")
     offsets = adj_offsets(g).select((F.col("id") + 3).alias("place"), F.col("start").cast("string").alias("word"))
-    edges = _numbered(g.edges, "src", "dst")
+    edges = numbered(g.edges, "src", "dst")
     ends = edges.select((F.col("j") + 3 + n).alias("place"), F.col("dst").cast("string").alias("word"))
     out = head.union(offsets).union(ends)
     if g.weighted:
@@ -110,6 +125,12 @@ def write_adj(g: Graph, path: str, one_file: bool = False) -> None:
     out.sortWithinPartitions("place").select("word").write.mode("overwrite").text(path)
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, line) of what ``write_values`` or ``write_embedding`` wrote: the i-th line is that of vertex i."""
+    rows = cut(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")))
+    return numbered(rows, "file", "block", "n").select(F.col("j").alias("id"), F.col("value").alias("line"))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(id, label): the i-th word is the label of vertex i, below 0 if unknown."""
     out = words(spark, path).select(F.col("place").alias("id"), F.col("word").try_cast("int").alias("label"))

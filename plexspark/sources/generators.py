@@ -9,8 +9,9 @@ from plexspark.graph import Graph
 
 
 def _partner(nodes: int, seed: int, *key: Column) -> Column:
-    """A vertex by hash: unlike rand(), the same however the rows are partitioned."""
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(nodes))
+    """A vertex by hash (60 bits of an MD5, which other engines have too): unlike rand(), the same however the rows are partitioned."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", *key, F.lit(seed))), 1, 15), 16, 10)
+    return F.pmod(drawn.cast("long"), F.lit(nodes))
 
 
 def _graph(spark: SparkSession, nodes: int, first: int, each: int, seed: int) -> Graph:
