@@ -9,8 +9,8 @@ Large sets are done after one round or two. Equal coordinates of two sketches
 estimate the similarity with the concentration of independent samples.
 
 Bands of ``ROWS`` coordinates select candidates: with 40 bands of 6 a pair of
-similarity 0.8 is missed once in 190,000 times. Copies of a set are one node
-before that. A band's bucket is not expanded into pairs: it has a centre, and a
+similarity 0.8 is missed once in 190,000 times. Texts of the same words (told
+by their SHA-256) are one node before that. A band's bucket is not expanded into pairs: it has a centre, and a
 node is compared with the centres that most of its buckets have, exactly and on
 whole texts; then, after components are known, with centres in other
 components, for some rounds. Among
@@ -20,21 +20,22 @@ no link that joins two of them is lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexspark.llm import shared, words
-from plexspark.llm.components import components
+from plexspark.plans.connected import components
 
 BANDS, ROWS = 40, 6
 #: Rounds in which a node is compared with centres of its buckets, and with how many: those that most of them have.
 STARS, PICKS = 2, 16
-#: Rare shingles that two texts must share to be compared after that.
-COMMON = 2
+#: Sets whose sizes differ by less than this factor lie in one class of sizes.
+CLASS = 1.05
 U = np.uint64
 EMPTY = U((1 << 64) - 1)
 LAST = (1 << 63) - 1
@@ -80,23 +81,20 @@ def bands(sketch: np.ndarray, n: int, rows: int) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, size: int, lower: bool) -> DataFrame:
-    """(id, hash, n, fp1, fp2, bands) of (id, hash, text): one pass, without a shuffle."""
+    """(id, hash, n, sha, bands) of (id, hash, text): one pass, without a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, at in shared.passes(batch):
                 rows = part.num_rows
                 h, row = shingle_sets(buf, at, size, lower)
                 n = np.bincount(row, minlength=rows)
-                begin = np.searchsorted(row, np.arange(rows + 1))
-                prints = []
-                for salt in (31, 32):  # of a set: a sum, so that order doesn't matter
-                    total = np.r_[U(0), np.cumsum(words.mix(h, salt))]
-                    prints.append((total[begin[1:]] - total[begin[:-1]]).view(np.int64))
+                raw = (words.LOWER[buf] if lower else buf).tobytes()
+                sha = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 keys = bands(sketches(h, row, rows, BANDS * ROWS), BANDS, ROWS).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), *map(pa.array, prints), lists], ["id", "hash", "n", "fp1", "fp2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), lists], ["id", "hash", "n", "sha", "bands"])
 
-    return docs.mapInArrow(run, "id long, hash long, n long, fp1 long, fp2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, hash long, n long, sha binary, bands array<long>")
 
 
 def shingles_of(text: str, size: int, lower: bool) -> frozenset:
@@ -139,31 +137,42 @@ def _shingled(texts: DataFrame, size: int, lower: bool) -> DataFrame:
     return texts.mapInArrow(run, f"node {NODE}, n long, h long")
 
 
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """What sets of n and m shingles have in common at least if they are that similar."""
+    return F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+
+
 def _rest(known: DataFrame, texts: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
     """(a, b) for all nodes of ``known`` (node, component) in different components that may be linked.
 
-    Prefix filter: sets of n and m shingles with that similarity have an overlap
-    of t = ceil(percent * (n + m) / (100 + percent)) at least, so the n - t + k
-    rarest of one and the m - t + k rarest of the other have k in common (or t,
-    if that is less). A text whose own changes are over the limit thus has
-    hardly any partner. At most one of a pair is in the component that holds
-    most of a shingle's sets, so only the others are joined with all.
+    Prefix filter: sets of n and m shingles whose overlap is t at least share
+    one of the n - t + 1 rarest of one and the m - t + 1 rarest of the other.
+    t grows with both sizes, so a set looks for smaller ones by classes of their
+    sizes, with no more of its shingles than that class needs, and is found by
+    larger ones under what sets of its own size need. What a family of texts has
+    in common thus meets only if they are near the limit. At most one of a pair
+    is in the component that holds most of a shingle's sets, so two members of
+    that never meet.
     """
-    sets = _shingled(texts.join(known.select("node"), "node", "left_semi"), size, lower)
-    sets = shared.cut(sets)
-    often = sets.groupBy("h").agg(F.count("*").alias("df"))
-    rare = sets.join(often, "h").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
-    rare = rare.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + COMMON) & (F.col("df") > 1))
+    sets = shared.cut(_shingled(texts.join(known.select("node"), "node", "left_semi"), size, lower))
+    often = shared.cut(sets.groupBy("h").agg(F.count("*").alias("df")))
+    rare = shared.join_counted(sets, often, "h", "df").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
+    n, m, rank, place = F.col("n"), F.col("m"), F.col("rank"), F.col("place")
+    least = F.ceil(n * percent / 100)
+    rare = rare.where((rank <= n - least + 1) & (F.col("df") > 1))
     rare = shared.cut(rare.join(known, "node").select("h", "node", "n", "rank", "component"))
-    most = rare.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "component"))["component"].alias("most"), F.count("*").alias("parts"))
-    most = shared.cut(most.where("parts > 1").select("h", "most"))
-    fewer = rare.join(most, "h").where("component <> most").select("h", F.col("node").alias("a"), F.col("n").alias("m"), F.col("rank").alias("place"), F.col("component").alias("other"))
-    fewer = shared.cut(fewer)
-    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
-    left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("place")) + COMMON
-    met = rare.join(fewer, "h").where((F.col("component") != F.col("other")) & (left >= overlap))
-    met = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "h", overlap.alias("t")).groupBy("a", "b", "t").agg(F.countDistinct("h").alias("k"))
-    return met.where(F.col("k") >= F.least(F.lit(COMMON), F.col("t"))).select("a", "b")
+    most = rare.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("component", "c").alias("most"), F.count("*").alias("parts"), F.sum("c").alias("c"))
+    most = shared.cut(most.where("parts > 1").select("h", "most", "c"))
+    rare = shared.cut(shared.join_counted(rare, most, "h", "c").withColumn("main", F.col("component") == F.col("most")).drop("most", "c"))
+    kind = lambda x: F.floor(F.log(x) / F.log(F.lit(CLASS))).cast("int")
+    small = rare.where(rank <= n - _overlap(n, n, percent) + 1)
+    small = small.select("h", kind(n).alias("kind"), F.col("node").alias("a"), n.alias("m"), rank.alias("place"), F.col("component").alias("other"), F.col("main").alias("also"))
+    large = rare.withColumn("kind", F.explode(F.sequence(kind(least), kind(n))))
+    smallest = F.greatest(least, F.ceil(F.pow(F.lit(CLASS), "kind") * (1 - 1e-9)))
+    large = large.where(rank <= n - _overlap(n, smallest, percent) + 1)
+    fits = (F.col("component") != F.col("other")) & (m <= n) & (F.least(n - rank, m - place) + 1 >= _overlap(n, m, percent))
+    met = [large.where(~F.col("main")).join(small, ["h", "kind"]).where(fits), large.where("main").join(small.where("NOT also"), ["h", "kind"]).where(fits)]
+    return met[0].union(met[1]).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def _centres(pairs: DataFrame) -> DataFrame:
@@ -179,19 +188,18 @@ def _alike(percent: int):
     return (F.lit(100) * n >= F.lit(percent) * m) & (F.lit(100) * m >= F.lit(percent) * n)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
-
-    Two rows are linked if they share ``percent`` of their distinct shingles of
-    ``size`` words (A-Z lower-cased), which is confirmed on their texts.
-    component_id is the smallest doc_id that links reach; kept: it is the row's
-    own. A null, empty or blank text has no shingles and no links. A null doc_id
-    is never a component's smallest unless all of it are null, and such a row is
-    kept then only. Rows that repeat a doc_id are rows of their own. Other columns are dropped.
-    """
+def _labelled(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, lower: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, hash, n, sha) of all rows, and (sha, least) for those with words."""
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     rows = shared.cut(_survey(base, size, lower))
-    nodes = rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("id", "hash")).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    with shared.scratch() as keep:
+        label = keep(_grouped(rows, base, size, lower, percent))
+    return rows.select("id", "hash", "n", "sha"), label
+
+
+def _grouped(rows: DataFrame, base: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
+    """(sha, least) for the texts of ``rows``: the least id of those that are linked with it."""
+    nodes = rows.where("n > 0").groupBy("sha").agg(F.min(F.struct("id", "hash")).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = shared.cut(nodes)
 
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -223,8 +231,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         whole = components(checked.where("linked"))
         members = members.drop("component")
 
-    label = nodes.select("fp1", "fp2", "node").join(whole, "node", "left").select("fp1", "fp2", F.coalesce("component", "node")["id"].alias("least"))
-    out = rows.where("n > 0").join(label, ["fp1", "fp2"]).select("id", "n", "least").union(rows.where("n = 0").select("id", "n", "id"))
+    return shared.cut(nodes.select("sha", "node").join(whole, "node", "left").select("sha", F.coalesce("component", "node")["id"].alias("least")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Two rows are linked if they share ``percent`` of their distinct shingles of
+    ``size`` words (A-Z lower-cased), which is confirmed on their texts.
+    component_id is the smallest doc_id that links reach; kept: it is the row's
+    own. A null, empty or blank text has no shingles and no links. A null doc_id
+    is never a component's smallest unless all of it are null, and such a row is
+    kept then only. Rows that repeat a doc_id are rows of their own. Other columns are dropped.
+    """
+    rows, label = _labelled(docs, doc_id, text, size, percent, lower)
+    out = rows.where("n > 0").join(label, "sha").select("id", "n", "least").union(rows.where("n = 0").select("id", "n", "id"))
     own = F.when(F.col("id") != LAST, F.col("id"))
     least = F.when(F.col("least") != LAST, F.col("least"))
     return out.select(own.alias(doc_id), F.col("n").alias("n_shingles"), least.alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+
+
+def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """One row of ``docs`` for each group of ``near_duplicates``, with all its columns: of the smallest doc_id (null comes last).
+
+    If rows of the group repeat that doc_id, one stays: the one whose text has
+    the least hash. Rows without words are in no group and all stay. A column
+    ``_hash`` or ``_id`` of the input is dropped.
+    """
+    rows, label = _labelled(docs, doc_id, text, size, percent, lower)
+    lead = rows.where("n > 0").join(label, "sha").where("id = least").groupBy("sha", "id", "hash").agg(F.count("*").alias("c")).join(label, "sha")
+    lead = lead.groupBy("least").agg(F.min(F.struct("hash", "c")).alias("k")).select(F.col("least").alias("_id"), F.col("k.hash").alias("_hash"), F.col("k.c").alias("c"))
+    lead = shared.cut(lead.union(rows.where("n = 0").select("id", "hash", F.lit(1).cast("long")).distinct()))
+    own = docs.drop("_id", "_hash")
+    names = own.columns
+    own = own.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_hash": F.xxhash64(text)})
+    key = ["_id", "_hash"]
+    once = own.join(lead.where("c = 1"), key, "left_semi")
+    again = own.join(lead.where("c > 1"), key, "left_semi").dropDuplicates(key)  # aggregated before it is exchanged
+    return once.union(again).select(*names)

@@ -10,7 +10,9 @@ points cut off, and what overflows differently for them.
 Only counts decide which part of an arc stays and which continues, so the walk
 around the ring is planned on the driver over one number per arc (shards times
 vnodes of them, whatever the number of rows); rows then find their place by
-their rank in the arc.
+their rank in the arc. Rows of an arc are ranked by their place on the ring and
+then by their contents, so the same table gives the same shards however it is
+partitioned.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plexspark.functions.order import numbered
 from plexspark.llm import shared
 
 RING = 1 << 32
@@ -82,27 +85,25 @@ def assign(docs: DataFrame, shards: int = 16, vnodes: int = 64, key: str = "doc_
 
     The position is the hash of ``key``, null included, which thus has a place
     of its own; rows that repeat a key, even a third of all rows, lie together
-    and overflow clockwise. What is kept is written once with a running
-    number, so that a task that runs again deals its rows as before; ranks are
-    counted for each arc within each input partition, so neither an arc nor a
-    key meets in one task. An empty table gives an empty result. Columns
-    ``shard``, ``slot`` and those whose names begin with ``_ring`` are replaced.
+    and overflow clockwise, in the order of a hash of what is kept; rows that
+    repeat all of that change places freely. Ranks come from one sort by ranges,
+    which splits keys and repeated rows alike, so neither an arc nor a key meets
+    in one task. An empty table gives an empty result. Columns ``shard``,
+    ``slot`` and those whose names begin with ``_ring`` are replaced.
     """
     owners = ring(shards, vnodes)
     position = F.shiftrightunsigned(F.xxhash64(key), 32)
     keep = keep or {c: F.col(c) for c in docs.columns}
     keep = {n: c for n, c in keep.items() if n not in ("shard", "slot") and not n.startswith("_ring")}
-    rows = docs.select(*(c.alias(n) for n, c in keep.items()), arc_of([p for p, _ in owners])(position).alias("_ring_arc"))
-    rows = shared.cut(rows.withColumn("_ring_n", F.monotonically_increasing_id())).withColumn("_ring_part", F.shiftright("_ring_n", 33))
+    around = F.pmod(position - owners[-1][0] - 1, F.lit(RING))  # counted from behind the last point, where the first arc begins
+    rows = docs.select(*(c.alias(n) for n, c in keep.items()), arc_of([p for p, _ in owners])(position).alias("_ring_arc"), around.alias("_ring_at"))
+    rows = rows.withColumns({"_ring_what": F.xxhash64(*keep), "_ring_tie": F.monotonically_increasing_id()})
+    ranked = numbered(shared.cut(rows), "_ring_at", "_ring_what", "_ring_tie", into="_ring_j")
 
-    counts = rows.groupBy("_ring_arc", "_ring_part").agg(F.count("*").alias("_ring_rows"))
-    totals = {r[0]: r[1] for r in counts.groupBy("_ring_arc").agg(F.sum("_ring_rows")).collect()}  # one row per arc at most
+    totals = {r[0]: r[1] for r in ranked.groupBy("_ring_arc").agg(F.count("*")).collect()}  # one row per arc at most
+    starts = {arc: sum(n for a, n in totals.items() if a < arc) for arc in totals}
     parts = plan(totals, [s for _, s in owners], shards)  # at most arcs + shards rows: a part ends with its arc or fills a shard
+    parts = [(arc, starts[arc] + lo, starts[arc] + hi, s, slot) for arc, lo, hi, s, slot in parts]
     planned = docs.sparkSession.createDataFrame(parts, "_ring_arc int, _ring_lo long, _ring_hi long, shard int, _ring_slot long")
-
-    before = Window.partitionBy("_ring_arc").orderBy("_ring_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_ring_arc", "_ring_part", F.coalesce(F.sum("_ring_rows").over(before), F.lit(0)).alias("_ring_before"))
-    own = F.row_number().over(Window.partitionBy("_ring_arc", "_ring_part").orderBy("_ring_n"))
-    ranked = rows.withColumn("_ring_own", own).join(offsets, ["_ring_arc", "_ring_part"]).withColumn("_ring_rank", F.col("_ring_before") + F.col("_ring_own") - 1)
-    placed = ranked.join(F.broadcast(planned), "_ring_arc").where("_ring_rank >= _ring_lo AND _ring_rank < _ring_hi")
-    return placed.select(*keep, "shard", (F.col("_ring_slot") + F.col("_ring_rank") - F.col("_ring_lo")).alias("slot"))
+    placed = ranked.join(F.broadcast(planned), "_ring_arc").where("_ring_j >= _ring_lo AND _ring_j < _ring_hi")
+    return placed.select(*keep, "shard", (F.col("_ring_slot") + F.col("_ring_j") - F.col("_ring_lo")).alias("slot"))

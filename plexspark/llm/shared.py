@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plexspark.plans import lineage
 
@@ -34,7 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(_BATCH, before)
 
 
-drop, drop_since, made = lineage.drop, lineage.drop_since, lineage.made
+drop, scratch = lineage.drop, lineage.scratch
+
+
+#: A key with more than one in so many rows is joined by broadcast.
+HOT = 4096
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``counts`` (a row for each key; a table), whose ``count`` says how many of ``rows`` have the key at most.
+
+    Keys that hold a large share of all rows are joined where they lie, by a
+    broadcast of at most ``2 * HOT`` rows, and only the others are exchanged.
+    """
+    limit = counts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0] // HOT
+    hot, cold = counts.where(F.col(count) > limit), counts.where(F.col(count) <= limit)
+    apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key, how).union(apart.join(cold, key, how))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
