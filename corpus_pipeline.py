@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexspark.llm import decontam, lines, minhash, pieces, quality
-from plexspark.llm.shared import cut, table
+from plexspark.llm.shared import cut, drop, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,9 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays: that of the smallest doc_id."""
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    """One document of each group of near copies (five words, similarity 0.8) stays: that of the smallest doc_id.
+
+    Rows that repeat that doc_id are copies too: the text that comes first stays, once.
+    """
+    kept = minhash.first_of_groups(docs, size=5, percent=80)
+    return kept.select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +57,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with scratch() as keep:  # what a stage wrote for itself goes with it
+            before, docs = docs, stage(spark, docs, sf_dir)
+            if n + 1 < len(STAGES):
+                docs = keep(cut(docs))
         if n + 1 < len(STAGES):
-            docs = cut(docs)
+            drop(before)
     return docs
