@@ -2,14 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plexspark.plans.lineage import cut, cut_counted, drop, held
+
+#: Edges that leave a vertex beyond which they are dealt to several partitions.
+HUB = 1 << 20
+
+
+@dataclass
+class Dealt:
+    """Edges held by their tail; those of hubs (src, parts) are dealt to parts, which their senders are copied to."""
+
+    edges: DataFrame
+    hubs: DataFrame | None
+
+    def sending(self, frontier: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The frontier as (_from, [part], ...), and by what it is joined."""
+        if self.hubs is None:
+            return frontier.withColumnRenamed("id", "_from"), []
+        parts = frontier.join(F.broadcast(self.hubs), F.col("id") == F.col("src"), "left").drop("src")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        return parts.withColumn("_part", copies).drop("parts").withColumnRenamed("id", "_from"), ["_part"]
+
+
+@contextmanager
+def dealt(edges: DataFrame) -> Iterator[Dealt]:
+    """Edges for loops that send along them: written once, partitioned by src and held while the loop runs.
+
+    A hub, with more than ``HUB`` edges, has its edges spread by a hash of their
+    heads, so that no partition and no task grows with the largest degree. There
+    is at most one hub for every ``HUB`` edges, which bounds what is broadcast.
+    """
+    base = cut(edges)
+    hubs, found = cut_counted(base.groupBy("src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
+    if found:
+        part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+        spread = base.join(F.broadcast(hubs), "src", "left").withColumn("part", part).drop("parts").repartition("src", "part")
+    else:
+        spread = base.repartition("src")
+    with held(spread) as kept:
+        yield Dealt(kept, hubs if found else None)
+    drop(base)
+
 
 def edge_map(
-    edges: DataFrame,
+    edges: DataFrame | Dealt,
     frontier: DataFrame | None,
     message: Column,
     combine: Callable[[Column], Column],
@@ -27,7 +70,15 @@ def edge_map(
     is broadcast or exchanged is decided at run time, from its size.
     """
     tail, head = ("dst", "src") if inward else ("src", "dst")
-    rows = edges if frontier is None else edges.join(frontier.withColumnRenamed("id", "_from"), F.col(tail) == F.col("_from"))
+    if frontier is None:
+        rows = edges.edges if isinstance(edges, Dealt) else edges
+    elif isinstance(edges, Dealt) and not inward:
+        sent, by = edges.sending(frontier)
+        on = F.col(tail) == F.col("_from")
+        rows = edges.edges.join(sent, on & (F.col("part") == F.col("_part")) if by else on)
+    else:
+        rows = edges.edges if isinstance(edges, Dealt) else edges
+        rows = rows.join(frontier.withColumnRenamed("id", "_from"), F.col(tail) == F.col("_from"))
     rows = rows.select(F.col(head).alias("id"), message.alias("value"))
     if cond is not None:
         rows = rows.join(cond.select("id"), "id", "left_anti")

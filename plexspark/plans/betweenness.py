@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import edge_map
-from plexspark.plans.lineage import cut, cut_counted, held
+from plexspark.operators.edge_map import dealt, edge_map
+from plexspark.plans.lineage import cut, cut_counted
 
 
 def dependencies(g, source: int, transpose_backward: bool = False) -> DataFrame:
@@ -21,7 +21,7 @@ def dependencies(g, source: int, transpose_backward: bool = False) -> DataFrame:
         raise NotImplementedError("on directed graphs the dependency needs transpose_backward=True")
     g.require(source)
     levels = [cut(g.spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(1.0).alias("paths")))]
-    with held(g.edges.select("src", "dst").repartition("src")) as edges:
+    with dealt(g.edges.select("src", "dst")) as edges:
         seen = levels[0].select("id")
         while True:
             new, found = cut_counted(edge_map(edges, levels[-1], F.col("paths"), F.sum, cond=seen).withColumnRenamed("value", "paths"))

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import edge_map
-from plexspark.plans.lineage import cut, cut_counted, held
+from plexspark.operators.edge_map import dealt, edge_map
+from plexspark.plans.lineage import cut, cut_counted
 
 #: Levels that are read apart before they are written as one table.
 LEVELS_APART = 8
@@ -22,7 +22,7 @@ def search(g, source: int) -> DataFrame:
     g.require(source)
     level = cut(g.spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).alias("depth"), F.lit(source).cast("long").alias("parent")))
     done, recent, before, depth = level, 1, None, 0
-    with held(g.edges.select("src", "dst").repartition("src")) as edges:
+    with dealt(g.edges.select("src", "dst")) as edges:
         while True:
             seen = done if g.directed or before is None else level.select("id").union(before.select("id"))
             depth += 1

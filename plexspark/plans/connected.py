@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import edge_map
-from plexspark.plans.lineage import cut, cut_counted, held
+from plexspark.operators.edge_map import dealt, edge_map
+from plexspark.plans.lineage import cut, cut_counted, cut_observed
 
 
-def _mark(links: DataFrame) -> tuple:
-    """Number of links and a sum over them that tells one set of links from another."""
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
+def _marked(links: DataFrame) -> tuple[DataFrame, dict]:
+    """The links as a table; their number and a sum over them that tells one set of links from another."""
+    return cut_observed(links, rows=F.count(F.lit(1)), sum=F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,16 +28,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     repeated links count once; without links the result is empty.
     """
     x, y = F.col(a), F.col(b)
-    links = cut(links.where(x != y).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct())
-    mark = _mark(links)
-    while mark[0]:
+    links, mark = _marked(links.where(x != y).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct())
+    while mark["rows"]:
         both = links.select(F.col("lo").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
         links = cut(links.join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct())
         least = cut(links.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
         small = links.join(least, F.col("hi") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-        links = cut(small.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-        last, mark = mark, _mark(links)
+        last = mark
+        links, mark = _marked(small.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
         if mark == last:
             break
     inside = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
@@ -58,7 +57,7 @@ def labels(g, weak: bool = False) -> DataFrame:
 
 def _downstream(g) -> DataFrame:
     """Rounds in which only vertices whose label fell send it on; the labels are written down each round."""
-    with held(g.edges.select("src", "dst").repartition("src")) as edges:
+    with dealt(g.edges.select("src", "dst")) as edges:
         label, fell = cut_counted(g.vertices.select("id", F.col("id").alias("component")))
         changed = label
         while fell:

@@ -12,7 +12,7 @@ from contextvars import ContextVar
 
 from py4j.protocol import Py4JError
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
@@ -56,11 +56,17 @@ def place(spark: SparkSession) -> str:
     return path
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut`` and the number of rows, counted as they are written."""
+def cut_observed(df: DataFrame, **totals: Column) -> tuple[DataFrame, dict]:
+    """``cut`` and aggregates over the rows, taken as they are written."""
     seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return out, seen.get["rows"]
+    out = cut(df.observe(seen, *(c.alias(name) for name, c in totals.items())))
+    return out, seen.get
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows."""
+    out, seen = cut_observed(df, rows=F.count(F.lit(1)))
+    return out, seen["rows"]
 
 
 def drop(*tables: DataFrame) -> None:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import edge_map
-from plexspark.plans.lineage import cut, cut_counted, held
+from plexspark.operators.edge_map import dealt, edge_map
+from plexspark.plans.lineage import cut, cut_counted
 
 #: Distance of what is not reached; its negative stands everywhere if a negative cycle is.
 UNREACHED = 1073741823
@@ -36,8 +36,8 @@ def distances(g, source: int) -> DataFrame:
     at = F.lit(source).cast("long")
     state = cut(g.spark.range(1).select(at.alias("id"), F.lit(0).cast("long").alias("dist"), at.alias("parent")))
     shorter, fell, reached, rounds = state, 1, 1, 0
-    with held(weighted.repartition("src")) as edges:
-        below = edges.where("weight < 0")
+    with dealt(weighted) as edges:
+        below = edges.edges.where("weight < 0")
         signed = not below.isEmpty()
         while fell:
             rounds += 1
