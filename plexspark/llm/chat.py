@@ -66,6 +66,11 @@ def mate_preferences(conversations: DataFrame, answer: str = "assistant") -> Dat
     Conversations 2k and 2k + 1 are mates. Chosen is a conversation up to its
     last answer, rejected the same with that answer replaced by its mate's last
     one. A conversation without an answer, or whose mate has none, makes no pair.
+    Of several answers in the last turn all are kept, each is replaced in the
+    rejected side, and the least text (null last) is what the mate gets;
+    repeated rows are turns of their own. Rows with a null conv_id or turn
+    belong to no pair; null texts and roles are passed on. Other columns are
+    dropped, and no conversations make no pairs.
     """
     last = conversations.where(F.col("role") == answer).groupBy("conv_id").agg(F.max("turn").alias("last"))
     rows = conversations.select("conv_id", "turn", "role", "text").join(last, "conv_id").where(F.col("turn") <= F.col("last"))

@@ -33,7 +33,9 @@ from plexspark.llm import shared, words
 WALKS, STEPS = 4, 8
 FILTER_BITS = 18
 #: Items and characters of them that one pass over the documents looks for; more items take more passes.
-BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4_000_000
+BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16_000_000
+#: Items whose words a task keeps at hand.
+SPLIT = 5_000
 U = np.uint64
 
 
@@ -84,10 +86,10 @@ class Index:
         at = np.cumsum([0, *map(len, texts)])
         buf = words.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         w = words.words_of(buf, at)
-        self.items = [(i, t.lower().split()) for (i, _), t in zip(items, texts, strict=True)]
-        self.distinct = [frozenset(t) for _, t in self.items]
+        self.items = [(i, t.lower()) for (i, _), t in zip(items, texts, strict=True)]
+        self.split: dict[int, tuple[list[bytes], frozenset]] = {}
         hashes = words.span_hashes(buf, w.start, w.end)
-        cut = [(n, a, b) for n, (_, t) in enumerate(self.items) if t for a, b in parts(len(t), edits)]
+        cut = [(n, a, b) for n, size in enumerate(w.counts.tolist()) if size for a, b in parts(size, edits)]
         self.item, self.offset, end = np.array(cut, np.int64).reshape(-1, 3).T
         size, start = end - self.offset, w.first[self.item] + self.offset
         single = np.flatnonzero(size == 1)
@@ -148,10 +150,20 @@ class Index:
             for x, y in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
                 yield row, int(item[x]), begins[x:y].tolist()
 
+    def words(self, k: int) -> tuple[list[bytes], frozenset]:
+        """An item's words, and the distinct ones; those of the items asked for last are kept."""
+        if k not in self.split:
+            if len(self.split) >= SPLIT:
+                self.split.clear()
+            t = self.items[k][1].split()
+            self.split[k] = t, frozenset(t)
+        return self.split[k]
+
     def likely(self, k: int, text: list[bytes], start: int, edits: int) -> bool:
         """Whether enough of an item's words are where a leak from about ``start`` on would have them; an edit takes at most one."""
-        near = text[max(0, start - edits) : max(0, start + len(self.items[k][1]) + edits)]
-        return len(self.distinct[k].intersection(near)) >= len(self.distinct[k]) - edits
+        item, distinct = self.words(k)
+        near = text[max(0, start - edits) : max(0, start + len(item) + edits)]
+        return len(distinct.intersection(near)) >= len(distinct) - edits
 
 
 def edit_distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
@@ -208,21 +220,29 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "
         raise ValueError(f"edits must be in [0, 1), not {edits}")
     items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t"), F.sha2(F.col(item_text).cast("binary"), 256).alias("key"))
     texts = items.select("key", "t").distinct()
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = _found(own, texts, edits)
+    copies = items.groupBy("key", "item_id").agg(F.count("*").cast("int").alias("copies"))
+    out = out.join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "item_words", "distance", "end_word")
+
+
+def _found(docs: DataFrame, texts: DataFrame, edits: float) -> DataFrame:
+    """What ``_search`` finds of (key, t), block by block."""
     count, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, -(-2 * count // BLOCK_ITEMS), -(-2 * chars // BLOCK_CHARS))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in range(blocks):
         part = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
-        found = _search(own, [(r.key, r.t) for r in part.collect()], edits)
+        found = _search(docs, [(r.key, r.t) for r in part.collect()], edits)
         out = found if out is None else out.union(found)
-    copies = items.groupBy("key", "item_id").agg(F.count("*").cast("int").alias("copies"))
-    out = out.join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "item_words", "distance", "end_word")
+    return out
 
 
 def _search(docs: DataFrame, items: list[tuple[str, str]], edits: float) -> DataFrame:
+    """(key, item_words, distance, end_word), after the columns of ``docs`` without its last (text), for each document and item (key, text) it leaks."""
     index = docs.sparkSession.sparkContext.broadcast(Index(items, edits))  # of a block of BLOCK_ITEMS items, about
+    who = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -234,20 +254,32 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], edits: float) -> Data
                 raw = low.tobytes()
                 last, text = -1, []
                 for row, k, starts in own.candidates(words.span_hashes(low, w.start, w.end), w.first, w.doc):
-                    item, asked = own.items[k]
+                    asked, _ = own.words(k)
                     if row != last:
                         last, text = row, raw[at[row] : at[row + 1]].split()
                     starts = [b for b in starts if own.likely(k, text, b, int(edits * len(asked)))]
                     if near(asked, text, starts, edits):
                         distance, end = edit_distance(asked, text)
-                        found.append((part.column(0)[row].as_py(), item, len(asked), distance, end))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["doc_id", "key", "item_words", "distance", "end_word"])
+                        found.append((row, own.items[k][0], len(asked), distance, end))
+                rows = part.take(pa.array([f[0] for f in found], pa.int64()))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *(pa.array([f[c + 1] for f in found], t) for c, t in enumerate(kinds))], [*who, "key", "item_words", "distance", "end_word"])
 
-    return docs.mapInArrow(run, "doc_id long, key string, item_words long, distance long, end_word long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in who) + ", key string, item_words long, distance long, end_word long")
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns; rows with a null doc_id are judged as one document."""
-    bad = leaks(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+def remove_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "doc_id", text: str = "text", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns.
+
+    Each row is judged by its own text: rows that share a doc_id, null too, go
+    or stay one by one. A column ``_leak`` or ``_hash`` of the input is dropped.
+    """
+    if not 0 <= edits < 1:
+        raise ValueError(f"edits must be in [0, 1), not {edits}")
+    own = docs.drop("_leak", "_hash")
+    names = own.columns
+    texts = items.where(F.col(item_text).isNotNull()).select(F.sha2(F.col(item_text).cast("binary"), 256).alias("key"), F.col(item_text).alias("t")).distinct()
+    bad = _found(own.select(F.col(doc_id).cast("long").alias("leak"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")), texts, edits)
+    bad = bad.select(F.col("leak").alias("_leak"), F.col("hash").alias("_bad")).distinct()
+    own = own.withColumn("_hash", F.xxhash64(text))
+    return own.join(bad, (F.col("_hash") == F.col("_bad")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_leak")), "left_anti").select(*names)

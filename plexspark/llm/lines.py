@@ -79,8 +79,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = narrow.select("_id", "_hash", each.alias("_chunk")).where("_chunk.worded")
     found = shared.cut(found.select("_id", "_hash", F.col("_chunk.c").alias("_chunk"), F.col("_chunk.key").alias("_key")))
 
-    twice = found.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")
-    likely = shared.cut(found.join(twice, "_key", "left_semi"))
+    twice = shared.cut(found.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1"))
+    likely = shared.cut(shared.join_counted(found, twice, "_key", "n", "left_semi"))
     asked = likely.select("_id", "_hash", "_chunk").distinct()
 
     # Bytes against bytes: of equal chunks the least place is kept.

@@ -112,20 +112,68 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS
 """
 
 SQL["op5_url_filters"] = r"""
-WITH part AS (
-  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-seen AS (
-  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part),
+WITH RECURSIVE cut AS (
+  SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS (
+  SELECT page_id, regexp_extract(url, '^[^#]*') AS url, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM cut),
+tag AS (SELECT page_id, host, path, unnest(regexp_extract_all(html, '(?i)<(link|meta)\b[^<>]*>')) AS tag FROM page),
+target AS (
+  SELECT page_id, host, path, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS to_url FROM tag WHERE regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?canonical\b')
+  UNION ALL
+  SELECT page_id, host, path, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tag WHERE regexp_matches(tag, '(?i)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')),
+whole AS (  -- relative targets, without dot segments
+  SELECT page_id, CASE WHEN contains(to_url, '://') THEN to_url WHEN starts_with(to_url, '//') THEN 'x:' || to_url WHEN starts_with(to_url, '/') THEN 'x://' || host || to_url
+         ELSE 'x://' || host || regexp_extract('/' || ltrim(path, '/'), '^.*/') || to_url END AS url FROM target WHERE to_url <> ''),
+ending AS (
+  SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM whole),
+name AS (
+  SELECT *, row_number() OVER () AS n, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.(.)', '\2') || regexp_replace(path, '(/index\.html|\.html)?/*$', '')
+         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS address
+  FROM (SELECT *, list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')) AS kept
+        FROM (SELECT page_id, TRUE AS own, url, host, path, query FROM page UNION ALL SELECT page_id, FALSE, NULL, host, path, query FROM ending))),
 rules(h, p, v) AS (VALUES ('com', 'en/', 'block'), ('example.com', 'en/7', 'allow'), ('net', 'de/', 'allow'), ('example.net', 'de/8', 'block'), ('org', 'es/', 'block')),
 named AS (
-  SELECT s.page_id, s.host, s.path, arg_max(r.h || '/' || r.p, length(r.h || r.p)) AS rule, arg_max(r.v, length(r.h || r.p)) AS verdict,
-         CASE WHEN s.host <> '' THEN s.host || regexp_replace(s.path, '(\.html)?/*$', '') END AS address
-  FROM seen s LEFT JOIN rules r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, '/' || r.p)
-  GROUP BY s.page_id, s.host, s.path),
--- no page of these tables has a canonical link or a refresh; the component is then the address itself
-flags AS (SELECT address, bool_or(verdict = 'allow') AS allowed FROM named WHERE verdict IS NOT NULL GROUP BY address)
-SELECT n.page_id, n.host, n.path, n.rule, coalesce(n.verdict, CASE WHEN NOT f.allowed THEN 'block' ELSE 'allow' END) AS verdict, n.address, n.address AS component
-FROM named n LEFT JOIN flags f ON f.address = n.address
+  SELECT s.n, any_value(s.page_id) AS page_id, any_value(s.own) AS own, any_value(s.url) AS url, any_value(s.host) AS host, any_value(s.path) AS path, any_value(s.address) AS address,
+         arg_max(r.h || '/' || r.p, length(r.p) * 1000 + length(r.h)) AS rule, arg_max(r.v, length(r.p) * 1000 + length(r.h)) AS verdict
+  FROM name s LEFT JOIN rules r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, '/' || r.p) GROUP BY s.n),
+-- a page's written and plain address, and its written address and what it points to
+edge AS (SELECT p.address || ' ' || p.url AS a, e.address AS b FROM named p JOIN named e ON e.page_id = p.page_id AND (e.n = p.n OR NOT e.own) WHERE p.own AND p.address IS NOT NULL AND e.address IS NOT NULL),
+way AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+joined(node, c) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM way UNION
+  SELECT k.b, min(j.c) FROM joined j JOIN way k ON k.a = j.node JOIN recurring.joined r ON r.node = k.b WHERE j.c < r.c GROUP BY k.b),
+placed AS (SELECT m.*, coalesce(j.c, m.address) AS component FROM named m LEFT JOIN joined j ON j.node = m.address),
+flags AS (SELECT component, bool_or(verdict = 'allow') AS allowed FROM placed WHERE verdict IS NOT NULL AND component IS NOT NULL GROUP BY component)
+SELECT m.page_id, m.host, m.path, m.rule, coalesce(m.verdict, CASE WHEN NOT f.allowed THEN 'block' ELSE 'allow' END) AS verdict, m.address, m.component
+FROM placed m LEFT JOIN flags f ON f.component = m.component WHERE m.own
 """
 
+SQL["op7_minhash_near_dedup"] = r"""
+WITH RECURSIVE lower AS (SELECT doc_id, row_number() OVER () AS row, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+listed AS (SELECT doc_id, row, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM lower),
+shingle AS (
+  SELECT row, unnest(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM listed),
+size AS (SELECT row, count(*) AS n FROM shingle GROUP BY row),
+common AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.row < b.row GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN size x ON x.row = a JOIN size y ON y.row = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+  UNION ALL SELECT b, a FROM common JOIN size x ON x.row = a JOIN size y ON y.row = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+least(row, d) USING KEY (row) AS (
+  SELECT row, doc_id FROM listed UNION
+  SELECT k.b, min(l.d) FROM least l JOIN link k ON k.a = l.row JOIN recurring.least r ON r.row = k.b WHERE l.d < r.d GROUP BY k.b)
+SELECT l.doc_id, coalesce(n, 0) AS n_shingles, d AS component_id, l.doc_id = d AS kept
+FROM listed l LEFT JOIN size USING (row) LEFT JOIN least USING (row)
+"""
+
+SQL["op9_substring_dedup"] = r"""
+WITH listed AS (SELECT doc_id, row_number() OVER () AS row, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+word AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM listed),
+place AS (SELECT row, i, string_agg(word, ' ') OVER w AS passage, count(*) OVER w AS n FROM word WINDOW w AS (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY passage) AS c FROM place WHERE n = 35) WHERE c > 1),
+judged AS (SELECT word.row, word.i, word, bool_or(twice.i IS NOT NULL) OVER (PARTITION BY word.row ORDER BY word.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM word LEFT JOIN twice ON twice.row = word.row AND twice.i = word.i),
+edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY i), FALSE) AS opens FROM judged),
+summed AS (SELECT row, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM edged GROUP BY row)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INTEGER) AS n_spans
+FROM listed LEFT JOIN summed USING (row)
+"""

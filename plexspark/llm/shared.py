@@ -19,23 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch while ``cut`` runs, so that batches of texts stay small.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder (see ``plexspark.plans.lineage.cut``), made with small Arrow batches."""
-    conf = df.sparkSession.conf
-    before = conf.get(_BATCH)
-    conf.set(_BATCH, str(BATCH_ROWS))
-    try:
-        return lineage.cut(df)
-    finally:
-        conf.set(_BATCH, before)
-
-
-drop, scratch = lineage.drop, lineage.scratch
+cut, drop, scratch = lineage.cut, lineage.drop, lineage.scratch
 
 
 #: A key with more than one in so many rows is joined by broadcast.

@@ -49,3 +49,26 @@ def test_mates(spark):
         0: (rendered([("user", "q0")]), rendered([("assistant", "a0")]), rendered([("assistant", "z1")])),
         1: (rendered([("user", "q1"), ("assistant", "a1"), ("user", "u")]), rendered([("assistant", "z1")]), rendered([("assistant", "a0")])),
     }
+
+
+def test_mates_with_nulls_ties_repeats_and_none(spark):
+    kind = "conv_id long, turn long, role string, text string, side string, pair_id long"
+    rows = [(0, 0, "user", None), (0, 1, "assistant", "b"), (0, 1, "assistant", "a"), (1, 0, "assistant", None), (2, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "z"), (3, 5, "assistant", "m"), (4, None, "assistant", "n"), (None, 1, "assistant", "n"), (5, 1, None, "t")]
+    out = chat.format_preferences(chat.mate_preferences(spark.createDataFrame([(*r, "clash", 9) for r in rows], kind)))
+    got = {r.pair_id: (r.prompt, r.chosen, r.rejected) for r in out.collect()}
+    assert set(got) == {0, 1, 2, 3}
+    assert got[2] == (rendered([("user", "q"), ("user", "q")]), rendered([("assistant", "z")]), rendered([("assistant", "m")]))
+    # of answers of one turn all are replaced by the mate's least one; null renders as empty
+    assert got[0] == (rendered([("user", None)]), rendered([("assistant", "a"), ("assistant", "b")]), rendered([("assistant", None), ("assistant", None)]))
+    assert got[1] == ("", rendered([("assistant", None)]), rendered([("assistant", "a")]))
+    none = spark.createDataFrame([], kind)
+    assert chat.format_preferences(chat.mate_preferences(none)).count() == 0
+
+
+def test_long_texts_and_conversations(spark):
+    long = "word " * 400_000
+    rows = [(0, i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(2000)] + [(1, 0, "user", long), (1, 1, "assistant", long + "end")]
+    turns = chat.mate_preferences(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.pair_id: r for r in chat.format_preferences(turns).collect()}
+    assert got[0].n_prompt == 1999 and got[0].chosen == rendered([("assistant", "1999")]) and got[0].rejected == rendered([("assistant", long + "end")])
+    assert got[1].prompt == rendered([("user", long)]) and sum(m.length for m in got[1].chosen_mask) == len(got[1].chosen)

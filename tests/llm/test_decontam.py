@@ -136,3 +136,33 @@ def test_repeated_items_are_indexed_once(spark, monkeypatch):
     rows = [(i, f"before {x} after") for i, x in items[:10]]
     assert got(decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))) == expected(rows, items)
     assert sum(sizes) == 10
+
+
+def test_rows_that_share_an_id_go_one_by_one(spark):
+    items = spark.createDataFrame([(1, "this is the question that nobody should see")], "item_id long, text string")
+    leak = "x this is the question that nobody should see y"
+    rows = [(7, leak), (7, "clean"), (7, leak), (None, leak), (None, "fine"), (None, None), (8, "also clean")]
+    df = docs(spark, rows).selectExpr("*", "1 AS _hash", "2 AS key", "3 AS item_id")
+    out = decontam.remove_leaks(df, items)
+    assert out.columns == [c for c in df.columns if c != "_hash"]
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [("7", "clean"), ("8", "also clean"), ("None", "None"), ("None", "fine")]
+    extra = items.selectExpr("*", "1 AS doc_id", "2 AS t")
+    assert sorted(str(r.doc_id) for r in decontam.leaks(df, extra).collect()) == ["7", "7", "None"]
+
+
+def test_long_texts(spark):
+    """Leaks at the start, in the middle and at the end of texts of many words."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    items = [(i, " ".join(word() for _ in range(rng.randint(5, 50)))) for i in range(20)]
+    rows = []
+    for i, x in items:
+        w = x.split()
+        w[len(w) // 2] = "changed"
+        body = [word() for _ in range(30_000)]
+        at = (0, 15_000, 30_000)[i % 3]
+        rows.append((i, " ".join(body[:at] + w + body[at:])))
+    rows += [(30, " ".join(word() for _ in range(60_000))), (31, "x" * 500_000)]
+    found = decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(i, i, len(low(x)), *distance(low(x), low(t))) for (i, x), (_, t) in zip(items, rows, strict=False)]
+    assert sorted(tuple(r) for r in found) == want and {r[3] for r in want} == {1}

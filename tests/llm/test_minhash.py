@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from brute import ODD, docs, tokens, write
+from pyspark.sql import functions as F
 
 from plexspark.llm import minhash, words
 from plexspark.llm.queries import op7_minhash_near_dedup
@@ -80,3 +81,41 @@ def test_every_coordinate_fills_and_estimates():
         x, y = minhash.sketches(h, row, 2, 240)
         errors.append((x == y).mean() - 900 / 1100)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+def test_families_around_the_limit(spark, monkeypatch):
+    """Without bands' centres all pairs rest on the prefix filter: sets of many sizes that share a part of a pool."""
+    monkeypatch.setattr(minhash, "STARS", 0)
+    monkeypatch.setattr(minhash, "CLASS", 1.2)
+    rng = random.Random(9)
+    rows = []
+    for f in range(12):
+        body = [f"f{f}_{i}" for i in range(rng.randint(3, 60))]
+        for _ in range(12):
+            w = list(body)
+            for _ in range(rng.randint(0, max(1, len(body) // 6))):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randint(0, 1)] = [rng.choice(["x", f"y{rng.randrange(99)}"])] * rng.randint(0, 2)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, f"alpha beta gamma x{i}") for i in range(60)]
+    known = spark.createDataFrame([((i, 0), (i, 0)) for i, _ in rows], f"node {minhash.NODE}, component {minhash.NODE}")
+    texts = spark.createDataFrame([((i, 0), t) for i, t in rows], f"node {minhash.NODE}, text string")
+    pairs = {tuple(sorted((r.a.id, r.b.id))) for r in minhash._rest(known, texts, 2, True, 80).collect()}
+    sets = [minhash.shingles_of(t, 2, True) for _, t in rows]
+    linked = {(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert linked <= pairs and len(pairs) < 3 * len(linked) + len(rows)
+    assert not [p for p in pairs if p[0] >= 144]  # what they share is not rare enough for any two of them to meet
+    assert got(minhash.near_duplicates(docs(spark, rows), size=2)) == expected(rows)
+
+
+def test_clashing_columns(spark):
+    df = docs(spark, [(1, "a b c"), (2, "A b  c"), (3, None)]).selectExpr("*", "1 AS id", "2 AS hash", "3 AS n", "4 AS node", "5 AS kept")
+    assert got(minhash.near_duplicates(df)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    out = minhash.first_of_groups(df.withColumn("_hash", F.lit(1)))
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "one two three"), (1, "one two three"), (1, "ONE two three"), (2, "one two three"), (3, None), (3, None), (None, "x y z"), (None, "x y z"), (4, "p q r s"), (5, "\n"), (None, "one two three"), (4, "t u v")]
+    kept = minhash.first_of_groups(docs(spark, rows)).collect()
+    assert sorted(str((r.doc_id, (r.text or "").lower())) for r in kept) == sorted(["(1, 'one two three')", "(3, '')", "(None, 'x y z')", "(4, 'p q r s')", "(5, '\\n')", "(4, 't u v')"] + ["(3, '')"])

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,6 +79,27 @@ def test_query(spark, tmp_path):
     assert len({tuple(r.ids) for r in rows if r.doc_id == 10}) == 1
 
 
+def test_whole_query_equals_the_plain_rule(spark, tmp_path, v):
+    """Rows with their keys, as the query deals them, against the agenda one candidate at a time."""
+    rng = random.Random(4)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "a null id"), (50, None), (-3, "below zero"), (2**62, "far")]
+    rows += [(100 + i, " ".join("".join(rng.choices("thean onris", k=rng.randint(1, 9))) for _ in range(8))) for i in range(60)]
+    mix = lambda x, salt: splitmix((x + salt * 0x9E3779B97F4A7C15) % 2**64)
+
+    def splitmix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    got = Counter((r.doc_id, r.n_pieces, None if r.ids is None else tuple(r.ids), r.round_trip) for r in op6_merge_dropout(spark, write(spark, tmp_path, documents=docs(spark, rows))).collect())
+    want = []
+    for i, t in rows:
+        key = mix((2**64 - 1 if i is None else i % 2**63) ^ mix(1, 3), 5)
+        ids = None if t is None else tuple(agenda(v, t, key, 0.1))
+        want.append((i, -1 if ids is None else len(ids), ids, None if t is None else True))
+    assert {w[:1] + w[2:] for w in want} == {g[:1] + g[2:] for g in got} and all(g[1] == len(g[2]) for g in got if g[2] is not None)
+
+
 def test_seeds_vary_and_repeat(spark):
     df = docs(spark, [(i, "the international organisation of understanding") for i in range(40)])
     ids = lambda seed: {r.doc_id: tuple(r.pieces.ids) for r in pieces.encode_documents(df, rate=0.2, seed=seed).collect()}

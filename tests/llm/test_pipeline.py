@@ -68,3 +68,13 @@ def test_odd_rows(spark, tmp_path):
 
 def test_clean_prose_is_kept_by_the_bands(start):
     assert np.mean([judged(t)[-1] for _, t in start]) > 0.7
+
+
+def test_repeated_rows_long_texts_and_more_columns(spark, tmp_path):
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(n))
+    a, b, long = prose(90), prose(120), prose(30_000)
+    df = table_of(spark, [(1, a), (1, a), (2, a), (3, b), (4, long), (4, long), (None, b), (5, long + " more")]).selectExpr("*", "1 AS quality", "2 AS _hash", "3 AS pieces", "4 AS ids")
+    sf = write(spark, tmp_path, documents=df, benchmark=spark.createDataFrame([(1, prose(20))], "item_id long, text string"))
+    out = p.run(spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == [1, 3, 4] and all(r.round_trip for r in out)

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter
 
@@ -39,6 +40,38 @@ def test_plan_is_the_walk_around_the_ring():
     assert parts[0][:4] == (0, 0, 6, 0)  # the bound of shard 0 is 6
 
 
+def walk(points, keys, shards):
+    """Row by row around the ring: keys are (place, order); a row that finds its point's shard full goes on to the next point."""
+    room = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
+    at = [(next((i for i, (p, _) in enumerate(points) if p >= place), 0), (place - points[-1][0] - 1) % 2**32, what, n) for n, (place, what) in enumerate(keys)]
+    waiting, out = sorted((arc, arc, around, what, n) for arc, around, what, n in at), {}
+    while waiting:
+        moved = []
+        for now, arc, around, what, n in waiting:
+            s = points[now][1]
+            if room[s]:
+                room[s] -= 1
+                out[n] = s
+            else:
+                moved.append(((now + 1) % len(points), arc, around, what, n))
+        waiting = sorted(moved)
+    return out
+
+
+def test_query_is_the_walk_row_by_row_in_any_partitioning(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    points = sorted({int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=4).digest()): s for s in range(15, -1, -1) for v in range(64)}.items())
+    rows = [*ODD, *((7, f"t{i}") for i in range(150)), *((i, "x" * (i % 5)) for i in range(700)), *((9, "same") for _ in range(40))]
+    hashed = docs(spark, rows).select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 32).alias("at"), F.xxhash64("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("what")).collect()
+    placed = walk(points, [(r["at"], r["what"]) for r in hashed], 16)
+    size = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    want = Counter((r.doc_id, *size(r.text), placed[n]) for n, r in enumerate(hashed))
+    for n in (3, 7):
+        sf = write(spark, tmp_path / str(n), documents=docs(spark, rows).repartition(n))
+        assert Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in op10_sharding(spark, sf).collect()) == want
+
+
 def test_a_shard_more_moves_few_rows(spark):
     df = spark.range(20_000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id: r.shard for r in sharding.assign(df, 16, 256).collect()}
@@ -47,7 +80,7 @@ def test_a_shard_more_moves_few_rows(spark):
 
 
 def test_empty_table_and_clashing_columns(spark):
-    df = docs(spark, []).selectExpr("*", "1 AS shard", "2 AS slot")
+    df = docs(spark, []).selectExpr("*", "1 AS shard", "2 AS slot", "3 AS _ring_arc")
     assert sharding.assign(df).count() == 0
     df = docs(spark, [(1, "a"), (2, "b")]).selectExpr("*", "'s' AS shard", "2 AS slot")
     out = sharding.assign(df)

@@ -39,7 +39,7 @@ def test_odd_texts(spark, tmp_path):
     rng = random.Random(1)
     w = [f"v{i}" for i in range(200)]
     passage = w[:60]
-    rows = [r for r in ODD if len(r[1] or "") < 100_000]
+    rows = [*ODD, (57, " ".join(f"w{i}" for i in range(39_000, 41_000)))]
     rows += [(50, "on " * 200), (51, "on on off " * 40), (52, " ".join(passage + w[60:90] + passage)), (53, " ".join(w[100:120] + passage[10:50])), (54, " ".join(passage[:35])), (55, " ".join(passage[:34])), (None, "\t".join(passage[20:]))]
     rows += [(60 + i, " ".join(rng.choices("ab", k=70))) for i in range(20)] + [(56, "Passage " + " ".join(w[150:]).upper())]
     assert got(op9_substring_dedup(spark, write(spark, tmp_path, documents=docs(spark, rows)))) == expected(rows)
@@ -78,3 +78,33 @@ def test_automaton_matching_statistics():
 def test_window_must_hold_a_gram(spark):
     with pytest.raises(ValueError):
         substrings.repeated_spans(docs(spark, []), window=7)
+
+
+def test_one_gram_in_many_passages(spark, monkeypatch):
+    """A gram with more passages than a shard may hold is split; so is a long passage."""
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(substrings, "RUN", 16)
+    gram = [f"g{i}" for i in range(8)]
+    rows = [(2 * k + d, " ".join([f"a{k}_{i}" for i in range(14)] + gram + [f"b{k}_{i}" for i in range(14)] + ["x"] * (1 + d))) for k in range(1000) for d in (0, 1)]
+    long = " ".join(f"q{i}" for i in range(3000))
+    rows += [(3000, long), (3001, f"own words {long}"), (3002, "on " * 5000), (3003, "line of it " * 100)]
+    assert got(substrings.repeated_spans(docs(spark, rows))) == expected(rows)
+
+
+def test_as_many_regions_for_any_size_of_shards(spark, monkeypatch):
+    counts, real = [], substrings._regions
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    for size in (150_000, 5000):
+        monkeypatch.setattr(substrings, "SHARD_WORDS", size)
+        made = []
+        monkeypatch.setattr(substrings, "_regions", lambda *a, made=made: made.append((real(*a).count(), a[2])) or real(*a))
+        assert got(substrings.repeated_spans(docs(spark, rows))) == expected(rows)
+        counts.append(made)
+    assert [n for n, _ in counts[0]] == [n for n, _ in counts[1]] and counts[0][0][1] < counts[1][0][1]
+
+
+def test_extra_columns_and_a_long_text(spark):
+    words = [f"z{i % 70_001}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[5:60])), (3, None)]
+    df = docs(spark, rows).selectExpr("*", "1 AS n_words", "2 AS id", "3 AS hash", "4 AS spans")
+    assert got(substrings.repeated_spans(df)) == expected(rows)

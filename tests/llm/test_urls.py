@@ -1,4 +1,5 @@
-from plexspark.llm import components, urls
+from plexspark.llm import urls
+from plexspark.plans import connected as components
 
 
 def judged(spark, rows):
@@ -79,11 +80,11 @@ def test_relative_links(spark):
     rows = [(n, b, f'<link rel="canonical" href="{u}">', None) for n, (b, u) in enumerate((b, u) for b in bases for u in links)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string").selectExpr("page_id", "url", "html")
     host, path = urls.host_path(df.url)
-    got = {r.page_id: r.b for r in df.select("page_id", urls.aliases(df.html, host, path)[0]["address"].alias("b")).collect()}
+    got = {r.page_id: r.b for r in df.select("page_id", urls.aliases(df.html, host, path, urls.query_of(df.url))[0]["address"].alias("b")).collect()}
 
     def want(base, u):
         to = urlsplit(urljoin(base, u))
-        return to.netloc.lower() + to.path.removesuffix("/").removesuffix(".html") if to.netloc else None
+        return to.netloc.lower() + to.path.removesuffix("/").removesuffix(".html") + f"?{to.query}" * bool(to.query) if to.netloc else None
 
     assert got == {n: want(b, u) for n, (b, u) in enumerate((b, u) for b in bases for u in links)}
     pages = [page(1, "http://h.info/en/1", link := '<link rel="canonical" href="2.html">'), page(2, "http://h.info/en/3", link), page(3, "http://h.info/n", '<link rel="canonical" href="//a.com/en/1">')]
@@ -121,3 +122,43 @@ def test_links_equal_brute_force(spark):
     want = {i: (rule(u) or ("allow" if "allow" in said[component[bare(u)]] or "block" not in said[component[bare(u)]] else "block"), component[bare(u)]) for i, u, _ in rows}
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(moves, "from_url string, to_url string")).collect()
     assert {r.page_id: (r.verdict, r.component) for r in got} == want and len({c for _, c in want.values()}) < len({u for _, u, _ in rows})
+
+
+def test_written_forms_of_one_resource(spark):
+    same = ["http://a.info/x", "https://WWW.a.info/x.html", "https://m.a.info/x/?utm_source=feed#top", "ftp://a.info/x/index.html?ref=y&fbclid=3", "http://a.info/x?"]
+    apart = ["http://a.info/x?id=1", "http://a.info/x?id=2", "http://a.info/x?id=1&page=2", "http://a.info/y", "http://b.info/x", "http://a.info/x.htm", "http://www./x"]
+    got = judged(spark, [page(i, u) for i, u in enumerate([*same, *apart, "https://a.info/x/?ref=q&id=1"])])
+    assert {got[i].component for i in range(len(same))} == {"a.info/x"}
+    assert len({got[i].component for i in range(len(same) + len(apart))}) == 1 + len(apart)
+    assert got[len(same) + len(apart)].component == got[len(same)].component == "a.info/x?id=1"
+
+
+def test_every_link_counts_and_long_pages_are_quick(spark):
+    import time
+
+    two = '<link rel="canonical" href="http://q.info/1"><link rel=canonical href=//a.org/es/1><meta http-equiv=refresh content="0; url=http://r.info/">'
+    began = time.time()
+    got = judged(spark, [page(1, "http://z.info/1", two), page(2, "http://q.info/1"), page(3, "http://r.info"), page(4, "http://l.info/" + "x" * 300_000, "<link rel " * 200_000 + "canonical"), page(5, "http://l.info/2", "<meta " * 200_000 + "refresh")])
+    assert time.time() - began < 60
+    assert {i: r.verdict for i, r in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
+def test_sql_follows_links(spark, tmp_path):
+    """The SQL of the query agrees with it on tables that have links, which the given ones have not."""
+    import random
+
+    import duckdb
+
+    from plexspark.llm.queries import SQL, op5_url_filters
+
+    rng = random.Random(5)
+    some = lambda: f"http://{rng.choice(['', 'www.', 'm.'])}{rng.choice(['a.com', 'b.net', 'c.org', 'd.info', 'example.com'])}/{rng.choice(['en', 'de', 'es', 'x'])}/{rng.randrange(60)}{rng.choice(['', '/', '.html', '?p=1', '?ref=2'])}"
+    to = lambda: rng.choice([some(), some()[5:], f"/es/{rng.randrange(60)}", f"{rng.randrange(60)}?p=1"])
+    rows = [(i, some(), f'<link rel="canonical" href="{to()}">' * (rng.random() < 0.4) + f"<META http-equiv='refresh' content='0; url={to()}'>" * (rng.random() < 0.2)) for i in range(200)] + [(200, None, "x"), (201, "none", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = op5_url_filters(spark, str(tmp_path))
+    got = {tuple(r) for r in df.collect()}
+    assert got == set(con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL['op5_url_filters']})").fetchall())
+    assert len({r[6] for r in got}) < len({r[5] for r in got})
