@@ -189,7 +189,7 @@ def _alike(percent: int):
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, lower: bool) -> tuple[DataFrame, DataFrame]:
-    """(id, hash, n, sha) of all rows, and (sha, least) for those with words."""
+    """(id, hash, n, sha) of all rows, and (sha, root) for those with words."""
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     rows = shared.cut(_survey(base, size, lower))
     with shared.scratch() as keep:
@@ -198,7 +198,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
 
 
 def _grouped(rows: DataFrame, base: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
-    """(sha, least) for the texts of ``rows``: the least id of those that are linked with it."""
+    """(sha, root) for the texts of ``rows``: the least node (id, hash) of those that are linked with it."""
     nodes = rows.where("n > 0").groupBy("sha").agg(F.min(F.struct("id", "hash")).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = shared.cut(nodes)
 
@@ -231,7 +231,7 @@ def _grouped(rows: DataFrame, base: DataFrame, size: int, lower: bool, percent:
         whole = components(checked.where("linked"))
         members = members.drop("component")
 
-    return shared.cut(nodes.select("sha", "node").join(whole, "node", "left").select("sha", F.coalesce("component", "node")["id"].alias("least")))
+    return shared.cut(nodes.select("sha", "node").join(whole, "node", "left").select("sha", F.coalesce("component", "node").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept then only. Rows that repeat a doc_id are rows of their own. Other columns are dropped.
     """
     rows, label = _labelled(docs, doc_id, text, size, percent, lower)
-    out = rows.where("n > 0").join(label, "sha").select("id", "n", "least").union(rows.where("n = 0").select("id", "n", "id"))
+    out = rows.where("n > 0").join(label, "sha").select("id", "n", F.col("root.id").alias("least")).union(rows.where("n = 0").select("id", "n", "id"))
     own = F.when(F.col("id") != LAST, F.col("id"))
     least = F.when(F.col("least") != LAST, F.col("least"))
     return out.select(own.alias(doc_id), F.col("n").alias("n_shingles"), least.alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
@@ -259,8 +259,8 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``_hash`` or ``_id`` of the input is dropped.
     """
     rows, label = _labelled(docs, doc_id, text, size, percent, lower)
-    lead = rows.where("n > 0").join(label, "sha").where("id = least").groupBy("sha", "id", "hash").agg(F.count("*").alias("c")).join(label, "sha")
-    lead = lead.groupBy("least").agg(F.min(F.struct("hash", "c")).alias("k")).select(F.col("least").alias("_id"), F.col("k.hash").alias("_hash"), F.col("k.c").alias("c"))
+    lead = rows.where("n > 0").join(label, "sha").where("id = root.id").groupBy("root", "id", "hash").agg(F.count("*").alias("c"))
+    lead = lead.groupBy("root").agg(F.min(F.struct("hash", "id", "c")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.hash").alias("_hash"), F.col("k.c").alias("c"))
     lead = shared.cut(lead.union(rows.where("n = 0").select("id", "hash", F.lit(1).cast("long")).distinct()))
     own = docs.drop("_id", "_hash")
     names = own.columns
