@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexspark.plans.lineage import cut_observed
+from plexspark.plans.totals import touching
+
 
 def _classes(labels: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Known labels (id, cluster), and (cluster, one over its size)."""
@@ -47,10 +50,11 @@ def weighted(g, labels: DataFrame, k: int, laplacian: bool = False) -> DataFrame
     """
     edges = g.edges.select("src", "dst", F.col("weight").cast("double").alias("w")) if g.weighted else g.edges.select("src", "dst", F.lit(1.0).alias("w"))
     if laplacian:
-        degree = g.weighted_degrees()
+        degree, seen = cut_observed(touching(g), least=F.min("degree"))
+        if seen["least"] is not None and seen["least"] <= 0:
+            raise ValueError("the Laplacian needs positive weighted degrees")
         ends = edges.join(degree.select(F.col("id").alias("src"), F.col("degree").alias("a")), "src").join(degree.select(F.col("id").alias("dst"), F.col("degree").alias("b")), "dst")
-        wrong = F.raise_error("the Laplacian needs positive weighted degrees").cast("double")
-        edges = ends.select("src", "dst", (F.col("w") / F.when((F.col("a") <= 0) | (F.col("b") <= 0), wrong).otherwise(F.sqrt(F.col("a").cast("double") * F.col("b")))).alias("w"))
+        edges = ends.select("src", "dst", (F.col("w") / F.sqrt(F.col("a").cast("double") * F.col("b"))).alias("w"))
     rows = edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "w").union(edges.where("src <> dst").select("src", "dst", "w"))
     return _grid(g, k, _summed(rows, labels, k))
 

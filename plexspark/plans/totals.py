@@ -12,12 +12,16 @@ def degrees(g, inward: bool = False) -> DataFrame:
     return g.vertices.join(own, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def weighted_degrees(g) -> DataFrame:
-    """(id, degree): weights of all entries that touch a vertex, a loop once; an undirected edge is two entries."""
+def touching(g) -> DataFrame:
+    """(id, degree): weights of all entries that touch a vertex, a loop once, for the vertices that have any; an undirected edge is two entries."""
     e = g.edges if g.weighted else g.edges.withColumn("weight", F.lit(1))
     ends = F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst"))
-    own = e.select(F.explode(ends).alias("id"), "weight").groupBy("id").agg(F.sum(F.col("weight").cast("long")).alias("degree"))
-    return g.vertices.join(own, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return e.select(F.explode(ends).alias("id"), "weight").groupBy("id").agg(F.sum(F.col("weight").cast("long")).alias("degree"))
+
+
+def weighted_degrees(g) -> DataFrame:
+    """(id, degree): as ``touching``, 0 for isolated vertices."""
+    return g.vertices.join(touching(g), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def touch_all(g) -> DataFrame:

@@ -125,3 +125,35 @@ def test_command_line_writes_ordered_parts(spark, tmp_path):
         assert len(text[True]) == n and text[True] == text[False]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_a_file_on_one_line_is_split(spark, tmp_path):
+    n = 3000
+    text = " ".join(["AdjacencyGraph", str(n), str(n), *map(str, range(n)), *(str((i + 1) % n) for i in range(n))])
+    path = put(tmp_path, text)
+    assert adj.separator(spark, path) == " " and adj.separator(spark, put(tmp_path, text.replace(" ", "\n"), "h.adj")) == "\n"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert spark.read.text(path, lineSep=" ").rdd.getNumPartitions() > 3
+        assert edges(adj.read_adj(spark, path, symmetric=False)) == [(i, (i + 1) % n) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_tables_go_with_their_scope(spark):
+    from plexspark.plans import lineage
+
+    there = lambda df: os.path.isdir(lineage._path[df].removeprefix("file:"))
+    with lineage.scratch() as keep:
+        a, b = lineage.cut(spark.range(3)), keep(lineage.cut(spark.range(4)))
+        with lineage.scratch():
+            c = lineage.cut(spark.range(5))
+            assert there(a) and there(b) and there(c)
+        assert there(a) and not there(c)
+    assert not there(a) and there(b) and b.count() == 4
+    counted, n = lineage.cut_counted(spark.range(7))
+    assert n == 7 and lineage.cut_counted(spark.range(0))[1] == 0
+    where = lineage._path[counted].removeprefix("file:")
+    lineage.drop(counted, spark.range(1))
+    assert not os.path.isdir(where)

@@ -213,3 +213,40 @@ def test_frontiers_and_operators(spark):
     assert values(edge_map(g.edges, None, F.lit(1), F.count, inward=True)) == {0: 2, 1: 1, 2: 1}
     doubled = vertex_map(g.vertices, {"x": F.col("id") * 2}, F.col("id") > 1)
     assert values(doubled) == {2: 4, 3: 6}
+
+
+def test_hubs_are_spread(spark, monkeypatch):
+    """Analytics are the same when the edges of hubs are dealt to several partitions."""
+    from plexspark.operators import edge_map as module
+
+    n, edges = 60, [(0, v) for v in range(1, 50)] + [(1, v) for v in range(2, 55)] + [(v, v + 1) for v in range(40, 58)]
+    weighted = [(a, b, 1 + (a * 7 + b) % 9) for a, b in edges]
+    run = lambda g: [values(g.bfs(3)), values(g.bfs_parents(3)), values(g.betweenness(3)), values(g.shortest_paths(3)), values(g.pagerank(3))]
+    whole = run(graph(spark, weighted, n))
+    monkeypatch.setattr(module, "HUB", 4)
+    spread = run(graph(spark, weighted, n))
+    for a, b in zip(whole, spread, strict=True):
+        same(a, b)
+    directed = values(graph(spark, edges, n, directed=True).connected_components())
+    monkeypatch.undo()
+    assert directed == values(graph(spark, edges, n, directed=True).connected_components())
+    monkeypatch.setattr(module, "HUB", 4)
+    with module.dealt(graph(spark, edges, n).edges) as held:
+        parts = held.edges.groupBy("src", F.spark_partition_id().alias("p")).count()
+        assert held.hubs.count() == 2 and parts.agg(F.max("count")).first()[0] < 45 and parts.where("src = 0").count() > 1
+
+
+def test_common_neighbors_from_either_end(spark):
+    edges = [(0, v) for v in range(1, 30)] + [(20, v) for v in (1, 2, 3, 25)]
+    g = graph(spark, edges, 31)
+    pairs = [(0, 20), (20, 0), (20, 25), (30, 20), (0, 30), (29, 28)]
+    near = {v: {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in range(31)}
+    want = {(a, b): sum(x < min(a, b) for x in near[a] & near[b]) for a, b in pairs}
+    assert {(r.a, r.b): r.common for r in g.common_neighbors(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
+
+
+def test_neighbors_of_a_set(spark):
+    g = graph(spark, [(0, 1, 5), (2, 1, 6), (1, 3, 7)], 5, directed=True)
+    ids = frontier.of(spark, [1, 4, 1])
+    assert [tuple(r) for r in g.neighbors_of(ids).collect()] == [(1, 3, 7)]
+    assert sorted(tuple(r) for r in g.neighbors_of(ids, inward=True).collect()) == [(1, 0, 5), (1, 2, 6)]
