@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, cut_counted
+from plexspark.plans.lineage import cut, cut_counted, scratch
 
 
 def dependencies(g, source: int, transpose_backward: bool = False) -> DataFrame:
@@ -20,8 +20,8 @@ def dependencies(g, source: int, transpose_backward: bool = False) -> DataFrame:
     if g.directed and not transpose_backward:
         raise NotImplementedError("on directed graphs the dependency needs transpose_backward=True")
     g.require(source)
-    levels = [cut(g.spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(1.0).alias("paths")))]
-    with dealt(g.edges.select("src", "dst")) as edges:
+    with scratch() as keep, dealt(g.edges.select("src", "dst")) as edges:
+        levels = [cut(g.spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(1.0).alias("paths")))]
         seen = levels[0].select("id")
         while True:
             new, found = cut_counted(edge_map(edges, levels[-1], F.col("paths"), F.sum, cond=seen).withColumnRenamed("value", "paths"))
@@ -32,11 +32,11 @@ def dependencies(g, source: int, transpose_backward: bool = False) -> DataFrame:
                 seen = seen.union(new.select("id"))
             else:  # neighbours are at most one level apart
                 seen = levels[-2].select("id").union(new.select("id"))
-        out = [levels[-1].select("id", "paths", F.lit(0.0).alias("dependency"))]
+        out = [keep(cut(levels[-1].select("id", "paths", F.lit(0.0).alias("dependency"))))]
         for level in reversed(levels[:-1]):
             share = edge_map(edges, out[-1], (1 + F.col("dependency")) / F.col("paths"), F.sum, inward=True)
             own = level.join(share, "id", "left")
-            out.append(cut(own.select("id", "paths", (F.col("paths") * F.coalesce("value", F.lit(0.0))).alias("dependency"))))
+            out.append(keep(cut(own.select("id", "paths", (F.col("paths") * F.coalesce("value", F.lit(0.0))).alias("dependency")))))
     found = out[0]
     for level in out[1:]:
         found = found.union(level)

@@ -7,11 +7,13 @@ level r - 1, r or r + 1, so only two levels are looked up; on directed ones all.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, cut_counted
+from plexspark.plans.lineage import cut, cut_counted, scratch
 
 #: Levels that are read apart before they are written as one table.
 LEVELS_APART = 8
@@ -20,19 +22,24 @@ LEVELS_APART = 8
 def search(g, source: int) -> DataFrame:
     """(id, depth, parent) of all vertices that are reached; a parent is the least of those possible."""
     g.require(source)
-    level = cut(g.spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).alias("depth"), F.lit(source).cast("long").alias("parent")))
-    done, recent, before, depth = level, 1, None, 0
-    with dealt(g.edges.select("src", "dst")) as edges:
+    with scratch() as keep, dealt(g.edges.select("src", "dst")) as edges:
+        level = cut(g.spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).alias("depth"), F.lit(source).cast("long").alias("parent")))
+        levels, before, depth = [level], None, 0
         while True:
-            seen = done if g.directed or before is None else level.select("id").union(before.select("id"))
+            seen = _union(levels) if g.directed or before is None else level.select("id").union(before.select("id"))
             depth += 1
             new = edge_map(edges, level.select("id"), F.col("src"), F.min, cond=seen)
             new, found = cut_counted(new.select("id", F.lit(depth).alias("depth"), F.col("value").alias("parent")))
             if not found:
-                return done
-            done, before, level, recent = done.union(new), level, new, recent + 1
-            if recent >= LEVELS_APART:
-                done, recent = cut(done), 1
+                return _union([keep(t) for t in levels])
+            before, level = level, new
+            levels.append(new)
+            if len(levels) > LEVELS_APART:
+                levels = [cut(_union(levels))]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, tables)
 
 
 def depths(g, source: int) -> DataFrame:

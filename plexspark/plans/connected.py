@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, cut_counted, cut_observed
+from plexspark.plans.lineage import cut, cut_counted, cut_observed, scratch
 
 
 def _marked(links: DataFrame) -> tuple[DataFrame, dict]:
@@ -14,6 +14,22 @@ def _marked(links: DataFrame) -> tuple[DataFrame, dict]:
     return cut_observed(links, rows=F.count(F.lit(1)), sum=F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")))
 
 
+def _stars(links: DataFrame, x: Column, y: Column) -> DataFrame:
+    """(lo, hi), a table: every node that has a link to another under the smallest one reachable."""
+    links, mark = _marked(links.where(x != y).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct())
+    while mark["rows"]:
+        both = links.select(F.col("lo").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
+        links = cut(links.join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct())
+        least = cut(links.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
+        small = links.join(least, F.col("hi") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+        last = mark
+        links, mark = _marked(small.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
+        if mark == last:
+            break
+    return links
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has a link to another; component is the smallest node reachable.
 
@@ -27,18 +43,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links with a null end and links of a node to itself count for nothing;
     repeated links count once; without links the result is empty.
     """
-    x, y = F.col(a), F.col(b)
-    links, mark = _marked(links.where(x != y).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct())
-    while mark["rows"]:
-        both = links.select(F.col("lo").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
-        links = cut(links.join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct())
-        least = cut(links.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
-        small = links.join(least, F.col("hi") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-        last = mark
-        links, mark = _marked(small.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-        if mark == last:
-            break
+    with scratch() as keep:
+        links = keep(_stars(links, F.col(a), F.col(b)))
     inside = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return inside.union(links.select("lo", "lo").distinct())
 
@@ -57,11 +63,11 @@ def labels(g, weak: bool = False) -> DataFrame:
 
 def _downstream(g) -> DataFrame:
     """Rounds in which only vertices whose label fell send it on; the labels are written down each round."""
-    with dealt(g.edges.select("src", "dst")) as edges:
+    with scratch() as keep, dealt(g.edges.select("src", "dst")) as edges:
         label, fell = cut_counted(g.vertices.select("id", F.col("id").alias("component")))
         changed = label
         while fell:
             sent = edge_map(edges, changed, F.col("component"), F.min)
             changed, fell = cut_counted(label.join(sent, "id").where(F.col("value") < F.col("component")).select("id", F.col("value").alias("component")))
             label = cut(label.union(changed).groupBy("id").agg(F.min("component").alias("component")))
-        return label
+        return keep(label)

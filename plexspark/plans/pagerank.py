@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, held
+from plexspark.plans.lineage import cut, held, scratch
 
 #: Rounds between tables; a plan holds so many joins at most.
 ROUNDS_APART = 4
@@ -27,11 +27,11 @@ def ranks(g, rounds: int = 10, divisor: str | None = None) -> DataFrame:
     n = g.num_nodes()
     side = {"in": "dst", "out": "src"}[divisor]
     degree = g.edges.groupBy(F.col(side).alias("src")).agg((1.0 / F.count("*")).alias("share"))
-    with dealt(g.edges.select("src", "dst").join(degree, "src")) as edges, held(g.vertices.select("id").repartition("id")) as vertices:
+    with scratch() as keep, dealt(g.edges.select("src", "dst").join(degree, "src")) as edges, held(g.vertices.select("id").repartition("id")) as vertices:
         rank = vertices.withColumn("rank", F.lit(1.0 / n if n else 0.0))
         for i in range(rounds):
             sent = edge_map(edges, rank, F.col("rank") * F.col("share"), F.sum)
             rank = vertices.join(sent, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("rank"))
             if (i + 1) % ROUNDS_APART == 0:
                 rank = cut(rank)
-        return cut(rank)
+        return keep(cut(rank))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, cut_counted
+from plexspark.plans.lineage import cut, cut_counted, scratch
 
 #: Distance of what is not reached; its negative stands everywhere if a negative cycle is.
 UNREACHED = 1073741823
@@ -21,22 +21,13 @@ def _circular(state: DataFrame, n: int, source: int) -> bool:
     return not step.where(F.col("parent") != source).isEmpty()
 
 
-def distances(g, source: int) -> DataFrame:
-    """(id, dist) as int; edges without weights count 1.
-
-    A round relaxes the edges of the vertices that became shorter in the last.
-    A negative cycle shows as a circle among parents, which is looked for after
-    4, 8, 16, ... rounds if there are weights below 0, and at the latest in that
-    paths become shorter after as many rounds as vertices are reached; every
-    distance then is -UNREACHED. An undirected graph that reaches an edge below
-    0 has such a cycle in that edge itself.
-    """
-    g.require(source)
+def _relaxed(g, source: int) -> DataFrame | None:
+    """(id, dist, parent) of all vertices that are reached, or None if a negative cycle is."""
     weighted = g.edges if g.weighted else g.edges.withColumn("weight", F.lit(1))
     at = F.lit(source).cast("long")
-    state = cut(g.spark.range(1).select(at.alias("id"), F.lit(0).cast("long").alias("dist"), at.alias("parent")))
-    shorter, fell, reached, rounds = state, 1, 1, 0
-    with dealt(weighted) as edges:
+    with scratch() as keep, dealt(weighted) as edges:
+        state = cut(g.spark.range(1).select(at.alias("id"), F.lit(0).cast("long").alias("dist"), at.alias("parent")))
+        shorter, fell, reached, rounds = state, 1, 1, 0
         below = edges.edges.where("weight < 0")
         signed = not below.isEmpty()
         while fell:
@@ -45,7 +36,7 @@ def distances(g, source: int) -> DataFrame:
                 cycle = not g.directed and not below.join(shorter.select(F.col("id").alias("src")), "src", "left_semi").isEmpty()
                 cycle = cycle or (rounds >= 4 and rounds & (rounds - 1) == 0 and _circular(state, reached, source)) or rounds > reached
                 if cycle:
-                    return g.vertices.select("id", F.lit(-UNREACHED).alias("dist"))
+                    return None
             sent = edge_map(edges, shorter.select("id", "dist"), F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent")), F.min)
             known = state.select("id", F.col("dist").alias("old"))
             shorter = sent.join(known, "id", "left").where(F.col("old").isNull() | (F.col("value.dist") < F.col("old")))
@@ -54,4 +45,21 @@ def distances(g, source: int) -> DataFrame:
                 break
             least = F.min(F.struct("dist", "parent")).alias("s")
             state, reached = cut_counted(state.union(shorter).groupBy("id").agg(least).select("id", "s.dist", "s.parent"))
+        return keep(state)
+
+
+def distances(g, source: int) -> DataFrame:
+    """(id, dist) as int; edges without weights count 1.
+
+    A round relaxes the edges of the vertices that became shorter in the last.
+    A negative cycle shows as a circle among parents, which is looked for after
+    4, 8, 16, ... rounds if there are weights below 0, and at the latest in that
+    paths become shorter after as many rounds as vertices are reached; every
+    distance then is -UNREACHED. An undirected graph that reaches an edge below
+    0 has such a cycle in that edge itself.
+    """
+    g.require(source)
+    state = _relaxed(g, source)
+    if state is None:
+        return g.vertices.select("id", F.lit(-UNREACHED).alias("dist"))
     return g.vertices.join(state, "id", "left").select("id", F.coalesce("dist", F.lit(UNREACHED)).cast("int").alias("dist"))
