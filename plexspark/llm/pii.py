@@ -3,7 +3,8 @@
 Five kinds, in this order: ``email``, ``ip``, ``card``, ``phone``, ``iban``.
 The first four are fixed proposals with fixed checks (``base``); a proposal
 whose check fails is dropped and not retried. ``iban`` is what the method adds:
-the longest part of a proposal, up to a space, that passes the mod-97 check. Cards of 13 to 15 digits are added to
+the longest part of a proposal, up to a space, that passes the mod-97 check; in
+lower case only without spaces. Cards of 13 to 15 digits are added to
 ``card`` only if Luhn passes and a context word stands nearby. Every span has a
 score: a start value of its kind, raised by a checksum and by context words
 within ``CONTEXT`` characters before it, lowered by words that speak against it.
@@ -30,6 +31,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_SMALL_IBAN = re.compile(r"(?<![A-Za-z0-9])[a-z]{2}[0-9]{2}[a-z0-9]{11,30}(?![A-Za-z0-9])")
 
 CONTEXT = 48
 #: Words that raise the score of a kind when they stand shortly before a span.
@@ -86,6 +88,13 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", after)
 
 
+def small_ibans(text: str) -> Iterator[tuple[int, int]]:
+    """IBANs in lower case, which are written without spaces; spaces between words of prose would let too much pass."""
+    for m in _SMALL_IBAN.finditer(text):
+        if mod97(m[0].upper()):
+            yield m.span()
+
+
 def ibans(text: str) -> Iterator[tuple[int, int]]:
     """Matches of ``_IBAN`` that pass, or the longest part of each that passes from its start to a space; the search goes on behind that."""
     m = _IBAN.search(text)
@@ -115,7 +124,7 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
         for m in _PHONE.finditer(text):
             if 8 <= sum(map(str.isdecimal, m[0])) <= 15:
                 yield "phone", *m.span(), True
-    for a, b in ibans(text):
+    for a, b in (*ibans(text), *small_ibans(text)):
         yield "iban", a, b, False
 
 
