@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from plexspark.llm import shared, words
 from plexspark.plans.connected import components
+from plexspark.plans.lineage import cut_observed
 
 BANDS, ROWS = 40, 6
 #: Rounds in which a node is compared with centres of its buckets, and with how many: those that most of them have.
@@ -105,8 +106,8 @@ def shingles_of(text: str, size: int, lower: bool) -> frozenset:
 NODE = "struct<id:long,hash:long>"
 
 
-def _exact(pairs: DataFrame, texts: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
-    """(a, b, linked) for each of the pairs, compared on whole texts."""
+def _exact(pairs: DataFrame, texts: DataFrame, size: int, lower: bool, percent: int) -> tuple[DataFrame, int]:
+    """(a, b, linked) for each of the pairs, compared on whole texts; and how many are linked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, frozenset())
         for batch in batches:
@@ -122,7 +123,8 @@ def _exact(pairs: DataFrame, texts: DataFrame, size: int, lower: bool, percent:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return shared.cut(both.select("a", "b", "x", "y").mapInArrow(run, f"a {NODE}, b {NODE}, linked boolean"))
+    out, seen = cut_observed(both.select("a", "b", "x", "y").mapInArrow(run, f"a {NODE}, b {NODE}, linked boolean"), linked=F.count_if("linked"))
+    return out, seen["linked"]
 
 
 def _shingled(texts: DataFrame, size: int, lower: bool) -> DataFrame:
@@ -210,7 +212,7 @@ def _grouped(rows: DataFrame, base: DataFrame, size: int, lower: bool, percent:
 
     near = members.where("node <> head").where(_alike(percent)).select(F.col("head").alias("a"), "node", "c")
     pairs = near.where("c = 2").select("a", F.col("node").alias("b")).union(_centres(near.where("c > 2"))).distinct()
-    checked = _exact(pairs, texts, size, lower, percent)
+    checked, _ = _exact(pairs, texts, size, lower, percent)
     whole = components(checked.where("linked"))
     members = members.where("c > 2").drop("c", "head", "m")  # of two nodes nothing is left to compare
     for turn in range(STARS + 1):
@@ -227,8 +229,10 @@ def _grouped(rows: DataFrame, base: DataFrame, size: int, lower: bool, percent:
         else:
             pairs = _rest(members.select("node", "component").distinct(), texts, size, lower, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        checked = checked.union(_exact(pairs, texts, size, lower, percent))
-        whole = components(checked.where("linked"))
+        more, linked = _exact(pairs, texts, size, lower, percent)
+        checked = checked.union(more)
+        if linked:
+            whole = components(checked.where("linked"))
         members = members.drop("component")
 
     return shared.cut(nodes.select("sha", "node").join(whole, "node", "left").select("sha", F.coalesce("component", "node").alias("root")))
