@@ -5,7 +5,6 @@ from __future__ import annotations
 from contextlib import redirect_stdout
 from io import StringIO
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -356,7 +355,7 @@ def adj_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.createDataFrame([(BAD[kind],)], "value string").coalesce(1).write.text(path)
         try:
             adj.read_adj(spark, path)
-        except (ValueError, AnalysisException):
+        except (ValueError, FileNotFoundError):
             return True
         return False
 

@@ -28,7 +28,9 @@ def separator(spark: SparkSession, path: str) -> str:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [f for f in store.globStatus(where) or []]
+    found = store.globStatus(where)
+    if not found:
+        raise FileNotFoundError(path)
     files = [g for f in found for g in (store.listStatus(f.getPath()) if f.isDirectory() else [f])]
     files = sorted((f for f in files if f.getLen() and not f.getPath().getName().startswith(("_", "."))), key=lambda f: f.getPath().toString())
     if not files:

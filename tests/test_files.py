@@ -141,6 +141,11 @@ def test_a_file_on_one_line_is_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_a_missing_file(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        adj.read_adj(spark, f"{tmp_path}/none.adj")
+
+
 def test_tables_go_with_their_scope(spark):
     from plexspark.plans import lineage
 
