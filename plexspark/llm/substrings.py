@@ -128,14 +128,22 @@ def _cuts(head: np.ndarray) -> np.ndarray:
 
 
 def _passages(texts: DataFrame, window: int) -> DataFrame:
-    """(num, gram, n, passage) of (num, text, starts): runs of the windows that start there and have one least hash, n words long."""
+    """(num, gram, n, passage) of (num, text, starts): runs of the windows that start there and have one least hash, n words long.
+
+    A start is a word and the window's hash, which tells two texts of one num apart.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, at in shared.passes(batch):
                 w = words.words_of(buf, at)
-                begin, least, _ = least_hashes(words.span_hashes(buf, w.start, w.end), w, window)
-                asked, row = _asked_rows(part.column(2))
-                mine = np.searchsorted(begin, np.sort(asked + w.first[row]))
+                each = words.span_hashes(buf, w.start, w.end)
+                begin, least, _ = least_hashes(each, w, window)
+                starts = part.column(2).flatten()
+                row = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                asked, hashed = starts.field(0).to_numpy() + w.first[row], starts.field(1).to_numpy().view(U)
+                inside = asked + window <= w.first[row + 1]
+                asked, hashed = asked[inside], hashed[inside]
+                mine = np.searchsorted(begin, np.sort(asked[words.run_hashes(each, window)[asked] == hashed] if len(asked) else asked))
                 first, least, doc = begin[mine], least[mine], w.doc[begin[mine]]
                 head = np.ones(len(first), bool)  # a step of more than one would let in a window that is not repeated
                 head[1:] = (np.diff(first) > 1) | (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
@@ -326,7 +334,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = shared.cut(texts.select("num", "c", "id", "hash", "text", "asked"))
 
     found = _windows(texts.select("num", "c", "text", "asked"), window).groupBy("w1", "w2").agg(F.sum("c").alias("c"), F.min("num").alias("num"), F.min_by("at", "num").alias("at")).where("c > 1")
-    starts = found.groupBy("num").agg(F.collect_list("at").alias("starts"))
+    starts = found.groupBy("num").agg(F.collect_list(F.struct("at", "w1")).alias("starts"))
     passages = shared.cut(_passages(texts.join(starts, "num").select("num", "text", "starts"), window))
 
     total = passages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

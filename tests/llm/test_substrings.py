@@ -108,3 +108,14 @@ def test_extra_columns_and_a_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[5:60])), (3, None)]
     df = docs(spark, rows).selectExpr("*", "1 AS n_words", "2 AS id", "3 AS hash", "4 AS spans")
     assert got(substrings.repeated_spans(df)) == expected(rows)
+
+
+def test_nodes_of_one_number(spark, monkeypatch):
+    """Two texts whose numbers clash are told apart by the hashes of their windows."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(substrings.F, "xxhash64", lambda *c: F.lit(5).cast("long") if c == ("id", "hash") else real(*c))
+    p, q = [" ".join(f"{x}{i}" for i in range(60)) for x in "pq"]
+    rows = [(1, f"a b {p}"), (2, f"{p} c d"), (3, f"e {q}"), (4, f"{q} " + "own words " * 40), (5, " ".join(f"z{i}" for i in range(300)))]
+    assert got(substrings.repeated_spans(docs(spark, rows))) == expected(rows)
