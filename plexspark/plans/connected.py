@@ -6,27 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, cut_counted, cut_observed, scratch
+from plexspark.plans.lineage import cut, cut_counted, scratch
 
 
-def _marked(links: DataFrame) -> tuple[DataFrame, dict]:
-    """The links as a table; their number and a sum over them that tells one set of links from another."""
-    return cut_observed(links, rows=F.count(F.lit(1)), sum=F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")))
+def _settled(links: DataFrame) -> bool:
+    """Whether the links (lo, hi) are stars: no upper end has two lower ones, or is one itself. Ends are counted before they are exchanged."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("lo").alias("node"), F.lit(0).alias("upper")), F.struct(F.col("hi").alias("node"), F.lit(1).alias("upper")))).alias("e")).select("e.*")
+    ends = ends.groupBy("node").agg(F.sum("upper").alias("upper"), F.count("*").alias("all"))
+    return ends.where("upper > 1 OR (upper = 1 AND all > 1)").isEmpty()
 
 
 def _stars(links: DataFrame, x: Column, y: Column) -> DataFrame:
     """(lo, hi), a table: every node that has a link to another under the smallest one reachable."""
-    links, mark = _marked(links.where(x != y).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct())
-    while mark["rows"]:
+    links = cut(links.where(x != y).select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct())
+    while not _settled(links):
         both = links.select(F.col("lo").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
         links = cut(links.join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct())
         least = cut(links.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
         small = links.join(least, F.col("hi") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-        last = mark
-        links, mark = _marked(small.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-        if mark == last:
-            break
+        links = cut(small.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     return links
 
 
@@ -35,7 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs the larger ends of every node's links under its smallest
     neighbour (large star), then does the same with its smaller ends (small
-    star). The rounds needed grow with the logarithm of the number of nodes,
+    star), until all links are stars. The rounds needed grow with the logarithm of the number of nodes,
     also for long chains. Minima are aggregated before they are exchanged, and
     joining them back is a join whose hot keys Spark can split, as both sides
     are read from tables; no node's links meet in one task or in the driver.
