@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from plexspark.llm import shared, words
 from plexspark.plans.connected import components
-from plexspark.plans.lineage import cut_observed
+from plexspark.plans.lineage import cut_counted, cut_observed
 
 BANDS, ROWS = 40, 6
-#: Rounds in which a node is compared with centres of its buckets, and with how many: those that most of them have.
-STARS, PICKS = 2, 16
+#: Further rounds in which a node is compared with centres of its buckets, and with how many: those that most of them have.
+STARS, PICKS = 1, 16
 #: Sets whose sizes differ by less than this factor lie in one class of sizes.
 CLASS = 1.05
 U = np.uint64
@@ -184,6 +184,17 @@ def _centres(pairs: DataFrame) -> DataFrame:
     return often.withColumn("place", place).where(F.col("place") <= PICKS).select("a", F.col("node").alias("b"))
 
 
+def _merged(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """``whole`` (node, component) with further links (a, b), which are searched between components only."""
+    of = lambda c: whole.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = shared.cut(ends.select("a", "b", F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y")))
+    over = components(ends, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("n")).select("n.*")
+    every = whole.union(fresh).distinct()
+    return shared.cut(every.join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+
+
 def _alike(percent: int):
     """Whether sets of n and m shingles can have that similarity."""
     n, m = F.col("n"), F.col("m")
@@ -219,8 +230,8 @@ def _grouped(rows: DataFrame, base: DataFrame, size: int, lower: bool, percent:
         known = members.join(whole.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         order = F.xxhash64("node", F.lit(turn))
         apart = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(order, F.struct("node", "n", "component"))).alias("pick"))
-        apart = shared.cut(apart.where("lo <> hi").select("key", F.col("pick.col2.node").alias("a"), F.col("pick.col2.n").alias("m"), F.col("pick.col2.component").alias("other")))
-        if apart.isEmpty():
+        apart, some = cut_counted(apart.where("lo <> hi").select("key", F.col("pick.col2.node").alias("a"), F.col("pick.col2.n").alias("m"), F.col("pick.col2.component").alias("other")))
+        if not some:
             break
         members = shared.cut(known.join(apart.select("key"), "key", "left_semi").select("key", "node", "n", "component"))
         if turn < STARS:
@@ -232,7 +243,7 @@ def _grouped(rows: DataFrame, base: DataFrame, size: int, lower: bool, percent:
         more, linked = _exact(pairs, texts, size, lower, percent)
         checked = checked.union(more)
         if linked:
-            whole = components(checked.where("linked"))
+            whole = _merged(whole, more.where("linked"))
         members = members.drop("component")
 
     return shared.cut(nodes.select("sha", "node").join(whole, "node", "left").select("sha", F.coalesce("component", "node").alias("root")))
