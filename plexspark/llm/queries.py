@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexspark.llm import chat, decontam, lines, minhash, pieces, pii, quality, sharding, substrings, urls
+from plexspark.llm import chat, decontam, lines, minhash, periodic, pieces, pii, quality, sharding, substrings, urls
 from plexspark.llm.shared import table
 
 
@@ -68,7 +68,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op2_decontamination, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op9_substring_dedup, op10_sharding)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_cycles(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic.find_runs(docs, exponent=3, least=24).select("doc_id", "periodic.*")
+    out = out.withColumn("best", periodic.longest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, digest(listed).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"), "n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op2_decontamination, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op9_substring_dedup, op10_sharding, op13_periodic_runs)}
 
 SQL = {}
 
