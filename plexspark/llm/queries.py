@@ -1,11 +1,11 @@
-"""The queries of the ten operators, with production parameters over whole tables, and their SQL."""
+"""The queries of the operators, with production parameters over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexspark.llm import chat, decontam, lines, minhash, periodic, pieces, pii, quality, sharding, substrings, urls
+from plexspark.llm import chat, decontam, lines, minhash, negatives, periodic, pieces, pii, quality, sharding, substrings, toxicity, urls
 from plexspark.llm.shared import table
 
 
@@ -68,6 +68,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = toxicity.score(docs, labels.where(~held), label="toxic")
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_cycles(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = periodic.find_runs(docs, exponent=3, least=24).select("doc_id", "periodic.*")
@@ -78,7 +91,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, digest(listed).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"), "n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op2_decontamination, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op9_substring_dedup, op10_sharding, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op2_decontamination, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_merge_dropout, op7_minhash_near_dedup, op8_pii, op9_substring_dedup, op10_sharding, op11_toxicity, op12_hard_negatives, op13_periodic_runs)}
 
 SQL = {}
 
@@ -187,3 +200,16 @@ summed AS (SELECT row, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_re
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INTEGER) AS n_spans
 FROM listed LEFT JOIN summed USING (row)
 """
+
+SQL["op12_hard_negatives"] = r"""
+WITH moved AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM moved a JOIN moved b ON a.id % 50 = 0 AND b.id <> a.id),
+good AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT g.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY g.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM good g JOIN pair n ON n.anchor_id = g.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
