@@ -36,7 +36,7 @@ SYMBOLS = 28
 # Which letters signs and digits stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 #: Prices in bits: a sign for a letter, a letter once for twice, a letter once or twice for more.
-SWAP, HALVED, FEWER = 2.0, 4.0, 1.0
+SWAP, HALVED, FEWER = 2.0, 7.0, 1.0
 #: A sign that means nothing; a run of them at the end; a digit that stays one.
 NOISE, RUN, DIGIT = 12.0, 3.0, 7.0
 #: Punctuation or a blank left out or kept, between longer pieces and between single characters.
