@@ -37,9 +37,13 @@ BANDS, ROWS = 40, 6
 STARS, PICKS = 1, 16
 #: Sets whose sizes differ by less than this factor lie in one class of sizes.
 CLASS = 1.05
+#: Pairs of one node that are compared in a task, about.
+TOGETHER = 1024
+#: Ids that may be null (``shared.orderly``), and nodes.
+ID = "struct<none:boolean,value:long>"
+NODE = f"struct<id:{ID},hash:long>"
 U = np.uint64
 EMPTY = U((1 << 64) - 1)
-LAST = (1 << 63) - 1
 
 
 def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +99,7 @@ def _survey(docs: DataFrame, size: int, lower: bool) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), lists], ["id", "hash", "n", "sha", "bands"])
 
-    return docs.mapInArrow(run, "id long, hash long, n long, sha binary, bands array<long>")
+    return docs.mapInArrow(run, f"id {ID}, hash long, n long, sha binary, bands array<long>")
 
 
 def shingles_of(text: str, size: int, lower: bool) -> frozenset:
@@ -103,7 +107,18 @@ def shingles_of(text: str, size: int, lower: bool) -> frozenset:
     return frozenset(zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-NODE = "struct<id:long,hash:long>"
+
+
+def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str, into: str) -> DataFrame:
+    """``pairs`` with the text of one side; a node of many pairs is dealt to parts by the other side, and its text copied to each."""
+    texts = texts.select(F.col("node").alias(side), F.col("text").alias(into))
+    often, some = cut_counted(pairs.groupBy(side).agg(F.count("*").alias("_c")).where(F.col("_c") > TOGETHER))
+    if not some:
+        return pairs.join(texts, side)
+    deal = F.coalesce(F.ceil(F.col("_c") / TOGETHER).cast("int"), F.lit(1))
+    texts = texts.join(often, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), deal - 1))).drop("_c")
+    dealt = shared.join_counted(pairs, often, side, "_c", "left").withColumn("_part", F.pmod(F.xxhash64(other), deal).cast("int")).drop("_c")
+    return dealt.join(texts, [side, "_part"]).drop("_part")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, size: int, lower: bool, percent: int) -> tuple[DataFrame, int]:
@@ -122,7 +137,8 @@ def _exact(pairs: DataFrame, texts: DataFrame, size: int, lower: bool, percent:
                     linked.append(100 * common >= percent * (len(s) + len(t) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    pairs = shared.cut(pairs.select("a", "b"))
+    both = _with_text(_with_text(pairs, texts, "a", "b", "x"), texts, "b", "a", "y")
     out, seen = cut_observed(both.select("a", "b", "x", "y").mapInArrow(run, f"a {NODE}, b {NODE}, linked boolean"), linked=F.count_if("linked"))
     return out, seen["linked"]
 
@@ -203,7 +219,7 @@ def _alike(percent: int):
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, lower: bool) -> tuple[DataFrame, DataFrame]:
     """(id, hash, n, sha) of all rows, and (sha, root) for those with words."""
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    base = docs.select(shared.orderly(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     rows = shared.cut(_survey(base, size, lower))
     with shared.scratch() as keep:
         label = keep(_grouped(rows, base, size, lower, percent))
@@ -261,9 +277,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows, label = _labelled(docs, doc_id, text, size, percent, lower)
     out = rows.where("n > 0").join(label, "sha").select("id", "n", F.col("root.id").alias("least")).union(rows.where("n = 0").select("id", "n", "id"))
-    own = F.when(F.col("id") != LAST, F.col("id"))
-    least = F.when(F.col("least") != LAST, F.col("least"))
-    return out.select(own.alias(doc_id), F.col("n").alias("n_shingles"), least.alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    value = lambda c: F.when(~F.col(c)["none"], F.col(c)["value"])
+    return out.select(value("id").alias(doc_id), F.col("n").alias("n_shingles"), value("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -279,7 +294,7 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lead = shared.cut(lead.union(rows.where("n = 0").select("id", "hash", F.lit(1).cast("long")).distinct()))
     own = docs.drop("_id", "_hash")
     names = own.columns
-    own = own.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_hash": F.xxhash64(text)})
+    own = own.withColumns({"_id": shared.orderly(doc_id), "_hash": F.xxhash64(text)})
     key = ["_id", "_hash"]
     once = own.join(lead.where("c = 1"), key, "left_semi")
     again = own.join(lead.where("c > 1"), key, "left_semi").dropDuplicates(key)  # aggregated before it is exchanged

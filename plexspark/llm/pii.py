@@ -12,7 +12,6 @@ within ``CONTEXT`` characters before it, lowered by words that speak against it.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -175,14 +174,3 @@ def find_pii(docs: DataFrame, text: str = "text", least_score: float = 0.0) -> D
                 yield pa.RecordBatch.from_arrays([*batch.columns, pii], [*names, "pii"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("pii", inner)]))
-
-
-def listed(found: list[Span]) -> str:
-    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in found)
-
-
-def digest(text: str | None) -> tuple[int, int, int, int, str, str]:
-    """Counts of the base spans, their hash and all spans, for brute-force comparison."""
-    found = spans(text or "")
-    base = [s for s in found if s.base]
-    return (*(sum(s.kind == k for s in base) for k in KINDS[:4]), hashlib.sha256(listed(base).encode()).hexdigest(), listed(found))

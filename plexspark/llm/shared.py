@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexspark.plans import lineage
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 cut, drop, scratch = lineage.cut, lineage.drop, lineage.scratch
 
 
+def orderly(column: str) -> Column:
+    """An id that may be null as (none, value), which can be compared, joined and sorted: null comes last."""
+    own = F.col(column).cast("long")
+    return F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit(0).cast("long")).alias("value"))
+
+
 #: A key with more than one in so many rows is joined by broadcast.
 HOT = 4096
 
@@ -35,7 +41,7 @@ def join_counted(rows: DataFrame, counts: DataFrame, key: str, count: str, how:
     limit = counts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0] // HOT
     hot, cold = counts.where(F.col(count) > limit), counts.where(F.col(count) <= limit)
     apart = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key, how).union(apart.join(cold, key, how))
+    return rows.join(F.broadcast(hot), key, "inner" if how == "left" else how).union(apart.join(cold, key, how))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -42,7 +42,6 @@ SHARD_WORDS = 150_000
 COPY_WORDS = 2_000_000
 #: Windows of a passage or region at most; longer runs are cut, with a window's overlap.
 RUN = 1024
-LAST = (1 << 63) - 1
 U = np.uint64
 
 
@@ -317,20 +316,21 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if window < GRAM:
         raise ValueError(f"a window needs {GRAM} words at least")
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     rows = shared.cut(_survey(base, window))
 
     # Texts of the same words are one node, looked at once; each of its windows counts as often as it has copies.
     long = rows.where(F.col("n_words") >= window)
-    nodes = long.groupBy("sha").agg(F.count("*").alias("c"), F.min(F.struct("id", "hash")).alias("node"), F.first("grams").alias("grams"))
+    known = F.coalesce("id", F.lit(0)).alias("id")  # texts of one hash are one text, whatever their ids
+    nodes = long.groupBy("sha").agg(F.count("*").alias("c"), F.min(F.struct(known, "hash")).alias("node"), F.first("grams").alias("grams"))
     nodes = shared.cut(nodes.select("sha", "c", "node.id", "node.hash", "grams"))
     # num stands for a node where a clash of two would only cost time.
     num = F.xxhash64("id", "hash").alias("num")
     grams = nodes.select(num, "c", F.explode("grams").alias("g")).select("num", "c", "g.gram", "g.times")
-    twice = shared.cut(grams.groupBy("gram").agg(F.sum(F.greatest("times", "c")).alias("t")).where("t > 1").select("gram"))
-    asked = shared.cut(grams.join(twice, "gram", "left_semi").select("num", "gram", "c"))
+    twice = shared.cut(grams.groupBy("gram").agg(F.sum(F.greatest("times", "c")).alias("t"), F.count("*").alias("rows")).where("t > 1").select("gram", "rows"))
+    asked = shared.cut(shared.join_counted(grams, twice, "gram", "rows").select("num", "gram", "c"))
     lists = asked.groupBy("num").agg(F.max("c").alias("c"), F.collect_list("gram").alias("asked"))
-    texts = lists.join(base.select(num, "id", "hash", "text"), "num").dropDuplicates(["num", "id", "hash"])
+    texts = lists.join(base.select(known, "hash", "text").select(num, "id", "hash", "text"), "num").dropDuplicates(["num", "id", "hash"])
     texts = shared.cut(texts.select("num", "c", "id", "hash", "text", "asked"))
 
     found = _windows(texts.select("num", "c", "text", "asked"), window).groupBy("w1", "w2").agg(F.sum("c").alias("c"), F.min("num").alias("num"), F.min_by("at", "num").alias("at")).where("c > 1")
@@ -340,7 +340,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = passages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
     owned = shared.cut(passages.groupBy("gram").agg(F.ceil(F.sum("n") / SHARD_WORDS).cast("int").alias("parts")))
-    routes = asked.join(owned, "gram").groupBy("num").agg(F.collect_list(F.struct("gram", "parts")).alias("to"))
+    of = shared.cut(owned.join(twice, "gram"))
+    routes = shared.join_counted(asked, of, "gram", "rows").groupBy("num").agg(F.collect_list(F.struct("gram", "parts")).alias("to"))
     routes = texts.join(routes, "num").select("id", "hash", "text", F.col("to.gram").alias("grams"), F.col("to.parts").alias("parts"))
     regions = shared.cut(_regions(routes, window, shards))
     split = passages.join(owned, "gram").select(F.col("num").alias("id"), F.col("num").alias("hash"), F.col("passage").alias("text"), F.array("gram").alias("grams"), F.array("parts").alias("parts"))
@@ -350,7 +351,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tasks = max(1, load.agg(F.sum("copies")).first()[0] or 1)
     streamed = tell.union(ask).repartition(tasks, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     spans = shared.cut(_stream(streamed, window))
-    shared.drop(twice, asked, passages, owned, regions, load)
+    shared.drop(twice, asked, passages, owned, of, regions, load)
 
     gathered = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     settled = _settle(texts.join(gathered, ["id", "hash"]).select("id", "hash", "text", "found"))
@@ -360,6 +361,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty = F.array().cast("array<struct<start:int,end:int>>")
     out = rows.select("id", "n_words", "sha").join(settled, "sha", "left")
     return out.select(
-        F.when(F.col("id") != LAST, F.col("id")).alias(doc_id), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.col("id").alias(doc_id), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.lower(F.hex(F.coalesce("left", "sha"))).alias("kept_sha256"), F.coalesce("spans", empty).alias("spans"),
     )

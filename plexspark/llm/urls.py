@@ -141,11 +141,11 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple = R
     ruled = seen.select("page_id", "host", "path", "own.rule", "own.verdict", "address", "written")
     whole = components(links)
     alone = F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id"), F.lit(65536)).cast("string"))  # spreads pages without an address
-    named = ruled.join(whole, F.col("written") == F.col("node"), "left").select("page_id", "host", "path", "rule", "verdict", "address", F.coalesce("component", "address", alone).alias("component"))
+    named = shared.cut(ruled.join(whole, F.col("written") == F.col("node"), "left").select("page_id", "host", "path", "rule", "verdict", "address", F.coalesce("component", "address", alone).alias("component")))
     ends = ends.where("address IS NOT NULL AND verdict IS NOT NULL").distinct()
     ends = ends.join(whole, F.col("address") == F.col("node"), "left").select(F.coalesce("component", "address").alias("component"), "verdict")
-    verdicts = named.where("verdict IS NOT NULL").select("component", "verdict").union(ends)
-    flags = verdicts.groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"))
-    out = named.join(flags, "component", "left")
+    verdicts = named.select("component", "verdict", F.lit(1).alias("rows")).union(ends.select("component", "verdict", F.lit(0)))
+    flags = verdicts.groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"), F.sum("rows").alias("rows"))
+    out = shared.join_counted(named, shared.cut(flags.where("allowed IS NOT NULL")), "component", "rows", "left")
     verdict = F.coalesce("verdict", F.when(~F.col("allowed"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "address", F.when(F.col("address").isNotNull(), F.col("component")).alias("component"))

@@ -98,9 +98,9 @@ def test_families_around_the_limit(spark, monkeypatch):
                 w[at : at + rng.randint(0, 1)] = [rng.choice(["x", f"y{rng.randrange(99)}"])] * rng.randint(0, 2)
             rows.append((len(rows), " ".join(w)))
     rows += [(len(rows) + i, f"alpha beta gamma x{i}") for i in range(60)]
-    known = spark.createDataFrame([((i, 0), (i, 0)) for i, _ in rows], f"node {minhash.NODE}, component {minhash.NODE}")
-    texts = spark.createDataFrame([((i, 0), t) for i, t in rows], f"node {minhash.NODE}, text string")
-    pairs = {tuple(sorted((r.a.id, r.b.id))) for r in minhash._rest(known, texts, 2, True, 80).collect()}
+    known = spark.createDataFrame([(((False, i), 0), ((False, i), 0)) for i, _ in rows], f"node {minhash.NODE}, component {minhash.NODE}")
+    texts = spark.createDataFrame([(((False, i), 0), t) for i, t in rows], f"node {minhash.NODE}, text string")
+    pairs = {tuple(sorted((r.a.id.value, r.b.id.value))) for r in minhash._rest(known, texts, 2, True, 80).collect()}
     sets = [minhash.shingles_of(t, 2, True) for _, t in rows]
     linked = {(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert linked <= pairs and len(pairs) < 3 * len(linked) + len(rows)
@@ -119,3 +119,20 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(1, "one two three"), (1, "one two three"), (1, "ONE two three"), (2, "one two three"), (3, None), (3, None), (None, "x y z"), (None, "x y z"), (4, "p q r s"), (5, "\n"), (None, "one two three"), (4, "t u v")]
     kept = minhash.first_of_groups(docs(spark, rows)).collect()
     assert sorted(str((r.doc_id, (r.text or "").lower())) for r in kept) == sorted(["(1, 'one two three')", "(3, '')", "(None, 'x y z')", "(4, 'p q r s')", "(5, '\\n')", "(4, 't u v')"] + ["(3, '')"])
+
+
+def test_a_centre_of_many_copies_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TOGETHER", 8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: i % 59], f"x{i}", *words[i % 59 + 1 :]])) for i in range(90)] + [(200, "other words here"), (None, " ".join(words))]
+    want = minhash.near_duplicates(docs(spark, rows), size=2).collect()
+    monkeypatch.setattr(minhash, "TOGETHER", 1 << 40)
+    assert sorted(map(str, want)) == sorted(map(str, minhash.near_duplicates(docs(spark, rows), size=2).collect()))
+    assert sum(r.kept for r in want) < 10
+
+
+def test_the_largest_id_is_an_id(spark):
+    most = (1 << 63) - 1
+    rows = [(most, "one two three four five six"), (None, "one two three four five six"), (5, "something else altogether"), (None, "alone with these words")]
+    got = minhash.near_duplicates(docs(spark, rows), size=2).collect()
+    assert sorted(map(str, ((r.doc_id, r.component_id, r.kept) for r in got))) == sorted(map(str, [(most, most, True), (None, most, False), (5, 5, True), (None, None, True)]))

@@ -119,3 +119,10 @@ def test_nodes_of_one_number(spark, monkeypatch):
     p, q = [" ".join(f"{x}{i}" for i in range(60)) for x in "pq"]
     rows = [(1, f"a b {p}"), (2, f"{p} c d"), (3, f"e {q}"), (4, f"{q} " + "own words " * 40), (5, " ".join(f"z{i}" for i in range(300)))]
     assert got(substrings.repeated_spans(docs(spark, rows))) == expected(rows)
+
+
+def test_the_largest_id_is_an_id(spark):
+    most = (1 << 63) - 1
+    text = " ".join(f"w{i}" for i in range(40))
+    got = substrings.repeated_spans(docs(spark, [(most, text), (None, text), (0, "few words")]), window=35).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_removed) for r in got))) == sorted(map(str, [(most, 40), (None, 40), (0, 0)]))
