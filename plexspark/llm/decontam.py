@@ -121,12 +121,14 @@ class Table:
         order = np.argsort(keys, kind="stable")
         self.item, self.offset = item[order], offset[order]
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.filter = Filter(self.keys)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of the keys are here, and the first and number of the entries of each."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        on = np.flatnonzero(self.keys[at] == keys)
-        return on, self.first[at[on]], self.count[at[on]]
+        some = np.flatnonzero(self.filter.passes(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        same = self.keys[at] == keys[some]
+        return some[same], self.first[at[same]], self.count[at[same]]
 
 
 class Index:
@@ -141,23 +143,23 @@ class Index:
         self.items = [(i, t.lower()) for (i, _), t in zip(items, texts, strict=True)]
         self.split: dict[int, tuple[list[bytes], frozenset]] = {}
         hashes, sizes = words.span_hashes(buf, w.start, w.end), w.counts
-        self.short: dict[int, tuple[Filter, Table]] = {}
+        self.short: dict[int, Table] = {}
         cut = np.array([(n, a, b - a) for n in np.flatnonzero((sizes > 0) & (sizes < LEAST)).tolist() for a, b in parts(int(sizes[n]), edits)], np.int64).reshape(-1, 3)
         for m in np.unique(cut[:, 2]).tolist():
             item, offset, _ = cut[cut[:, 2] == m].T
             key = words.run_hashes(hashes, m)[w.first[item] + offset]
-            self.short[m] = Filter(key), Table(key, item, offset)
+            self.short[m] = Table(key, item, offset)
         pair = pairs(hashes)
         long = sizes[w.doc] >= LEAST
         long[:-1] &= w.doc[1:] == w.doc[:-1]
-        self.filter = Filter(pair[long])
-        self.classes: list[tuple[int, int, Table]] = []  # the fewest and most words of the items
+        self.classes: list[tuple[int, int, Filter, Table]] = []  # the fewest and most words of the items, and their pairs
         low = LEAST
         while low <= sizes.max(initial=0):
             high = max(low, int(low * CLASS))
             own = np.flatnonzero((sizes >= low) & (sizes <= high))
             if len(own):
-                self.classes.append((low, int(sizes[own].max()), self._table(hashes, pair, w, own, low)))
+                inside = long & (sizes >= low)[w.doc] & (sizes <= high)[w.doc]
+                self.classes.append((low, int(sizes[own].max()), Filter(pair[inside]), self._table(hashes, pair, w, own, low)))
             low = high + 1
 
     def _table(self, hashes: np.ndarray, pair: np.ndarray, w: words.Words, own: np.ndarray, low: int) -> Table:
@@ -180,20 +182,19 @@ class Index:
         n, hits = len(hashes), []
         if not n:
             return
-        for m, (among, table) in self.short.items():
-            key = words.run_hashes(hashes, m)
-            start = np.flatnonzero(among.passes(key) & (doc[: len(key)] == doc[m - 1 :])) if len(key) else np.empty(0, np.int64)
-            on, a, count = table.find(key[start])
-            hits.append((start[on], table, a, count))
+        for m, table in self.short.items():
+            start, a, count = table.find(words.run_hashes(hashes, m))
+            inside = doc[start] == doc[np.minimum(start + m, n) - 1]
+            hits.append((start[inside], table, a[inside], count[inside]))
         if self.classes:
             pair = pairs(hashes)
-            total = np.zeros(n + 1, np.int64)
-            np.cumsum(self.filter.passes(pair), out=total[1:])
-            for low, high, table in self.classes:
+            for low, high, among, table in self.classes:
                 k = int(self.edits * high)
+                total = np.zeros(n + high + k + 1, np.int32)
+                np.cumsum(among.passes(pair), out=total[1 : n + 1])
+                total[n + 1 :] = total[n]
                 need = min(m - 1 - 2 * int(self.edits * m) for m in range(low, high + 1))
-                seen = total[np.minimum(np.arange(n) + high + k, n)] - total[:-1]
-                begin = np.flatnonzero(seen >= need)
+                begin = np.flatnonzero(total[high + k : n + high + k] - total[:n] >= need)
                 reach = max(shifts(low, self.edits)) + 1 + k  # walks start at a shifted place of the item, and edits move it
                 begin = np.flatnonzero(words.covered(begin, reach, n + reach)[:n]) if len(begin) else begin
                 for lo in range(0, len(begin), STARTS):
