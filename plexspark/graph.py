@@ -110,6 +110,11 @@ class Graph:
 
         return bfs.depths(self, source)
 
+    def bfs_sources(self, sources: DataFrame) -> DataFrame:
+        from plexspark.plans import bfs
+
+        return bfs.search(self, sources)
+
     def bfs_parents(self, source: int) -> DataFrame:
         from plexspark.plans import bfs
 
@@ -120,6 +125,16 @@ class Graph:
 
         return betweenness.dependencies(self, source, transpose_backward)
 
+    def betweenness_sources(self, sources: DataFrame, transpose_backward: bool = False) -> DataFrame:
+        from plexspark.plans import betweenness
+
+        return betweenness.of_sources(self, sources, transpose_backward)
+
+    def k_core(self, k: int) -> DataFrame:
+        from plexspark.plans import cores
+
+        return cores.core(self, k)
+
     def pagerank(self, rounds: int = 10, divisor: str | None = None) -> DataFrame:
         from plexspark.plans import pagerank
 
@@ -135,6 +150,11 @@ class Graph:
 
         return triangles.count(self)
 
+    def triangles_per_vertex(self) -> DataFrame:
+        from plexspark.plans import triangles
+
+        return triangles.per_vertex(self)
+
     def common_neighbors(self, pairs: DataFrame) -> DataFrame:
         from plexspark.plans import triangles
 

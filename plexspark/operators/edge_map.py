@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,37 +17,53 @@ HUB = 1 << 20
 
 @dataclass
 class Dealt:
-    """Edges held by their tail; those of hubs (src, parts) are dealt to parts, which their senders are copied to."""
+    """Edges held by one end (``by``) and sorted by it; those of hubs (``by``, parts) are dealt to parts, which their senders are copied to."""
 
     edges: DataFrame
     hubs: DataFrame | None
+    by: str = "src"
+    back: Dealt | None = None  #: the same edges by the other end
 
     def sending(self, frontier: DataFrame) -> tuple[DataFrame, list[str]]:
-        """The frontier as (_from, [part], ...), and by what it is joined."""
+        """The frontier as (_from, [part], ...), and by what it is joined beside the vertex."""
         if self.hubs is None:
             return frontier.withColumnRenamed("id", "_from"), []
-        parts = frontier.join(F.broadcast(self.hubs), F.col("id") == F.col("src"), "left").drop("src")
+        parts = frontier.join(self.hubs.withColumnRenamed(self.by, "id"), "id", "left")
         copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
         return parts.withColumn("_part", copies).drop("parts").withColumnRenamed("id", "_from"), ["_part"]
 
 
 @contextmanager
-def dealt(edges: DataFrame) -> Iterator[Dealt]:
-    """Edges for loops that send along them: written once, partitioned by src and held while the loop runs.
-
-    A hub, with more than ``HUB`` edges, has its edges spread by a hash of their
-    heads, so that no partition and no task grows with the largest degree. There
-    is at most one hub for every ``HUB`` edges, which bounds what is broadcast.
-    """
-    base = cut(edges)
-    hubs, found = cut_counted(base.groupBy("src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
+def laid(edges: DataFrame, by: str) -> Iterator[Dealt]:
+    """Edges of a table partitioned and sorted by one end, and held while they are used."""
+    other = "dst" if by == "src" else "src"
+    hubs, found = cut_counted(edges.groupBy(by).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
     if found:
-        part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
-        spread = base.join(F.broadcast(hubs), "src", "left").withColumn("part", part).drop("parts").repartition("src", "part")
+        part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
+        spread = edges.join(hubs, by, "left").withColumn("part", part).drop("parts").repartition(by, "part").sortWithinPartitions(by, "part")
     else:
-        spread = base.repartition("src")
+        spread = edges.repartition(by).sortWithinPartitions(by)
     with held(spread) as kept:
-        yield Dealt(kept, hubs if found else None)
+        yield Dealt(kept, hubs if found else None, by)
+    drop(hubs)
+
+
+@contextmanager
+def dealt(edges: DataFrame, both: bool = False) -> Iterator[Dealt]:
+    """Edges for loops that send along them: written once, partitioned and sorted by src, held while the loop runs.
+
+    A round then joins its frontier without moving or sorting edges. ``both``
+    holds them by dst as well, for loops that also go against the edges. A hub,
+    with more than ``HUB`` edges at that end, has them spread by a hash of their
+    other ends, so that no partition and no task grows with the largest degree;
+    hubs are a small table, and how it is joined is decided from its size.
+    """
+    base = cut(edges)
+    with ExitStack() as stack:
+        out = stack.enter_context(laid(base, "src"))
+        if both:
+            out.back = stack.enter_context(laid(base, "dst"))
+        yield out
     drop(base)
 
 
@@ -58,31 +74,31 @@ def edge_map(
     combine: Callable[[Column], Column],
     cond: DataFrame | None = None,
     inward: bool = False,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Messages along the edges that leave a frontier, combined where they arrive: (id, value).
+    """Messages along the edges that leave a frontier, combined where they arrive: (*keys, id, value).
 
     ``message`` is an expression over src, dst, weight and the frontier's other
     columns. ``frontier`` (id, ...) is joined with the edges' tail; None stands
     for all vertices, and then there is no join. ``combine`` is any aggregate;
-    Spark applies it before the exchange as well as after. Vertices in ``cond``
-    (id) take part as receivers only if they are not in it: an anti-join before
-    the aggregate. ``inward`` goes against the edges. Whether a small frontier
+    Spark applies its own before the exchange as well as after, a grouped pandas
+    UDF, for what Spark's functions can't say, after it. Vertices in ``cond``
+    (*keys, id) take part as receivers only if they are not in it: an anti-join
+    before the aggregate. ``inward`` goes against the edges. ``keys`` are columns
+    of the frontier that keep several searches apart. Whether a small frontier
     is broadcast or exchanged is decided at run time, from its size.
     """
     tail, head = ("dst", "src") if inward else ("src", "dst")
-    if frontier is None:
-        rows = edges.edges if isinstance(edges, Dealt) else edges
-    elif isinstance(edges, Dealt) and not inward:
-        sent, by = edges.sending(frontier)
+    own = edges.back or edges if inward and isinstance(edges, Dealt) else edges
+    rows = own.edges if isinstance(own, Dealt) else own
+    if frontier is not None:
+        sent, by = own.sending(frontier) if isinstance(own, Dealt) and own.by == tail else (frontier.withColumnRenamed("id", "_from"), [])
         on = F.col(tail) == F.col("_from")
-        rows = edges.edges.join(sent, on & (F.col("part") == F.col("_part")) if by else on)
-    else:
-        rows = edges.edges if isinstance(edges, Dealt) else edges
-        rows = rows.join(frontier.withColumnRenamed("id", "_from"), F.col(tail) == F.col("_from"))
-    rows = rows.select(F.col(head).alias("id"), message.alias("value"))
+        rows = rows.join(sent, on & (F.col("part") == F.col("_part")) if by else on)
+    rows = rows.select(*keys, F.col(head).alias("id"), message.alias("value"))
     if cond is not None:
-        rows = rows.join(cond.select("id"), "id", "left_anti")
-    return rows.groupBy("id").agg(combine(F.col("value")).alias("value"))
+        rows = rows.join(cond.select(*keys, "id"), [*keys, "id"], "left_anti")
+    return rows.groupBy(*keys, "id").agg(combine(F.col("value")).alias("value"))
 
 
 def vertex_map(vertices: DataFrame, update: dict[str, Column] | None = None, keep: Column | None = None) -> DataFrame:

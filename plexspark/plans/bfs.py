@@ -1,52 +1,35 @@
-"""Breadth-first search, a level a round.
-
-A round joins the last level with the edges and keeps the least sender of every
-vertex that has no level yet. On undirected graphs a neighbour of level r is on
-level r - 1, r or r + 1, so only two levels are looked up; on directed ones all.
-"""
+"""Breadth-first search from one source or several, a level a round."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, cut_counted, scratch
+from plexspark.operators.edge_map import Dealt, dealt
+from plexspark.operators.iterate import iterate
+
 
-#: Levels that are read apart before they are written as one table.
-LEVELS_APART = 8
+def search(g, sources: DataFrame, edges: Dealt | None = None) -> DataFrame:
+    """(source, id, depth, parent) of all vertices that each of ``sources`` (source) reaches; a parent is the least of those possible."""
+    if edges is None:
+        with dealt(g.edges.select("src", "dst")) as edges:
+            return search(g, sources, edges)
+    own = sources.select(F.col("source").cast("long")).where("source IS NOT NULL").distinct()
+    first = own.select("source", F.col("source").alias("id"), F.struct(F.lit(0).alias("depth"), F.col("source").alias("parent")).alias("value"))
+    step = F.struct((F.col("value.depth") + 1).alias("depth"), F.col("src").alias("parent"))
+    return iterate(edges, first, step, F.min, keys=["source"]).select("source", "id", "value.*")
 
 
-def search(g, source: int) -> DataFrame:
-    """(id, depth, parent) of all vertices that are reached; a parent is the least of those possible."""
+def one(g, source: int) -> DataFrame:
     g.require(source)
-    with scratch() as keep, dealt(g.edges.select("src", "dst")) as edges:
-        level = cut(g.spark.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).alias("depth"), F.lit(source).cast("long").alias("parent")))
-        levels, before, depth = [level], None, 0
-        while True:
-            seen = _union(levels) if g.directed or before is None else level.select("id").union(before.select("id"))
-            depth += 1
-            new = edge_map(edges, level.select("id"), F.col("src"), F.min, cond=seen)
-            new, found = cut_counted(new.select("id", F.lit(depth).alias("depth"), F.col("value").alias("parent")))
-            if not found:
-                return _union([keep(t) for t in levels])
-            before, level = level, new
-            levels.append(new)
-            if len(levels) > LEVELS_APART:
-                levels = [cut(_union(levels))]
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.union, tables)
+    return search(g, g.spark.range(1).select(F.lit(source).cast("long").alias("source"))).drop("source")
 
 
 def depths(g, source: int) -> DataFrame:
     """(id, depth): -1 where the source does not lead."""
-    return g.vertices.join(search(g, source), "id", "left").select("id", F.coalesce("depth", F.lit(-1)).alias("depth"))
+    return g.vertices.join(one(g, source), "id", "left").select("id", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
 def parents(g, source: int) -> DataFrame:
     """(id, parent): the source is its own; -1 where it does not lead."""
-    return g.vertices.join(search(g, source), "id", "left").select("id", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"))
+    return g.vertices.join(one(g, source), "id", "left").select("id", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, cut_counted, scratch
+from plexspark.operators.iterate import iterate
+from plexspark.plans.lineage import cut, scratch
 
 
 def _settled(links: DataFrame) -> bool:
@@ -61,12 +61,7 @@ def labels(g, weak: bool = False) -> DataFrame:
 
 
 def _downstream(g) -> DataFrame:
-    """Rounds in which only vertices whose label fell send it on; the labels are written down each round."""
-    with scratch() as keep, dealt(g.edges.select("src", "dst")) as edges:
-        label, fell = cut_counted(g.vertices.select("id", F.col("id").alias("component")))
-        changed = label
-        while fell:
-            sent = edge_map(edges, changed, F.col("component"), F.min)
-            changed, fell = cut_counted(label.join(sent, "id").where(F.col("value") < F.col("component")).select("id", F.col("value").alias("component")))
-            label = cut(label.union(changed).groupBy("id").agg(F.min("component").alias("component")))
-        return keep(label)
+    """Least ids along the edges; a label leads to its vertex, so labels of labels count too (pointer jumping)."""
+    own = g.vertices.select("id", F.col("id").alias("value"))
+    found = iterate(g.edges.select("src", "dst"), own, F.col("value"), F.min, update=lambda old, new: F.when(new < old, new), jump=True)
+    return found.withColumnRenamed("value", "component")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import dealt, edge_map
-from plexspark.plans.lineage import cut, cut_counted, scratch
+from plexspark.operators.edge_map import dealt
+from plexspark.operators.iterate import State, iterate
+from plexspark.plans.lineage import cut
 
 #: Distance of what is not reached; its negative stands everywhere if a negative cycle is.
 UNREACHED = 1073741823
@@ -25,27 +26,23 @@ def _relaxed(g, source: int) -> DataFrame | None:
     """(id, dist, parent) of all vertices that are reached, or None if a negative cycle is."""
     weighted = g.edges if g.weighted else g.edges.withColumn("weight", F.lit(1))
     at = F.lit(source).cast("long")
-    with scratch() as keep, dealt(weighted) as edges:
-        state = cut(g.spark.range(1).select(at.alias("id"), F.lit(0).cast("long").alias("dist"), at.alias("parent")))
-        shorter, fell, reached, rounds = state, 1, 1, 0
+    with dealt(weighted) as edges:
         below = edges.edges.where("weight < 0")
-        signed = not below.isEmpty()
-        while fell:
-            rounds += 1
-            if signed:
-                cycle = not g.directed and not below.join(shorter.select(F.col("id").alias("src")), "src", "left_semi").isEmpty()
-                cycle = cycle or (rounds >= 4 and rounds & (rounds - 1) == 0 and _circular(state, reached, source)) or rounds > reached
-                if cycle:
-                    return None
-            sent = edge_map(edges, shorter.select("id", "dist"), F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent")), F.min)
-            known = state.select("id", F.col("dist").alias("old"))
-            shorter = sent.join(known, "id", "left").where(F.col("old").isNull() | (F.col("value.dist") < F.col("old")))
-            shorter, fell = cut_counted(shorter.select("id", "value.dist", "value.parent"))
-            if not fell:
-                break
-            least = F.min(F.struct("dist", "parent")).alias("s")
-            state, reached = cut_counted(state.union(shorter).groupBy("id").agg(least).select("id", "s.dist", "s.parent"))
-        return keep(state)
+
+        def cycle(n: int, sent: DataFrame, state: State) -> bool:
+            if not g.directed and not below.join(sent.select(F.col("id").alias("src")), "src", "left_semi").isEmpty():
+                return True
+            if n < 4 or n & (n - 1):
+                return False
+            reached = state.whole()
+            size = reached.count()
+            return n > size or _circular(reached.select("id", "value.*"), size, source)
+
+        first = g.spark.range(1).select(at.alias("id"), F.struct(F.lit(0).cast("long").alias("dist"), at.alias("parent")).alias("value"))
+        step = F.struct((F.col("value.dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"))
+        shorter = lambda old, new: F.when(old.isNull() | (new["dist"] < old["dist"]), new)
+        out = iterate(edges, first, step, F.min, update=shorter, check=None if below.isEmpty() else cycle)
+        return None if out is None else out.select("id", "value.*")
 
 
 def distances(g, source: int) -> DataFrame:
@@ -54,7 +51,7 @@ def distances(g, source: int) -> DataFrame:
     A round relaxes the edges of the vertices that became shorter in the last.
     A negative cycle shows as a circle among parents, which is looked for after
     4, 8, 16, ... rounds if there are weights below 0, and at the latest in that
-    paths become shorter after as many rounds as vertices are reached; every
+    paths become shorter after more rounds than vertices are reached; every
     distance then is -UNREACHED. An undirected graph that reaches an edge below
     0 has such a cycle in that edge itself.
     """

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def count(g) -> DataFrame:
-    """One row (triangles); the graph is taken as undirected and without loops."""
+def _met(g) -> tuple[DataFrame, DataFrame]:
+    """(u, v, common) for each turned edge with the vertices that both ends lead to; and (id, d): degrees."""
     edges = g.edges.select("src", "dst").where("src <> dst")
     if g.directed:
         edges = edges.union(edges.select("dst", "src")).distinct()
@@ -22,8 +22,30 @@ def count(g) -> DataFrame:
     forward = F.col("a") <= F.col("b")
     turned = once.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v"))
     out = turned.groupBy("u").agg(F.collect_list("v").alias("to"))
-    both = out.select(F.explode("to").alias("v"), "to").join(out.select(F.col("u").alias("v"), F.col("to").alias("then")), "v")
-    return both.agg(F.coalesce(F.sum(F.size(F.array_intersect("to", "then")).cast("long")), F.lit(0)).alias("triangles"))
+    both = out.select("u", F.explode("to").alias("v"), "to").join(out.select(F.col("u").alias("v"), F.col("to").alias("then")), "v")
+    return both.select("u", "v", F.array_intersect("to", "then").alias("common")), degree
+
+
+def count(g) -> DataFrame:
+    """One row (triangles); the graph is taken as undirected and without loops."""
+    return _met(g)[0].agg(F.coalesce(F.sum(F.size("common").cast("long")), F.lit(0)).alias("triangles"))
+
+
+def per_vertex(g) -> DataFrame:
+    """(id, triangles, clustering): the triangles each vertex is a corner of, and their share of its pairs of neighbours (0 with fewer than two).
+
+    Each triangle is found once and credits its three corners, which are summed
+    before they are exchanged; the graph is taken as undirected and without loops.
+    """
+    met, degree = _met(g)
+    size = F.size("common").cast("long")
+    corner = lambda who, n: F.struct(who.alias("id"), n.alias("n"))
+    ends = F.array(corner(F.col("u"), size), corner(F.col("v"), size))
+    credits = met.where(F.size("common") > 0).select(F.explode(F.concat(ends, F.transform("common", lambda x: corner(x, F.lit(1).cast("long"))))).alias("c"))
+    found = credits.groupBy("c.id").agg(F.sum("c.n").alias("triangles"))
+    out = g.vertices.join(degree, "id", "left").join(found, "id", "left")
+    triangles, d = F.coalesce("triangles", F.lit(0)), F.col("d")
+    return out.select("id", triangles.alias("triangles"), F.when(d > 1, 2 * triangles / (d * (d - 1))).otherwise(0.0).alias("clustering"))
 
 
 def common_neighbors(g, pairs: DataFrame) -> DataFrame:
