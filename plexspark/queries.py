@@ -5,6 +5,7 @@ from __future__ import annotations
 from contextlib import redirect_stdout
 from io import StringIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from plexspark.functions import edges as rules
 from plexspark.graph import Graph
 from plexspark.operators import edge_map as ops
 from plexspark.operators import frontier
-from plexspark.plans.lineage import place
+from plexspark.plans.lineage import cut, place
 from plexspark.sources import adj, generators
 from plexspark.streaming import ingest
 
@@ -344,22 +345,49 @@ def adj_given_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(x.customers(spark, sf_dir), weighted=True, symmetric=False).edges
 
 
-BAD = {"header": "Graph 1 1 0 0", "vertices": "AdjacencyGraph 0 1 0", "edges": "AdjacencyGraph 1 0 0", "short": "AdjacencyGraph 2 2 0 1 1", "long": "AdjacencyGraph 2 2 0 1 1 0 7", "weights": "WeightedAdjacencyGraph 2 2 0 1 1 0", "number": "AdjacencyGraph 2 2 0 1 x 0", "end": "AdjacencyGraph 2 2 0 1 2 0", "offsets": "AdjacencyGraph 2 2 1 0 1 0", "empty": " "}
+# A sound file's words (place, word) with one fault each: what becomes of a word, which words stay, and how many more there are.
+FAULTS = {
+    "sound": ("word", "TRUE", 0),
+    "header": ("if(place = 0, 'Graph', word)", "TRUE", 0),
+    "vertices": ("if(place = 1, '0', word)", "TRUE", 0),
+    "edges": ("if(place = 2, '0', word)", "TRUE", 0),
+    "short": ("word", "place < 2 + n + m", -1),
+    "long": ("if(place = 2 + n + m, word || ' 7', word)", "TRUE", 1),
+    "weights": (f"if(place = 0, '{adj.WEIGHTED}', word)", "TRUE", 0),
+    "number": ("if(place = 3 + n, 'x', word)", "TRUE", 0),
+    "end": ("if(place = 3 + n, cast(n AS string), word)", "TRUE", 0),
+    "offsets": ("if(place = 3, cast(m AS string), word)", "TRUE", 0),
+}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', TRUE)" for c in BAD) + ", ('missing', TRUE)) v(kind, rejected)")
+@query(f"WITH {STEP}, size AS (SELECT 3 + (SELECT count(*) FROM customer) + (SELECT count(*) FROM dir) AS w) SELECT kind, w + more AS words, kind <> 'sound' AS rejected FROM size, (VALUES " + ", ".join(f"('{c}', {more})" for c, (_, _, more) in FAULTS.items()) + ") v(kind, more)")
 def adj_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def rejected(kind: str) -> bool:
-        path = place(spark)
-        if kind in BAD:
-            spark.createDataFrame([(BAD[kind],)], "value string").coalesce(1).write.text(path)
+    """A graph's file, and what it is with one fault."""
+    path, out = place(spark), []
+    g = x.customers(spark, sf_dir).settled()
+    adj.write_adj(g, path)
+    sound = cut(adj.words(spark, path).withColumns({"n": F.lit(g.num_nodes()), "m": F.lit(g.num_edges())}))
+    for kind, (word, stays, _) in FAULTS.items():
+        path, rejected = place(spark), False
+        sound.where(stays).select("place", F.expr(word).alias("word")).repartitionByRange("place").sortWithinPartitions("place").select("word").write.text(path)
         try:
-            adj.read_adj(spark, path)
-        except (ValueError, FileNotFoundError):
-            return True
-        return False
+            adj.read_adj(spark, path, symmetric=False)
+        except ValueError:
+            rejected = True
+        out.append((kind, adj.words(spark, path).count(), rejected))
+    return spark.createDataFrame(out, "kind string, words long, rejected boolean")
 
-    return spark.createDataFrame([(c, rejected(c)) for c in [*BAD, "missing"]], "kind string, rejected boolean")
+
+@query(f"WITH {STEP} SELECT src, dst FROM dir")
+def adj_mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with offsets a line each and all ends on one line, read in ranges of a few bytes."""
+    whole, mixed = place(spark), place(spark)
+    g = x.customers(spark, sf_dir).settled()
+    adj.write_adj(g, whole)
+    first = 3 + g.num_nodes()
+    words = adj.words(spark, whole).select("place", F.concat("word", F.when(F.col("place") < first, "\n").otherwise(" ")).alias("word"))
+    words.repartitionByRange("place").sortWithinPartitions("place").select("word").write.option("lineSep", "\t").text(mixed)
+    return adj.graph_of(spark, mixed, adj.words(spark, mixed, size=1 << 12), symmetric=False).edges
 
 
 @query("SELECT c_custkey AS id, c_nationkey AS label FROM customer")
@@ -466,6 +494,112 @@ def gee_weighted_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(x.customers(spark, sf_dir, weighted=True).gee_weighted(x.customer_labels(spark, sf_dir), 25))
 
 
+# Several sources in the same rounds, cores, corners of triangles, and a combine in Python.
+
+
+def _few(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return x.table(spark, sf_dir, name).where(F.col(key).between(1, 5)).select(F.col(key).alias("source"))
+
+
+@query(f"""WITH RECURSIVE {PAIR}, walk(s, v, d) USING KEY (s, v) AS (
+  SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey BETWEEN 1 AND 5 UNION
+  SELECT w.s, e.dst, min(w.d + 1) FROM walk w JOIN pair e ON e.src = w.v LEFT JOIN recurring.walk r ON r.s = w.s AND r.v = e.dst WHERE r.v IS NULL GROUP BY w.s, e.dst)
+SELECT s AS source, v AS id, d AS depth FROM walk""")
+def bfs_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.parts(spark, sf_dir).bfs_sources(_few(spark, sf_dir, "part", "p_partkey")).select("source", "id", "depth")
+
+
+@query(f"""WITH RECURSIVE {STEP}, walk(o, v, d, s) USING KEY (o, v) AS (
+  SELECT c_custkey, c_custkey, 0, CAST(1 AS DOUBLE) FROM customer WHERE c_custkey BETWEEN 1 AND 5 UNION
+  SELECT w.o, e.dst, min(w.d + 1), sum(w.s) FROM walk w JOIN dir e ON e.src = w.v LEFT JOIN recurring.walk r ON r.o = w.o AND r.v = e.dst WHERE r.v IS NULL GROUP BY w.o, e.dst),
+deepest AS (SELECT o, max(d) AS d FROM walk GROUP BY o),
+back(o, v, d, s, delta) AS (
+  SELECT w.o, v, w.d, s, CAST(0 AS DOUBLE) FROM walk w JOIN deepest t ON t.o = w.o AND t.d = w.d
+  UNION ALL
+  SELECT w.o, w.v, any_value(w.d), any_value(w.s), coalesce(sum(CASE WHEN b.v IS NULL THEN 0 ELSE w.s / b.s * (1 + b.delta) END), 0)
+  FROM (SELECT DISTINCT o, d FROM back) t JOIN walk w ON w.o = t.o AND w.d = t.d - 1 LEFT JOIN (dir e JOIN back b ON b.v = e.dst) ON e.src = w.v AND b.o = w.o GROUP BY w.o, w.v)
+SELECT o AS source, v AS id, round(delta, 6) AS dependency FROM back""")
+def bc_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = x.customers(spark, sf_dir).betweenness_sources(_few(spark, sf_dir, "customer", "c_custkey"), transpose_backward=True)
+    return found.select("source", "id", F.round("dependency", 6).alias("dependency"))
+
+
+CORE = 20
+
+
+@query(f"""WITH RECURSIVE {STEP}, link AS (SELECT src, dst FROM dir UNION SELECT dst, src FROM dir), deg AS (SELECT src AS v, count(*) AS d FROM link GROUP BY 1),
+gone(v, n) USING KEY (v) AS (
+  SELECT v, 1 FROM deg WHERE d < {CORE} UNION
+  SELECT n.v, 1 FROM (SELECT DISTINCT l.dst AS v FROM gone g JOIN link l ON l.src = g.v) n JOIN deg ON deg.v = n.v JOIN link l ON l.src = n.v
+  JOIN recurring.gone q ON q.v = l.dst LEFT JOIN recurring.gone r ON r.v = n.v WHERE r.v IS NULL GROUP BY n.v, deg.d HAVING deg.d - count(*) < {CORE})
+SELECT src AS id, count(*) AS degree FROM link WHERE src NOT IN (SELECT v FROM gone) AND dst NOT IN (SELECT v FROM gone) GROUP BY 1""")
+def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.customers(spark, sf_dir).k_core(CORE)
+
+
+@query(f"""WITH {PAIR}, deg AS (SELECT src AS id, count(*) AS d FROM pair GROUP BY 1),
+corner AS (SELECT a.src AS id, count(*) // 2 AS n FROM pair a JOIN pair b ON b.src = a.dst JOIN pair c ON c.src = a.src AND c.dst = b.dst GROUP BY 1)
+SELECT i.id, coalesce(n, 0) AS triangles, round(CASE WHEN d > 1 THEN CAST(2 * coalesce(n, 0) AS DOUBLE) / (d * (d - 1)) ELSE 0 END, 9) AS clustering
+FROM ({PARTS}) i LEFT JOIN deg USING (id) LEFT JOIN corner USING (id)""")
+def triangles_per_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x.parts(spark, sf_dir).settled().triangles_per_vertex().select("id", "triangles", F.round("clustering", 9).alias("clustering"))
+
+
+@query(f"WITH {STEP} SELECT dst AS id, list_reduce(list_prepend(0, list_sort(list(src))), lambda a, x: (31 * a + x) % 1000003) AS value FROM dir GROUP BY 1")
+def edge_map_python_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("long")
+    def folded(senders: pd.Series) -> int:
+        out = 0
+        for s in sorted(senders):
+            out = (31 * out + s) % 1000003
+        return out
+
+    return ops.edge_map(x.customers(spark, sf_dir).edges, None, F.col("src"), folded)
+
+
+# All files that the command line writes.
+
+SYM = STEP + ", sym AS (SELECT src, dst, min(weight) AS weight FROM (SELECT src, dst, weight FROM dir UNION ALL SELECT dst, src, weight FROM dir) GROUP BY 1, 2)"
+
+
+def _file(name: str, line: str, sql: str) -> str:
+    return f"SELECT '{name}' AS file, id, {line} AS line FROM ({sql})"
+
+
+def _wide(rows: str) -> str:
+    cells = _gee_sql(rows, SYM, NATION, CUSTOMERS, 25).replace("round(coalesce(c.value, 0), 9)", "coalesce(c.value, 0)")
+    return f"SELECT id, string_agg(printf('%.6f', value), ' ' ORDER BY cluster) AS line FROM ({cells}) GROUP BY id"
+
+
+_BC = SQL["bc"].replace("round(b.delta, 6)", "b.delta").replace(PAIR, SYM).replace("JOIN pair e", "JOIN sym e").replace("(pair e", "(sym e").replace(PARTS, CUSTOMERS)
+_BF = SQL["bellman_ford"].replace(PAIR, SYM).replace("JOIN pair e", "JOIN sym e").replace(PARTS, CUSTOMERS)
+FILES = {
+    "bfs": ("bfs.out", False, "CAST(depth AS VARCHAR)", _depth_sql(SYM, "sym", CUSTOMERS)),
+    "bc": ("bc.out", False, "CASE WHEN reached THEN format('{:g}', dependency) ELSE 'nan' END", _BC),
+    "pr": ("pr.out", False, "format('{:g}', rank)", _rank_sql(SYM, "sym", "dst", CUSTOMERS).replace("round(coalesce(p, 0), 9)", "coalesce(p, 0)")),
+    "cc": ("cc.out", False, "CAST(component AS VARCHAR)", _label_sql(SYM, "sym", CUSTOMERS)),
+    "gee": ("gee.out", False, "line", _wide("SELECT dst AS id, src AS other, CAST(2 AS DOUBLE) AS w FROM sym")),
+    "bf": ("bf.out", True, "CAST(dist AS VARCHAR)", _BF),
+    "gee weighted": ("gee_weighted.out", True, "line", _wide("SELECT dst AS id, src AS other, CAST(2 * weight AS DOUBLE) AS w FROM sym")),
+}
+
+
+@query(" UNION ALL ".join(_file(name, line, sql) for name, _, line, sql in FILES.values()))
+def command_line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every analytic from one adjacency file, each run writing the file of its name."""
+    path, labels, out = place(spark), place(spark), place(spark)
+    adj.write_adj(x.customers(spark, sf_dir, weighted=True).settled(), path)
+    adj.write_values(x.customer_labels(spark, sf_dir), labels)
+    found = None
+    for algorithm, (name, weighted, *_) in FILES.items():
+        with redirect_stdout(StringIO()):
+            how = ["-w"] if weighted else []
+            cli.main(["-g", path, "--algorithm", algorithm.split()[0], "--src", "0", "--iters", "1", "--nClusters", "25", "--y_location", labels, "--output", out, *how], spark)
+        lines = adj.lines(spark, f"{out}/{name}").withColumn("file", F.lit(name))
+        found = lines if found is None else found.union(lines)
+    return found
+
+
 # Edges that arrive as a stream, in batches of a file.
 
 

@@ -1,9 +1,12 @@
 """Adjacency files: ``AdjacencyGraph`` or ``WeightedAdjacencyGraph``, n, m, n offsets, m ends, m weights.
 
 Words are told apart by blanks, wherever lines break, so the place of a word in
-the whole file gives its meaning. Places are counted per block of the file and
-summed over blocks; no file passes through one task, whether its words stand on
-lines of their own or all on one, as rows end where the file has most blanks.
+the whole file gives its meaning. Files are read in ranges of bytes
+(``sources.words``), words counted per range and counts summed over ranges; no
+file passes through one task, however its words are laid out on lines. From
+stores that only Spark's readers open, they come by rows of text, which end at
+line feeds or spaces, whichever the first bytes of the first file have: there a
+file whose lines are short at first and very long later makes long rows.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from plexspark.functions import edges as rules
 from plexspark.functions.order import numbered
 from plexspark.graph import Graph
 from plexspark.plans.lineage import cut
+from plexspark.sources import words as ranges
 
 PLAIN, WEIGHTED = "AdjacencyGraph", "WeightedAdjacencyGraph"
 
@@ -43,8 +47,20 @@ def separator(spark: SparkSession, path: str) -> str:
     return "\n" if max(map(len, head.split(b"\n"))) < LINE else " "
 
 
-def words(spark: SparkSession, path: str) -> DataFrame:
-    """(place, word) of a text file or a folder of part files, places counted from 0."""
+def words(spark: SparkSession, path: str, size: int = ranges.RANGE) -> DataFrame:
+    """(place, word) of a text file or a folder of part files, places counted from 0; ``size``: bytes of a range."""
+    if not ranges.readable(path):
+        return _rows(spark, path)
+    ranges.files(path)  # fails here if there is none
+    ranges.register(spark)
+    found = cut(spark.read.format("blank_words").option("path", path).option("range", str(size)).load())
+    sizes = found.groupBy("block").agg(F.count("*").alias("size"))
+    before = sizes.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a range
+    return found.join(before, "block").select((F.col("before") + F.col("i")).alias("place"), "word")
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """(place, word) by rows of text."""
     lines = spark.read.text(path, lineSep=separator(spark, path)).select(F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.split("value", r"[ \t\r\n\x00]+").alias("w"))
     lines = cut(lines.select("block", "line", F.filter("w", lambda x: x != "").alias("w")).where(F.size("w") > 0))
     sizes = lines.groupBy("block").agg(F.sum(F.size("w")).alias("size"))
@@ -60,7 +76,12 @@ def read_adj(spark: SparkSession, path: str, weighted: bool | None = None, symme
     ``weighted`` None takes what the file has; True gives weight 1 where it has
     none, False drops weights. ``symmetric`` adds the reverse of every edge.
     """
-    tokens = cut(words(spark, path))
+    return graph_of(spark, path, words(spark, path), weighted, symmetric, drop_self_loops)
+
+
+def graph_of(spark: SparkSession, path: str, found: DataFrame, weighted: bool | None = None, symmetric: bool = True, drop_self_loops: bool | None = None) -> Graph:
+    """The graph of the words (place, word) of an adjacency file; ``path`` is named in errors."""
+    tokens = cut(found)
     head = {r.place: r.word for r in tokens.where("place < 3").collect()}
     if head.get(0) not in (PLAIN, WEIGHTED):
         raise ValueError(f"{path}: the first word must be {PLAIN} or {WEIGHTED}")

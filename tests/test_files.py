@@ -1,5 +1,6 @@
 """Adjacency files, labels, value files, generators, the command line and streams."""
 
+import random
 import os
 
 import pytest
@@ -162,3 +163,31 @@ def test_tables_go_with_their_scope(spark):
     where = lineage._path[counted].removeprefix("file:")
     lineage.drop(counted, spark.range(1))
     assert not os.path.isdir(where)
+
+
+def test_words_of_any_layout_in_any_ranges(spark, tmp_path):
+    from plexspark.sources import words as ranges
+
+    rng = random.Random(4)
+    for trial in range(40):
+        data = "".join(rng.choice(["a", "bb", "cdé", "x" * 40, " ", "\n", "\t", "\r\n", "\x00", " "]) for _ in range(rng.randint(0, 60))).encode()
+        path = tmp_path / f"w{trial}"
+        path.write_bytes(data)
+        want = data.translate(bytes.maketrans(b"\t\r\n\x00", b"    ")).split()
+        for size in (1, 2, 3, 7, 64, 1 << 20):
+            got = [w for r in ranges.WordReader(str(path), size).partitions() for found in ranges.ranged(str(path), r.path, r.start, r.end) for w in found]
+            assert got == want, (data, size)
+
+
+def test_a_file_is_split_wherever_lines_break(spark, tmp_path):
+    n = 3000
+    offsets, ends = "\n".join(str(i) for i in range(n)), " ".join(str((i + 1) % n) for i in range(n))
+    layouts = {"mixed": f"AdjacencyGraph\n{n}\n{n}\n{offsets}\n{ends}\n", "tabs": f"AdjacencyGraph\n{n}\n{n}\n{offsets}\n{ends}".replace("\n", "\t").replace(" ", "\t")}
+    for name, text in layouts.items():
+        (tmp_path / name).write_text(text)
+        found = adj.words(spark, str(tmp_path / name), size=1024)
+        assert found.count() == 3 + 2 * n
+        g = adj.graph_of(spark, name, found, symmetric=False)
+        assert sorted(map(tuple, g.edges.collect())) == [(i, (i + 1) % n) for i in range(n)]
+        read = spark.read.format("blank_words").option("path", str(tmp_path / name)).option("range", "1024").load()
+        assert read.rdd.getNumPartitions() > 10 and read.groupBy("block").count().agg({"count": "max"}).first()[0] < 600
