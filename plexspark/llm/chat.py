@@ -40,7 +40,7 @@ def format_preferences(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     first; repeated rows are turns of their own. Two turns are equal if role and
     text are, null being equal to null; null renders as empty. A pair that lacks
     a side has an empty completion there and no prompt; a null pair_id or
-    another side belongs to no pair. Other columns are dropped.
+    another side belongs to no pair; no turns give no rows. Other columns are dropped.
     """
     entry = F.struct("turn", "role", "text")
     side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, entry)))

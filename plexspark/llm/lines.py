@@ -66,7 +66,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     A null text stays null with no lines; an empty text has one line, which is
     kept. A null doc_id comes before all others. Rows that repeat both doc_id
-    and text count as one document and get equal results. Other columns stay;
+    and text count as one document and get equal results; an empty table stays
+    empty; ids are cast to long. Other columns stay;
     ``n_lines``, ``n_removed`` and columns that begin with ``_`` are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed") and not c.startswith("_")]

@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id is the smallest doc_id that links reach; kept: it is the row's
     own. A null, empty or blank text has no shingles and no links. A null doc_id
     is never a component's smallest unless all of it are null, and such a row is
-    kept then only. Rows that repeat a doc_id are rows of their own. Other columns are dropped.
+    kept then only. Rows that repeat a doc_id are rows of their own; ids are cast to
+    long; an empty table gives an empty one. Other columns are dropped.
     """
     rows, label = _labelled(docs, doc_id, text, size, percent, lower)
     out = rows.where("n > 0").join(label, "sha").select("id", "n", F.col("root.id").alias("least")).union(rows.where("n = 0").select("id", "n", "id"))

@@ -287,7 +287,7 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Each row is encoded alone, without a shuffle. The merges that it drops
     depend on the seed, its doc_id (null counts as one) and the candidate's
     place, so rows that repeat doc_id and text get equal ids. A null text has null
-    ids, an empty one none. A column ``pieces`` of the input is replaced. Each
+    ids, an empty one none, an empty table stays empty. A column ``pieces`` of the input is replaced. Each
     executor reads the model from ``model``.
     """
     docs = docs.drop("pieces")

@@ -155,7 +155,7 @@ def find_pii(docs: DataFrame, text: str = "text", least_score: float = 0.0) -> D
 
     Each row is searched alone and whole, without a shuffle. A null text has no
     spans and a null redaction; an empty one no spans and an empty redaction;
-    repeated rows get equal results. A column ``pii`` of the input is replaced.
+    repeated rows get equal results; an empty table stays empty. A column ``pii`` of the input is replaced.
     """
     docs = docs.drop("pii")
     names = docs.columns

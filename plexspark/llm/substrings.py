@@ -312,7 +312,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept_sha256 is of the other words, joined by one space. A null or empty text
     has no words and loses none; texts shorter than a window lose none. A null
     doc_id is an id like any other; a row that repeats another one's words loses
-    all of them (from a window's length on). Other columns are dropped.
+    all of them (from a window's length on). An empty table gives an empty one; ids
+    are cast to long. Other columns are dropped.
     """
     if window < GRAM:
         raise ValueError(f"a window needs {GRAM} words at least")
