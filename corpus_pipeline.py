@@ -17,12 +17,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counts or the compression bands reject go."""
+    """Documents that the counts or the compression bands reject go, null and empty texts among them.
+
+    Rows are judged one by one: repeated ones go or stay together, null ids don't matter.
+    """
     return quality.quality(docs).where("quality.kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are cut out of texts; a text of which nothing is left goes."""
+    """Repeated chunks of lines are cut out of texts; a text of which nothing is left goes, and so does a null one.
+
+    An empty text of the input stays; rows that repeat doc_id and text count as one document and keep the same.
+    """
     out = lines.dedup_lines(docs)
     left = (F.col("n_removed") == 0) | (F.btrim("text", F.lit(lines.BLANK)) != "")
     return out.where(F.col("text").isNotNull() & left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -31,19 +37,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays: that of the smallest doc_id.
 
-    Rows that repeat that doc_id are copies too: the text that comes first stays, once.
+    Rows that repeat that doc_id are copies too: the text that comes first stays, once. Null ids come
+    last; texts without words, null ones too, are in no group and stay.
     """
     kept = minhash.first_of_groups(docs, size=5, percent=80)
     return kept.select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark, up to a fifth of its words, go."""
+    """Documents that hold an item of the benchmark, up to a fifth of its words, go.
+
+    Rows are judged by their own text, whatever their ids; null and empty texts hold nothing and stay.
+    """
     return decontam.remove_leaks(docs, table(spark, sf_dir, "benchmark"), edits=0.2).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, with merge-dropout; they decode to the text."""
+    """Piece ids of each text, with merge-dropout; they decode to the text.
+
+    A null text has null ids and an empty one none; rows that repeat doc_id and text get equal ids. In
+    every stage an empty table stays empty.
+    """
     out = pieces.encode_documents(docs, rate=0.1, seed=1)
     return out.select("doc_id", "lang", "source", F.size("pieces.ids").cast("long").alias("n_pieces"), F.col("pieces.ids").alias("ids"), F.col("pieces.round_trip").alias("round_trip"))
 
