@@ -67,6 +67,18 @@ class Graph:
 
         return Graph(self.vertices, cut(self.edges), self.directed)
 
+    def dealt(self, *columns: str, both: bool = False):
+        """A context with the edges ready for loops (``operators.edge_map.dealt``)."""
+        from plexspark.operators.edge_map import dealt
+
+        return dealt(self.edges.select(*columns), both)
+
+    def stored(self, name: str, buckets: int | None = None, path: str | None = None) -> Graph:
+        """The same graph from bucketed tables of the catalog (``sources.stored``): its loops start without moving edges."""
+        from plexspark.sources import stored
+
+        return stored.save(self, name, buckets, path)
+
     def symmetrized(self) -> Graph:
         return Graph(self.vertices, rules.symmetrize(self.edges), False)
 

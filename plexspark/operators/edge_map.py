@@ -33,17 +33,25 @@ class Dealt:
         return parts.withColumn("_part", copies).drop("parts").withColumnRenamed("id", "_from"), ["_part"]
 
 
+def hubs_of(edges: DataFrame, by: str) -> tuple[DataFrame, int]:
+    """(``by``, parts) of the hubs at that end, a table, and how many there are."""
+    return cut_counted(edges.groupBy(by).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
+
+
+def parted(edges: DataFrame, hubs: DataFrame, by: str) -> DataFrame:
+    """Edges with the part of their hub that they are dealt to, 0 without one."""
+    other = "dst" if by == "src" else "src"
+    part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
+    return edges.join(hubs, by, "left").withColumn("part", part).drop("parts")
+
+
 @contextmanager
 def laid(edges: DataFrame, by: str) -> Iterator[Dealt]:
     """Edges of a table partitioned and sorted by one end, and held while they are used."""
-    other = "dst" if by == "src" else "src"
-    hubs, found = cut_counted(edges.groupBy(by).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
-    if found:
-        part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
-        spread = edges.join(hubs, by, "left").withColumn("part", part).drop("parts").repartition(by, "part").sortWithinPartitions(by, "part")
-    else:
-        spread = edges.repartition(by).sortWithinPartitions(by)
-    with held(spread) as kept:
+    hubs, found = hubs_of(edges, by)
+    key = [by, "part"] if found else [by]
+    spread = parted(edges, hubs, by) if found else edges
+    with held(spread.repartition(*key).sortWithinPartitions(*key)) as kept:
         yield Dealt(kept, hubs if found else None, by)
     drop(hubs)
 

@@ -13,7 +13,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import dealt, edge_map
+from plexspark.operators.edge_map import edge_map
 from plexspark.plans.lineage import cut, cut_counted, scratch
 
 BY = ["source", "id"]
@@ -24,7 +24,7 @@ def of_sources(g, sources: DataFrame, transpose_backward: bool = False) -> DataF
     if g.directed and not transpose_backward:
         raise NotImplementedError("on directed graphs the dependency needs transpose_backward=True")
     own = sources.select(F.col("source").cast("long")).where("source IS NOT NULL").distinct()
-    with scratch() as keep, dealt(g.edges.select("src", "dst"), both=g.directed) as edges:
+    with scratch() as keep, g.dealt("src", "dst", both=g.directed) as edges:
         levels = [cut(own.select("source", F.col("source").alias("id"), F.lit(1.0).alias("paths")))]
         seen = levels[0].select(BY)
         while True:

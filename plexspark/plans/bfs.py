@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import Dealt, dealt
+from plexspark.operators.edge_map import Dealt
 from plexspark.operators.iterate import iterate
 
 
 def search(g, sources: DataFrame, edges: Dealt | None = None) -> DataFrame:
     """(source, id, depth, parent) of all vertices that each of ``sources`` (source) reaches; a parent is the least of those possible."""
     if edges is None:
-        with dealt(g.edges.select("src", "dst")) as edges:
+        with g.dealt("src", "dst") as edges:
             return search(g, sources, edges)
     own = sources.select(F.col("source").cast("long")).where("source IS NOT NULL").distinct()
     first = own.select("source", F.col("source").alias("id"), F.struct(F.lit(0).alias("depth"), F.col("source").alias("parent")).alias("value"))

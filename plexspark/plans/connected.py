@@ -63,5 +63,6 @@ def labels(g, weak: bool = False) -> DataFrame:
 def _downstream(g) -> DataFrame:
     """Least ids along the edges; a label leads to its vertex, so labels of labels count too (pointer jumping)."""
     own = g.vertices.select("id", F.col("id").alias("value"))
-    found = iterate(g.edges.select("src", "dst"), own, F.col("value"), F.min, update=lambda old, new: F.when(new < old, new), jump=True)
+    with g.dealt("src", "dst") as edges:
+        found = iterate(edges, own, F.col("value"), F.min, update=lambda old, new: F.when(new < old, new), jump=True)
     return found.withColumnRenamed("value", "component")

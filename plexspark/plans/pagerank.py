@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import dealt, edge_map
+from plexspark.operators.edge_map import edge_map
 from plexspark.plans.lineage import cut, held, scratch
 
 #: Rounds between tables; a plan holds so many joins at most.
@@ -20,18 +20,19 @@ def ranks(g, rounds: int = 10, divisor: str | None = None) -> DataFrame:
     default of directed ones). A vertex whose divisor is 0 hands nothing on, and
     one that nothing reaches has 0 after the first round.
 
-    The edges carry their reciprocal divisor and stay partitioned by src, so
-    that a round exchanges one row per vertex twice and no edge.
+    Vertices carry their reciprocal divisor, and edges stay partitioned and
+    sorted by src, so that a round exchanges one row per vertex twice and no edge.
     """
     divisor = divisor or ("out" if g.directed else "in")
     n = g.num_nodes()
     side = {"in": "dst", "out": "src"}[divisor]
-    degree = g.edges.groupBy(F.col(side).alias("src")).agg((1.0 / F.count("*")).alias("share"))
-    with scratch() as keep, dealt(g.edges.select("src", "dst").join(degree, "src")) as edges, held(g.vertices.select("id").repartition("id")) as vertices:
+    degree = g.edges.groupBy(F.col(side).alias("id")).agg((1.0 / F.count("*")).alias("share"))
+    own = g.vertices.select("id").join(degree, "id", "left").repartition("id").sortWithinPartitions("id")
+    with scratch() as keep, g.dealt("src", "dst") as edges, held(own) as vertices:
         rank = vertices.withColumn("rank", F.lit(1.0 / n if n else 0.0))
         for i in range(rounds):
-            sent = edge_map(edges, rank, F.col("rank") * F.col("share"), F.sum)
-            rank = vertices.join(sent, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("rank"))
+            sent = edge_map(edges, rank.where("share IS NOT NULL"), F.col("rank") * F.col("share"), F.sum)
+            rank = vertices.join(sent, "id", "left").select("id", "share", F.coalesce("value", F.lit(0.0)).alias("rank"))
             if (i + 1) % ROUNDS_APART == 0:
                 rank = cut(rank)
-        return keep(cut(rank))
+        return keep(cut(rank.select("id", "rank")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexspark.operators.edge_map import dealt
 from plexspark.operators.iterate import State, iterate
 from plexspark.plans.lineage import cut
 
@@ -24,10 +23,9 @@ def _circular(state: DataFrame, n: int, source: int) -> bool:
 
 def _relaxed(g, source: int) -> DataFrame | None:
     """(id, dist, parent) of all vertices that are reached, or None if a negative cycle is."""
-    weighted = g.edges if g.weighted else g.edges.withColumn("weight", F.lit(1))
-    at = F.lit(source).cast("long")
-    with dealt(weighted) as edges:
-        below = edges.edges.where("weight < 0")
+    at, weight = F.lit(source).cast("long"), F.col("weight") if g.weighted else F.lit(1)
+    with g.dealt("src", "dst", *(["weight"] if g.weighted else [])) as edges:
+        below = edges.edges.where(weight < 0)
 
         def cycle(n: int, sent: DataFrame, state: State) -> bool:
             if not g.directed and not below.join(sent.select(F.col("id").alias("src")), "src", "left_semi").isEmpty():
@@ -39,7 +37,7 @@ def _relaxed(g, source: int) -> DataFrame | None:
             return n > size or _circular(reached.select("id", "value.*"), size, source)
 
         first = g.spark.range(1).select(at.alias("id"), F.struct(F.lit(0).cast("long").alias("dist"), at.alias("parent")).alias("value"))
-        step = F.struct((F.col("value.dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"))
+        step = F.struct((F.col("value.dist") + weight).alias("dist"), F.col("src").alias("parent"))
         shorter = lambda old, new: F.when(old.isNull() | (new["dist"] < old["dist"]), new)
         out = iterate(edges, first, step, F.min, update=shorter, check=None if below.isEmpty() else cycle)
         return None if out is None else out.select("id", "value.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import redirect_stdout
 from io import StringIO
 
@@ -600,6 +601,15 @@ def command_line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+# A graph stored in buckets, and the stress graph on a small scale.
+
+
+@query(_rank_sql(PAIR, "pair", "dst", PARTS, rounds=3))
+def pagerank_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"parts_{uuid.uuid4().hex}"
+    return _ranked(x.parts(spark, sf_dir).stored(name, path=place(spark)).pagerank(3))
+
+
 # Edges that arrive as a stream, in batches of a file.
 
 
@@ -622,3 +632,16 @@ def stream_degree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ingest.degree_counts(_stream(spark, sf_dir)).writeStream.outputMode("complete").option("checkpointLocation", place(spark))
     counts.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
+
+
+@query(f"WITH {STEP} SELECT src AS id, count(DISTINCT dst) AS degree FROM (SELECT src, dst FROM step UNION ALL SELECT src, dst FROM dir) GROUP BY 1")
+def stream_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-degrees of a stream that sends many edges again in later batches."""
+    sent, path = place(spark), place(spark)
+    g = x.customers(spark, sf_dir)
+    x.customer_steps(spark, sf_dir).select("src", "dst").repartition(3).write.parquet(sent)
+    g.edges.repartition(2).write.mode("append").parquet(sent)
+    stream = spark.readStream.schema(g.edges.schema).option("maxFilesPerTrigger", 1).parquet(sent)
+    degrees = ingest.degrees(stream).writeStream.outputMode("complete").option("checkpointLocation", place(spark))
+    degrees.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)

@@ -15,7 +15,9 @@ def _partner(nodes: int, seed: int, *key: Column) -> Column:
 
 
 def _graph(spark: SparkSession, nodes: int, first: int, each: int, seed: int) -> Graph:
-    ends = spark.range(first).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(each))).alias("i")) if each > 0 else spark.range(0).select(F.col("id").alias("src"), F.lit(0).alias("i"))
+    """``each`` partners for each of the first vertices; the draws are numbered through, so they are made in any number of tasks."""
+    draw = F.col("id")
+    ends = spark.range(first * max(each, 0)).select(F.expr(f"id div {max(each, 1)}").alias("src"), (draw % max(each, 1) + 1).alias("i"))
     return Graph.from_edges(ends.select("src", _partner(nodes, seed, F.col("src"), F.col("i")).alias("dst")), nodes)
 
 

@@ -35,6 +35,26 @@ def load(spark: SparkSession, path: str, vertices: DataFrame | int | None = None
     return Graph.from_edges(rows, vertices, directed, drop_self_loops=False)
 
 
+def distinct_edges(stream: DataFrame) -> DataFrame:
+    """Each edge (src, dst) of a stream once, however often it comes: those seen are kept as keyed state.
+
+    State grows with the edges (put it into RocksDB for large graphs); a batch
+    costs what it brings, and tables appended to need no merging when loaded.
+    """
+    return rules.typed(stream).select("src", "dst").dropDuplicates(["src", "dst"])
+
+
 def degree_counts(stream: DataFrame) -> DataFrame:
-    """Running out-degrees (id, edges) of a stream that sends every edge once; write it in update mode."""
+    """Running counts (id, edges) of the edges that a stream sends from each vertex, repeats included; write it in update mode."""
     return stream.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("edges"))
+
+
+def degrees(stream: DataFrame) -> DataFrame:
+    """Running out-degrees (id, degree) of a stream; an edge that comes again counts once. Write it in complete or update mode."""
+    return distinct_edges(stream).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+
+
+def compact(spark: SparkSession, path: str, into: str, directed: bool = False) -> None:
+    """Batches of ``ingest`` merged into one at another place, as the first of what follows: loading it costs no history."""
+    own = load(spark, path, directed=directed).edges
+    own.write.mode("overwrite").parquet(f"{into}/batch=-1")
