@@ -525,7 +525,7 @@ def bc_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "id", F.round("dependency", 6).alias("dependency"))
 
 
-CORE = 20
+CORE = 13
 
 
 @query(f"""WITH RECURSIVE {STEP}, link AS (SELECT src, dst FROM dir UNION SELECT dst, src FROM dir), deg AS (SELECT src AS v, count(*) AS d FROM link GROUP BY 1),
