@@ -36,8 +36,8 @@ from plexspark.llm import shared, words
 
 #: Words of a gram whose least hash stands for a window.
 GRAM = 8
-#: Reference words of a shard, about; its automaton takes some 300 bytes for each.
-SHARD_WORDS = 150_000
+#: Reference words of a shard, about; its automaton takes some 600 bytes for each.
+SHARD_WORDS = 75_000
 #: Words of documents that one copy of a shard's automaton is asked for, about.
 COPY_WORDS = 2_000_000
 #: Windows of a passage or region at most; longer runs are cut, with a window's overlap.
@@ -328,8 +328,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # num stands for a node where a clash of two would only cost time.
     num = F.xxhash64("id", "hash").alias("num")
     grams = nodes.select(num, "c", F.explode("grams").alias("g")).select("num", "c", "g.gram", "g.times")
-    twice = shared.cut(grams.groupBy("gram").agg(F.sum(F.greatest("times", "c")).alias("t"), F.count("*").alias("rows")).where("t > 1").select("gram", "rows"))
-    asked = shared.cut(shared.join_counted(grams, twice, "gram", "rows").select("num", "gram", "c"))
+    twice = shared.cut(grams.groupBy("gram").agg(F.sum(F.greatest("times", "c")).alias("t")).where("t > 1"))  # as many rows at most
+    asked = shared.cut(shared.join_counted(grams, twice, "gram", "t").select("num", "gram", "c"))
+    often = twice.where(F.col("t") > (twice.agg(F.sum("t")).first()[0] or 0) // shared.HOT)  # so many rows at most
     lists = asked.groupBy("num").agg(F.max("c").alias("c"), F.collect_list("gram").alias("asked"))
     texts = lists.join(base.select(known, "hash", "text").select(num, "id", "hash", "text"), "num").dropDuplicates(["num", "id", "hash"])
     texts = shared.cut(texts.select("num", "c", "id", "hash", "text", "asked"))
@@ -341,8 +342,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = passages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
     owned = shared.cut(passages.groupBy("gram").agg(F.ceil(F.sum("n") / SHARD_WORDS).cast("int").alias("parts")))
-    of = shared.cut(owned.join(twice, "gram"))
-    routes = shared.join_counted(asked, of, "gram", "rows").groupBy("num").agg(F.collect_list(F.struct("gram", "parts")).alias("to"))
+    of = shared.cut(owned.join(F.broadcast(often), "gram", "left").withColumn("t", F.coalesce("t", F.lit(0))))
+    routes = shared.join_counted(asked, of, "gram", "t").groupBy("num").agg(F.collect_list(F.struct("gram", "parts")).alias("to"))
     routes = texts.join(routes, "num").select("id", "hash", "text", F.col("to.gram").alias("grams"), F.col("to.parts").alias("parts"))
     regions = shared.cut(_regions(routes, window, shards))
     split = passages.join(owned, "gram").select(F.col("num").alias("id"), F.col("num").alias("hash"), F.col("passage").alias("text"), F.array("gram").alias("grams"), F.array("parts").alias("parts"))
