@@ -213,3 +213,29 @@ SELECT g.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY g.anchor_i
 FROM good g JOIN pair n ON n.anchor_id = g.anchor_id AND NOT n.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+SQL["op13_periodic_runs"] = r"""
+WITH listed AS (
+  SELECT doc_id, row_number() OVER () AS row, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         -- CRC-32 of the decimal id, bit by bit
+         xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda c, x: list_reduce([xor(c, x)] || range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))) AS h
+  FROM documents),
+drawn AS (SELECT *, CAST(len(w) AS BIGINT) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 END AS g FROM listed),
+circle AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM drawn),
+turned AS (SELECT doc_id, row, n, CASE WHEN g IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM circle),
+word AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM turned),
+gram AS (SELECT row, i, string_agg(word, ' ') OVER w AS gram, count(*) OVER w AS c FROM word WINDOW w AS (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)),
+-- in a run at least 16 words in a row equal the word a period later
+agree AS (SELECT a.row, b.i - a.i AS q, a.i FROM gram a JOIN gram b ON a.row = b.row AND a.gram = b.gram AND a.i < b.i WHERE a.c = 16 AND b.c = 16),
+island AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS k FROM agree),
+stretch AS (SELECT row, q, min(i) AS s, count(*) + 15 + q AS l FROM island GROUP BY row, q, k HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+run AS (SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.row = x.row AND y.q < x.q AND y.s <= x.s AND x.s + x.l <= y.s + y.l)),
+gone AS (SELECT DISTINCT row, unnest(range(s + q, s + l)) AS i FROM run),
+left_over AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (row, i) GROUP BY row),
+best AS (SELECT row, s, l, q FROM run QUALIFY row_number() OVER (PARTITION BY row ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) = 1),
+told AS (SELECT row, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM run GROUP BY row)
+SELECT t.doc_id, coalesce(r.n, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+       sha256(coalesce(r.runs, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256, t.n AS n_words
+FROM turned t LEFT JOIN told r USING (row) LEFT JOIN best b USING (row) LEFT JOIN left_over k USING (row)
+"""
