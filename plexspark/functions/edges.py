@@ -37,8 +37,12 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge, each once; of several weights the least stays. One exchange."""
-    return deduplicate(edges.unionByName(reverse(edges)), "min")
+    """Both directions of every edge, each once; of several weights the least stays. An edge is exchanged once, lower end first, and turned after that."""
+    rest = ["weight"] if is_weighted(edges) else []
+    once = deduplicate(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), *rest), "min")
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    ways = F.when(F.col("src") == F.col("dst"), F.array(way("src", "dst"))).otherwise(F.array(way("src", "dst"), way("dst", "src")))
+    return once.select(F.explode(ways).alias("way"), *rest).select("way.*", *rest)
 
 
 def significant(x: Column, digits: int = 6) -> Column:

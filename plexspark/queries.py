@@ -151,7 +151,7 @@ TRIANGLES = "SELECT count(*) AS triangles FROM {e} a JOIN {e} b ON b.src = a.dst
 
 @query(f"WITH {PAIR} " + TRIANGLES.format(e="pair"))
 def tc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir).settled().triangle_count()
+    return x.parts(spark, sf_dir).triangle_count()
 
 
 @query(f"WITH {BIP} " + TRIANGLES.format(e="bip"))
@@ -543,7 +543,7 @@ corner AS (SELECT a.src AS id, count(*) // 2 AS n FROM pair a JOIN pair b ON b.s
 SELECT i.id, coalesce(n, 0) AS triangles, round(CASE WHEN d > 1 THEN CAST(2 * coalesce(n, 0) AS DOUBLE) / (d * (d - 1)) ELSE 0 END, 9) AS clustering
 FROM ({PARTS}) i LEFT JOIN deg USING (id) LEFT JOIN corner USING (id)""")
 def triangles_per_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.parts(spark, sf_dir).settled().triangles_per_vertex().select("id", "triangles", F.round("clustering", 9).alias("clustering"))
+    return x.parts(spark, sf_dir).triangles_per_vertex().select("id", "triangles", F.round("clustering", 9).alias("clustering"))
 
 
 @query(f"WITH {STEP} SELECT dst AS id, list_reduce(list_prepend(0, list_sort(list(src))), lambda a, x: (31 * a + x) % 1000003) AS value FROM dir GROUP BY 1")

@@ -250,3 +250,39 @@ def test_neighbors_of_a_set(spark):
     ids = frontier.of(spark, [1, 4, 1])
     assert [tuple(r) for r in g.neighbors_of(ids).collect()] == [(1, 3, 7)]
     assert sorted(tuple(r) for r in g.neighbors_of(ids, inward=True).collect()) == [(1, 0, 5), (1, 2, 6)]
+
+
+def exchanges(df):
+    """The exchanges of a plan by a key that joins or aggregates ask for."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line]
+
+
+@pytest.fixture(params=["one cell", "many cells", "many cells and vertices of many neighbours"])
+def met(request, monkeypatch):
+    from plexspark.plans import triangles
+
+    if request.param != "one cell":
+        monkeypatch.setattr(triangles, "HELD", 400)
+        monkeypatch.setattr(triangles, "WORTH", 2)
+    monkeypatch.setattr(triangles, "MANY", 4 if "vertices" in request.param else 1 << 10)
+    monkeypatch.setattr(triangles, "_limit", lambda seen: triangles.MANY)
+
+
+def near_of(edges):
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    return near
+
+
+def test_triangles_meet_in_cells(spark, met):
+    """Counts in any cells; and a list is exchanged for blocks, after which nothing is exchanged but sums."""
+    n, edges = 60, [(a, b) for a, b, _ in random_graph(8, 60, 300)[1]] + [(0, v) for v in range(1, 50)]
+    g, near = graph(spark, edges, n), near_of(edges)
+    corner = {v: sum(y in near[x] for x in near.get(v, ()) for y in near[v] if x < y) for v in range(n)}
+    found = g.triangle_count()
+    assert found.first()[0] == sum(corner.values()) // 3 and exchanges(found) == []
+    assert values(g.triangles_per_vertex()) == corner
