@@ -122,10 +122,38 @@ def per_vertex(g) -> DataFrame:
 
 
 def common_neighbors(g, pairs: DataFrame) -> DataFrame:
-    """(a, b, common) for ``pairs`` (a, b): neighbours of both that are less than both; the end of lower degree is expanded."""
-    asked = pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct()
+    """(a, b, common) for ``pairs`` (a, b): neighbours of both that are less than both.
+
+    Lists of lesser neighbours meet in cells. A pair with an end that has many
+    neighbours, or is asked for with many others, goes by rows: its end of lower
+    degree is expanded.
+    """
+    asked = pairs.select(F.col("a").cast("long"), F.col("b").cast("long"))
     edges = g.edges.select("src", "dst")
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    degree, seen = _counted(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")))
+    often = asked.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d"))
+    many, found = cut_counted(degree.union(often).where(F.col("d") > _limit(seen)).where("id IS NOT NULL").select("id").distinct())
+    less = edges.where("dst < src").select(F.col("src").alias("owner"), F.col("dst").alias("member"))
+    few, whole = asked.where("a IS NOT NULL AND b IS NOT NULL"), asked.where("a IS NULL OR b IS NULL").distinct().withColumn("common", F.lit(0).cast("long"))
+    if found:
+        marked = few
+        for end in "ab":
+            marked = marked.join(many.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+        heavy = F.col("_a").isNotNull() | F.col("_b").isNotNull()
+        whole = whole.union(_by_rows(edges, degree, marked.where(heavy).select("a", "b").distinct()))
+        few = marked.where(~heavy).select("a", "b")
+        less = less.join(many.select(F.col("id").alias("owner")), "owner", "left_anti")
+    cells = Cells(less, seen["total"], seen["most"])
+    lists = cut(less.groupBy(F.col("owner").alias("id")).agg(F.collect_list(F.col("member").cast(cells.kind)).alias("list")))
+    groups = few.repartition("a").groupBy("a", cells.block(F.col("b")).alias("block")).agg(F.collect_set("b").alias("others"))
+    rows = groups.join(lists.select(F.col("id").alias("a"), F.col("list").alias("own")), "a", "left")
+    met = cells.meet(rows, lists, "others", "left")
+    counted = F.when(F.col("own").isNull() | F.col("other").isNull(), 0).otherwise(F.size(F.array_intersect("own", "other")))
+    return met.select("a", "b", counted.cast("long").alias("common")).union(whole)
+
+
+def _by_rows(edges: DataFrame, degree: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b, common) by a row for each lesser neighbour of the end of lower degree."""
     both = asked.join(degree.select(F.col("id").alias("a"), F.col("d").alias("of_a")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("of_b")), "b")
     turned = F.col("of_b") < F.col("of_a")
     both = both.select("a", "b", F.when(turned, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("then"))

@@ -286,3 +286,18 @@ def test_triangles_meet_in_cells(spark, met):
     found = g.triangle_count()
     assert found.first()[0] == sum(corner.values()) // 3 and exchanges(found) == []
     assert values(g.triangles_per_vertex()) == corner
+
+
+def test_common_neighbors_meet_in_cells(spark, met):
+    n, edges = 60, [(a, b) for a, b, _ in random_graph(9, 60, 300)[1]] + [(0, v) for v in range(1, 50)] + [(59, v) for v in range(1, 50)]
+    g, near = graph(spark, edges, n), near_of(edges)
+    pairs = [(a, b) for a in range(0, 60, 3) for b in range(60)] * 2 + [(59, 200), (None, 3), (3, None)]
+    want = {(a, b): 0 if None in (a, b) else sum(x < min(a, b) for x in near.get(a, set()) & near.get(b, set())) for a, b in pairs}
+    rows = g.common_neighbors(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {(r.a, r.b): r.common for r in rows} == want and len(rows) == len(want)
+
+
+def test_common_neighbors_of_edges_are_not_exchanged_by_rows(spark):
+    g = graph(spark, [(a, b) for a, b, _ in random_graph(9, 60, 300)[1]], 60).settled()
+    found = g.common_neighbors(g.edges.where("src < dst").selectExpr("src AS a", "dst AS b"))
+    assert not [line for line in exchanges(found) if "x#" in line] and "collect_set" in found._jdf.queryExecution().executedPlan().toString()
