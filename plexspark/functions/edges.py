@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +48,19 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 def significant(x: Column, digits: int = 6) -> Column:
     """A number as text with so many significant digits, without trailing zeros, as C++ streams print it."""
-    size = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")
-    mantissa = lambda e: F.round(x / F.pow(F.lit(10.0), e), digits - 1)
-    size = F.when(F.abs(mantissa(size)) >= 10, size + 1).otherwise(size)
-    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    fixed = F.lit("0")
-    for e in range(-4, digits):
-        fixed = F.when(size == e, bare(F.format_string(f"%.{digits - 1 - e}f", x))).otherwise(fixed)
-    power = F.concat(F.when(size < 0, F.lit("e-")).otherwise(F.lit("e+")), F.format_string("%02d", F.abs(size)))
-    scientific = F.concat(bare(F.format_string(f"%.{digits - 1}f", mantissa(size))), power)
-    out = F.when((size < -4) | (size >= digits), scientific).otherwise(fixed)
-    return F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf")).otherwise(out)
+
+    @F.pandas_udf("string")
+    def printed(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"%.{digits}g" % v)
+
+    return F.when(x.isNotNull(), printed(x.cast("double")))
+
+
+def decimals(row: Column, digits: int = 6) -> Column:
+    """An array of numbers as text, each with so many decimals as C prints them: halves go by the exact binary value, where Spark's functions round its shortest digits up."""
+
+    @F.pandas_udf("string")
+    def printed(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda values: " ".join([f"%.{digits}f" % v for v in values]))
+
+    return printed(row)

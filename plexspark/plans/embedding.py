@@ -10,13 +10,13 @@ from plexspark.plans.totals import touching
 
 
 def _classes(labels: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Known labels (id, cluster), and (cluster, one over its size)."""
+    """Known labels (id, cluster), and (cluster, its size)."""
     if k <= 0:
         raise ValueError("the number of classes must be positive")
     known = labels.where("label >= 0").select(F.col("id").cast("long"), F.col("label").cast("int").alias("cluster"))
     if not known.where(F.col("cluster") >= k).isEmpty():
         raise ValueError(f"labels must be below {k}")
-    return known, known.groupBy("cluster").agg((1.0 / F.count("*")).alias("part"))
+    return known, known.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 def _grid(g, k: int, sums: DataFrame) -> DataFrame:
@@ -27,9 +27,9 @@ def _grid(g, k: int, sums: DataFrame) -> DataFrame:
 
 def _summed(rows: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """(id, cluster, value) of rows (id, other, w): weights by the class of the other end, over the class's size."""
-    known, part = _classes(labels, k)
+    known, sizes = _classes(labels, k)
     seen = rows.join(known.withColumnRenamed("id", "other"), "other").groupBy("id", "cluster").agg(F.sum("w").alias("w"))
-    return seen.join(part, "cluster").select("id", "cluster", (F.col("w") * F.col("part")).alias("value"))
+    return seen.join(sizes, "cluster").select("id", "cluster", (F.col("w") / F.col("size")).alias("value"))
 
 
 def unweighted(g, labels: DataFrame, k: int) -> DataFrame:

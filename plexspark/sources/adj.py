@@ -179,5 +179,4 @@ def write_embedding(cells: DataFrame, path: str, one_file: bool = False) -> None
     """A vertex a line by id, its values by cluster with six decimals."""
     from plexspark.plans.embedding import wide
 
-    line = F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x)), " ")
-    _lines(wide(cells), line, path, one_file)
+    _lines(wide(cells), rules.decimals(F.col("embedding")), path, one_file)

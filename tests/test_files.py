@@ -191,3 +191,15 @@ def test_a_file_is_split_wherever_lines_break(spark, tmp_path):
         assert sorted(map(tuple, g.edges.collect())) == [(i, (i + 1) % n) for i in range(n)]
         read = spark.read.format("blank_words").option("path", str(tmp_path / name)).option("range", "1024").load()
         assert read.rdd.getNumPartitions() > 10 and read.groupBy("block").count().agg({"count": "max"}).first()[0] < 600
+
+
+def test_halves_are_printed_by_their_exact_value(spark, tmp_path):
+    xs = [0.2890625, 0.1734375, 0.0000005, 0.0000015, 0.0046875, 2.5, -0.0703125, 1.0000005]
+    cells = spark.createDataFrame([(0, i, x) for i, x in enumerate(xs)], "id long, cluster int, value double")
+    adj.write_embedding(cells, str(tmp_path / "e"))
+    assert lines(tmp_path / "e") == [" ".join("%.6f" % x for x in xs)]
+    assert lines(tmp_path / "e")[0].startswith("0.289062 0.173437 ")
+    ys = [10.03125, 1.000005, 2.000015, 1234567.5, 100000.5, 0.00001000005, None]
+    adj.write_values(spark.createDataFrame(list(enumerate(ys)), "id long, x double"), str(tmp_path / "v"), one_file=True)
+    assert open(next((tmp_path / "v").glob("part-*"))).read().splitlines()[:6] == ["%g" % y for y in ys[:6]]
+    assert lines(tmp_path / "v")[0] == "10.0312"

@@ -301,3 +301,11 @@ def test_common_neighbors_of_edges_are_not_exchanged_by_rows(spark):
     g = graph(spark, [(a, b) for a, b, _ in random_graph(9, 60, 300)[1]], 60).settled()
     found = g.common_neighbors(g.edges.where("src < dst").selectExpr("src AS a", "dst AS b"))
     assert not [line for line in exchanges(found) if "x#" in line] and "collect_set" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shares_of_classes_are_divided_once(spark):
+    """A sum over a class's size, not times one over it, which rounds twice."""
+    n = 49
+    g = graph(spark, [(v, n) for v in range(n)], n + 1)
+    labels = spark.createDataFrame([(v, 0) for v in range(n)] + [(n, 1)], "id long, label int")
+    assert {r.id: r.value for r in g.gee_weighted(labels, 2).where("cluster = 0").collect()}[n] == 98 / 49 == 2.0
