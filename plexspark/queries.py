@@ -16,7 +16,7 @@ from plexspark.functions import edges as rules
 from plexspark.graph import Graph
 from plexspark.operators import edge_map as ops
 from plexspark.operators import frontier
-from plexspark.plans.lineage import cut, place
+from plexspark.plans.lineage import cut, drop, place
 from plexspark.sources import adj, generators
 from plexspark.streaming import ingest
 
@@ -321,8 +321,9 @@ def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round_trip(g: Graph, **how) -> Graph:
-    path = place(g.spark)
-    adj.write_adj(g.settled(), path)
+    path, own = place(g.spark), g.settled()
+    adj.write_adj(own, path)
+    drop(own.edges)
     return adj.read_adj(g.spark, path, **how)
 
 

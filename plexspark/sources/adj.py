@@ -11,6 +11,8 @@ file whose lines are short at first and very long later makes long rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,8 @@ def words(spark: SparkSession, path: str, size: int = ranges.RANGE) -> DataFrame
     ranges.register(spark)
     found = cut(spark.read.format("blank_words").option("path", path).option("range", str(size)).load())
     sizes = found.groupBy("block").agg(F.count("*").alias("size"))
-    before = sizes.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a range
-    return found.join(before, "block").select((F.col("before") + F.col("i")).alias("place"), "word")
+    before = cut(sizes.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))  # one row a range
+    return found.join(F.broadcast(before), "block").select((F.col("before") + F.col("i")).alias("place"), "word")
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +69,7 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
     before = sizes.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a block
     within = F.coalesce(F.sum(F.size("w")).over(Window.partitionBy("block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = lines.withColumn("within", within).join(before, "block")
-    return placed.select(F.posexplode("w").alias("i", "word"), "within", "before").select((F.col("before") + F.col("within") + F.col("i")).alias("place"), "word")
+    return cut(placed.select(F.posexplode("w").alias("i", "word"), "within", "before").select((F.col("before") + F.col("within") + F.col("i")).alias("place"), "word"))
 
 
 def read_adj(spark: SparkSession, path: str, weighted: bool | None = None, symmetric: bool = True, drop_self_loops: bool | None = None) -> Graph:
@@ -80,8 +82,8 @@ def read_adj(spark: SparkSession, path: str, weighted: bool | None = None, symme
 
 
 def graph_of(spark: SparkSession, path: str, found: DataFrame, weighted: bool | None = None, symmetric: bool = True, drop_self_loops: bool | None = None) -> Graph:
-    """The graph of the words (place, word) of an adjacency file; ``path`` is named in errors."""
-    tokens = cut(found)
+    """The graph of the words (place, word) of an adjacency file, which are read several times; ``path`` is named in errors."""
+    tokens = found
     head = {r.place: r.word for r in tokens.where("place < 3").collect()}
     if head.get(0) not in (PLAIN, WEIGHTED):
         raise ValueError(f"{path}: the first word must be {PLAIN} or {WEIGHTED}")
@@ -92,10 +94,11 @@ def graph_of(spark: SparkSession, path: str, found: DataFrame, weighted: bool |
     own = head[0] == WEIGHTED
     if n <= 0 or m <= 0:
         raise ValueError(f"{path}: a graph needs vertices and edges")
-    if tokens.count() != 3 + n + (2 if own else 1) * m:
-        raise ValueError(f"{path}: {n} vertices and {m} edges do not agree with the number of words")
     numbers = tokens.where("place >= 3").select((F.col("place") - 3).alias("place"), F.col("word").try_cast("long").alias("x"))
-    if not numbers.where("x IS NULL").isEmpty():
+    seen = numbers.agg(F.count("*").alias("words"), F.count("x").alias("numbers")).first()
+    if seen["words"] != n + (2 if own else 1) * m:
+        raise ValueError(f"{path}: {n} vertices and {m} edges do not agree with the number of words")
+    if seen["numbers"] != seen["words"]:
         raise ValueError(f"{path}: a word is not a number")
     offsets = numbers.where(F.col("place") < n).select(F.col("place").alias("src"), F.col("x").alias("start"))
     nexts = offsets.select((F.col("src") - 1).alias("src"), F.col("start").alias("stop"))
@@ -104,6 +107,9 @@ def graph_of(spark: SparkSession, path: str, found: DataFrame, weighted: bool |
         raise ValueError(f"{path}: offsets must ascend")
     tails = spans.where("start < stop").select("src", F.explode(F.sequence("start", F.col("stop") - 1)).alias("j"))
     heads = numbers.where((F.col("place") >= n) & (F.col("place") < n + m)).select((F.col("place") - n).alias("j"), F.col("x").alias("dst"))
+    first = spans.agg(F.min("start")).first()[0]  # what lies before belongs to no vertex
+    if not heads.where((F.col("j") >= first) & ((F.col("dst") < 0) | (F.col("dst") >= n))).isEmpty():
+        raise ValueError(f"{path}: an edge ends outside the graph")
     edges = tails.join(heads, "j")
     if own if weighted is None else weighted:
         if own:
@@ -113,16 +119,14 @@ def graph_of(spark: SparkSession, path: str, found: DataFrame, weighted: bool |
             edges = edges.select("src", "dst", F.lit(1).alias("weight"))
     else:
         edges = edges.select("src", "dst")
-    if not edges.where((F.col("dst") < 0) | (F.col("dst") >= n)).isEmpty():
-        raise ValueError(f"{path}: an edge ends outside the graph")
     return Graph.from_edges(edges, n, directed=not symmetric, drop_self_loops=drop_self_loops)
 
 
 def adj_offsets(g: Graph) -> DataFrame:
     """(id, start): where each vertex's edges begin when edges are sorted by src and dst."""
-    own = numbered(g.edges.select("src", "dst"), "src", "dst").groupBy(F.col("src").alias("id")).agg(F.min("j").alias("start"), F.count("*").alias("d"))
-    every = numbered(g.vertices.join(own, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"), "start"), "id")
-    # A vertex without edges begins where the next one with edges does: totals of blocks of ids, then within a block.
+    own = g.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    every = numbered(g.vertices.join(own, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d")), "id")
+    # The edges of all vertices before: totals of blocks of ids, then within a block.
     block = every.withColumn("block", F.expr("j div 65536"))
     sums = block.groupBy("block").agg(F.sum("d").alias("s"))
     before = sums.select("block", F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a block of ids
@@ -137,15 +141,17 @@ def write_adj(g: Graph, path: str, one_file: bool = False) -> None:
     if n and (first[0], first[1]) != (0, n - 1):
         raise ValueError("vertices must be 0 to n - 1")
     kind = WEIGHTED if g.weighted else PLAIN
-    head = g.spark.createDataFrame([(0, kind), (1, str(n)), (2, str(m))], "place long, word string")
-    offsets = adj_offsets(g).select((F.col("id") + 3).alias("place"), F.col("start").cast("string").alias("word"))
-    edges = numbered(g.edges, "src", "dst")
-    ends = edges.select((F.col("j") + 3 + n).alias("place"), F.col("dst").cast("string").alias("word"))
-    out = head.union(offsets).union(ends)
-    if g.weighted:
-        out = out.union(edges.select((F.col("j") + 3 + n + m).alias("place"), F.col("weight").cast("string").alias("word")))
-    out = out.repartitionByRange(1, "place") if one_file else out.repartitionByRange("place")
-    out.sortWithinPartitions("place").select("word").write.mode("overwrite").text(path)
+    ends = ["dst", *(["weight"] if g.weighted else [])]
+    word = lambda c: F.col(c).cast("string").alias("word")
+    head = g.spark.range(1, numPartitions=1).select(F.posexplode(F.array(*map(F.lit, [kind, str(n), str(m)]))).alias("id", "word"))
+    if one_file:
+        keyed = lambda df, part, a, b, w: df.select(F.lit(part).alias("part"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), w)
+        parts = [keyed(head, 0, "id", "id", F.col("word")), keyed(adj_offsets(g), 1, "id", "id", word("start")), *(keyed(g.edges, 2 + i, "src", "dst", word(c)) for i, c in enumerate(ends))]
+        out = functools.reduce(DataFrame.union, parts).repartition(1).sortWithinPartitions("part", "a", "b").select("word")
+    else:  # parts are sorted each for itself and written one after the other, so words need no places
+        ordered = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by)
+        out = functools.reduce(DataFrame.union, [head.select("word"), ordered(adj_offsets(g), "id").select(word("start")), *(ordered(g.edges, "src", "dst").select(word(c)) for c in ends)])
+    out.write.mode("overwrite").text(path)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

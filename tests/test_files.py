@@ -203,3 +203,30 @@ def test_halves_are_printed_by_their_exact_value(spark, tmp_path):
     adj.write_values(spark.createDataFrame(list(enumerate(ys)), "id long, x double"), str(tmp_path / "v"), one_file=True)
     assert open(next((tmp_path / "v").glob("part-*"))).read().splitlines()[:6] == ["%g" % y for y in ys[:6]]
     assert lines(tmp_path / "v")[0] == "10.0312"
+
+
+@pytest.mark.parametrize("one", [False, True])
+def test_words_are_written_in_order_without_places(spark, tmp_path, one):
+    """Edges are exchanged once for a file, by their own order; many part files, vertices without edges, weights."""
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(1, 90), rng.randrange(90)): rng.randint(-9, 9) for _ in range(600)}.items())
+    g = Graph.from_edges(spark.createDataFrame([(a, b, w) for (a, b), w in rows], "src long, dst long, weight int").repartition(7), 100, directed=True)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        adj.write_adj(g.settled(), str(tmp_path / "g"), one_file=one)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    starts = [sum(a < v for (a, _), _ in rows) for v in range(100)]
+    want = ["WeightedAdjacencyGraph", "100", str(len(rows)), *map(str, starts), *(str(b) for (_, b), _ in rows), *(str(w) for _, w in rows)]
+    assert lines(tmp_path / "g") == want and (len(list((tmp_path / "g").glob("part-*"))) == 1) == one
+    found = adj.words(spark, str(tmp_path / "g"))
+    assert sorted(tuple(r) for r in found.collect()) == list(enumerate(want))
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ends_that_belong_to_no_vertex_are_not_judged(spark, tmp_path):
+    path = put(tmp_path, "AdjacencyGraph 2 2 1 1 9 0")
+    assert edges(adj.read_adj(spark, path, symmetric=False)) == [(1, 0)]
+    with pytest.raises(ValueError, match="outside"):
+        adj.read_adj(spark, put(tmp_path, "AdjacencyGraph 2 2 1 1 0 9", "h.adj"), symmetric=False)
